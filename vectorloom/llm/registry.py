@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import lm_scoring
+from vectorloom.llm import avi, language_id, lm_scoring
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        lm_scoring.op1_lm_scoring,
+        avi.op2_media_columns,
+        language_id.op4_language_id,
+    )
+}
 
 
 def queries() -> dict:
-    return {"op1_lm_scoring": lm_scoring.op1_lm_scoring}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
