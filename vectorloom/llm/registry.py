@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import avi, language_id, lm_scoring
+from vectorloom.llm import avi, language_id, lm_scoring, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         lm_scoring.op1_lm_scoring,
         avi.op2_media_columns,
+        toxicity.op3_toxicity,
         language_id.op4_language_id,
     )
 }
