@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import avi, language_id, lm_scoring, minhash, toxicity
+from vectorloom.llm import avi, language_id, lm_scoring, minhash, substring_dedup, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         avi.op2_media_columns,
         toxicity.op3_toxicity,
         language_id.op4_language_id,
+        substring_dedup.op6_substring_dedup,
         minhash.op10_minhash,
     )
 }
