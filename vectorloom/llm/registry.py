@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import avi, language_id, lm_scoring, minhash, substring_dedup, toxicity
+from vectorloom.llm import avi, language_id, lm_scoring, minhash, packing, substring_dedup, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         toxicity.op3_toxicity,
         language_id.op4_language_id,
         substring_dedup.op6_substring_dedup,
+        packing.op7_packing,
         minhash.op10_minhash,
     )
 }
