@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import avi, language_id, lm_scoring, minhash, packing, substring_dedup, toxicity
+from vectorloom.llm import avi, language_id, lm_scoring, minhash, mixing, packing, substring_dedup, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,8 @@ QUERIES = {
         language_id.op4_language_id,
         substring_dedup.op6_substring_dedup,
         packing.op7_packing,
+        mixing.op8_mixing,
+        warc.op9_warc,
         minhash.op10_minhash,
     )
 }
@@ -23,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.report_sql(), "op9_warc": warc.REPORT_SQL}
