@@ -19,7 +19,7 @@ probability 1. Repeated rows count as often as they occur. Rows with a null key
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -156,21 +156,25 @@ FILTER = pa.schema([("block", pa.int32()), ("words", pa.binary()), ("word_n", pa
 
 
 class Slice:
-    """Some consecutive blocks of the filter, as broadcast."""
+    """Some consecutive blocks of the filter, as broadcast: filled row by row, so the driver holds one copy."""
 
-    def __init__(self, rows: list, shift: int, s: Settings):
-        rows = sorted(rows, key=lambda r: r[0])
+    def __init__(self, sizes: list, rows, shift: int, s: Settings):
+        """sizes: (block, bytes of words, bytes of bits) of each block; rows: (block, words, word_n, bits) in any order."""
+        sizes = sorted(tuple(x) for x in sizes)
         self.shift, self.probes = shift, s.probes
-        self.first = rows[0][0] if rows else 0
-        span = rows[-1][0] - self.first + 1 if rows else 1
+        self.first = sizes[0][0] if sizes else 0
+        span = sizes[-1][0] - self.first + 1 if sizes else 1
         self.size, self.base = np.zeros(span, U64), np.zeros(span, np.int64)
-        place = 0
-        for r in rows:
-            self.size[r[0] - self.first], self.base[r[0] - self.first] = len(r[3]) * 8, place
-            place += len(r[3])
-        self.bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        self.words = np.frombuffer(b"".join(r[1] for r in rows), U64)
-        self.word_n = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
+        word_at, place, total = {}, 0, 0
+        for block, n_words, n_bits in sizes:
+            self.size[block - self.first], self.base[block - self.first], word_at[block] = n_bits * 8, place, total
+            place, total = place + n_bits, total + n_words // 8
+        self.bits, self.words, self.word_n = np.zeros(place, np.uint8), np.zeros(total, U64), np.zeros(total, np.int64)
+        for block, words, word_n, bits in rows:
+            at, n = int(self.base[block - self.first]), len(words) // 8
+            self.bits[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+            self.words[word_at[block] : word_at[block] + n] = np.frombuffer(words, U64)
+            self.word_n[word_at[block] : word_at[block] + n] = np.frombuffer(word_n, np.int64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Each key's level by repeated membership probes: the last level before the first missing one."""
@@ -221,6 +225,7 @@ class NgramModel:
     types: int
     a: float = 1.0
     b: float = 0.9
+    shared: dict = field(default_factory=dict)
 
     @classmethod
     def fit(cls, texts: DataFrame, settings: Settings = Settings()) -> NgramModel:
@@ -243,9 +248,13 @@ class NgramModel:
         return model
 
     def _slice(self, i: int):
-        spark = self.blocks.sparkSession
-        rows = [tuple(r) for r in self.blocks.where(F.col("block").between(*self.slices[i])).toLocalIterator()]
-        return spark.sparkContext.broadcast(Slice(rows, self.shift, self.settings))
+        if i not in self.shared:
+            own = self.blocks.where(F.col("block").between(*self.slices[i]))
+            sizes = own.select("block", F.octet_length("words"), F.octet_length("bits")).collect()
+            rows = own.select("block", "words", "word_n", "bits").toLocalIterator()
+            self.shared.clear()
+            self.shared[i] = self.blocks.sparkSession.sparkContext.broadcast(Slice(sizes, rows, self.shift, self.settings))
+        return self.shared[i]
 
     def tune(self, texts: DataFrame) -> None:
         """Choose a and b by leave-one-out likelihood on the `tune_docs` training texts of smallest hash."""
