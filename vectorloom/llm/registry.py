@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import avi, language_id, lm_scoring, minhash, mixing, packing, substring_dedup, toxicity, warc
+from vectorloom.llm import ann, avi, language_id, lm_scoring, minhash, mixing, packing, substring_dedup, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         avi.op2_media_columns,
         toxicity.op3_toxicity,
         language_id.op4_language_id,
+        ann.op5_ann,
         substring_dedup.op6_substring_dedup,
         packing.op7_packing,
         mixing.op8_mixing,
