@@ -167,3 +167,15 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), details: bo
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, its text without the repeated passages, what was removed, and which documents keep it."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def clean_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """docs with the repeated passages cut; columns as before, n_chars (where there is one) as of the new text.
+
+    A document of which nothing but separators is left is a repeat as a whole and goes."""
+    out = remove_repeats(docs.withColumn("__vl_before", F.col("text")), settings, details=False)
+    changed = F.col("text") != F.col("__vl_before")
+    out = out.where(~F.coalesce(changed & (F.regexp_replace("text", r"[\x20\x09-\x0D]", "") == ""), F.lit(False)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
