@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     values = reps.select("rep", "n", F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     least = F.when(F.col("n") >= s.k, F.lit(s.overlap)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n") * s.percent / 100 - 1e-9) - F.greatest(F.lit(0), F.floor(F.col("n") * 100 / s.percent + 1e-9) - s.k)))
-    listed = values.join(common, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    listed = values.join(common.hint("merge"), "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
     listed = listed.withColumn("take", (F.size("held") - least + 1).cast("int")).where("take > 0")
     lists = stage(listed.select("rep", F.explode(F.slice("held", 1, F.col("take"))).alias("x")).select("rep", F.col("x.v").alias("v")), "minhash-lists")
 
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     loose = stage(components(near.union(more), "a", "b", "minhash-groups"), "minhash-members")
 
     # exact comparison of full sets
-    texts = docs.join(loose.toDF("doc_id", "c"), "doc_id").select("doc_id", "c", "text")
+    texts = docs.join(loose.toDF("doc_id", "c").hint("merge"), "doc_id").select("doc_id", "c", "text")
 
     def full_sets(batches):
         for batch in batches:
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     found = components(links, "a", "b", "minhash-links").toDF("rep", "root")
 
     member_of = reps.select("n", "d1", "d2", "rep").join(found, "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
-    out = rows.select("doc_id", "n", "d1", "d2").join(member_of, ["n", "d1", "d2"], "left")
+    out = rows.select("doc_id", "n", "d1", "d2").join(member_of.hint("merge"), ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
