@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts are long, so a batch of the default 10,000 can reach gigabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; texts and archives are long, so 10,000 of them can reach gigabytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def arrow_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for whole texts (a runtime setting of the session)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
