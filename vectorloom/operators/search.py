@@ -57,6 +57,7 @@ def met(vectors: DataFrame, queries: DataFrame, dims: int, attrs: int, kernel: C
         return vectors.mapInArrow(run, schema)
     blocks = -(-n // QUERY_BLOCK)
     # equal columns on both sides, so that one sorted stream brings a block of queries before its vectors
+    q_names, v_names = queries.columns, vectors.columns
     names = sorted({*vectors.columns, *queries.columns, "side", "qb", "vb"})
     v_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
     v = vectors.withColumns({"side": F.lit(1), "vb": F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks)), "qb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
@@ -78,11 +79,11 @@ def met(vectors: DataFrame, queries: DataFrame, dims: int, attrs: int, kernel: C
                 if key[2] == 0:
                     if now != key[:2]:
                         now, parts = key[:2], []
-                    parts.append(piece.select(queries.columns))
+                    parts.append(piece.select(q_names))
                     held = None
                 elif now == key[:2]:
                     held = held or Rows(pa.concat_tables(parts).combine_chunks(), "query_id", dims, attrs)
-                    yield from kernel(held, Rows(piece.select(vectors.columns).combine_chunks(), "vec_id", dims, attrs))
+                    yield from kernel(held, Rows(piece.select(v_names).combine_chunks(), "vec_id", dims, attrs))
 
     dealt = both.repartition(max(1, min(blocks * v_blocks, 100_000)), "qb", "vb").sortWithinPartitions("qb", "vb", "side")
     return dealt.mapInArrow(stream, schema)

@@ -86,28 +86,33 @@ def ground_truth_top100(spark, sf):
     return W.ground_truth(v, Z.queries(v), 100)
 
 
-def filtered(name: str, where: str, *preds, labels=None, k: int = Z.K):
-    """A filtered search whose operands depend on the query."""
+def filtered(name: str, where: str, *preds: tuple, labels: str | None = None):
+    """A filtered search whose operands are SQL expressions over the query's own row."""
 
     def run(spark, sf):
         v = Z.vectors(spark, sf)
-        return S.exact_search(v, Z.queries(v, *[P.predicate(*p) for p in preds], labels=labels), k, Z.DIMS, Z.ATTRS)
+        return S.exact_search(v, Z.queries(v, *[as_predicate(p) for p in preds], labels=None if labels is None else F.expr(labels)), Z.K, Z.DIMS, Z.ATTRS)
 
     query(knn_sql(where), name)(run)
 
 
-col = F.col
-filtered("knn_filter_lt", "a0 < q0", (0, "<", col("a0")))
-filtered("knn_filter_le", "a0 <= q0", (0, "<=", col("a0")))
-filtered("knn_filter_eq", "a3 = q3", (3, "=", col("a3")))
-filtered("knn_filter_gt", "a2 > q2", (2, ">", col("a2")))
-filtered("knn_filter_ge", "a2 >= q2", (2, ">=", col("a2")))
-filtered("knn_filter_between", "a1 > q1 - 300 AND a1 <= q1 + 300", (1, "B", col("a1") + 300, col("a1") - 300))
-filtered("knn_filter_conjunction", "a0 < q0 AND a1 > 100 AND a2 >= q2 - 20 AND a3 <= q3 + 200", (0, "<", col("a0")), (1, ">", 100), (2, ">=", col("a2") - 20), (3, "<=", col("a3") + 200))
-filtered("knn_filter_none_match", "a0 < q0 AND a0 > q0", (0, "<", col("a0")), (0, ">", col("a0")))
-filtered("knn_filter_fewer_than_k", "a1 > q1 - 20 AND a1 <= q1 + 20", (1, "B", col("a1") - 20, col("a1") + 20))
-filtered("label_filter_single", "list_contains(labels, qlabel)", labels=F.array("label"))
-filtered("label_filter_pair", "list_contains(labels, ql[1]) AND list_contains(labels, ql[2])", labels=col("labels"))
+def as_predicate(p: tuple):
+    """A predicate from (attr, op, operand expressions)."""
+    attr, op, *operands = p
+    return P.predicate(attr, op, *[F.expr(x) for x in operands])
+
+
+filtered("knn_filter_lt", "a0 < q0", (0, "<", "a0"))
+filtered("knn_filter_le", "a0 <= q0", (0, "<=", "a0"))
+filtered("knn_filter_eq", "a3 = q3", (3, "=", "a3"))
+filtered("knn_filter_gt", "a2 > q2", (2, ">", "a2"))
+filtered("knn_filter_ge", "a2 >= q2", (2, ">=", "a2"))
+filtered("knn_filter_between", "a1 > q1 - 300 AND a1 <= q1 + 300", (1, "B", "a1 + 300", "a1 - 300"))
+filtered("knn_filter_conjunction", "a0 < q0 AND a1 > 100 AND a2 >= q2 - 20 AND a3 <= q3 + 200", (0, "<", "a0"), (1, ">", "100"), (2, ">=", "a2 - 20"), (3, "<=", "a3 + 200"))
+filtered("knn_filter_none_match", "a0 < q0 AND a0 > q0", (0, "<", "a0"), (0, ">", "a0"))
+filtered("knn_filter_fewer_than_k", "a1 > q1 - 20 AND a1 <= q1 + 20", (1, "B", "a1 - 20", "a1 + 20"))
+filtered("label_filter_single", "list_contains(labels, qlabel)", labels="array(label)")
+filtered("label_filter_pair", "list_contains(labels, ql[1]) AND list_contains(labels, ql[2])", labels="labels")
 
 
 @query(f"WITH {AV} SELECT DISTINCT CAST(unnest(labels) AS BIGINT) AS label, vec_id FROM v")
@@ -174,7 +179,7 @@ def attr_equi_depth_bounds(spark, sf):
     return bounds_rows(spark, attribute_bounds(spark, sf))
 
 
-def literal(values) -> F.Column:
+def literal(values):
     return F.array(*[F.lit(float(x)) for x in values])
 
 
@@ -352,13 +357,13 @@ def route_partitions(spark, sf):
     return routes_of(spark, sf)[3]
 
 
-BETWEEN = (1, "B", col("a1") - 300, col("a1") + 300)
+BETWEEN = (1, "B", "a1 - 300", "a1 + 300")
 NARROW = "a1 > q1 - 300 AND a1 <= q1 + 300"
 
 
 @query(f"WITH {AV}, {AQ}, {XD}, {MEANS}, {QX}, {CD}, {ROUTE.format(where=NARROW)} SELECT query_id, CAST(part AS BIGINT) AS part_id, round(dist, 6) AS dist, n, cut FROM ro")
 def route_partitions_filtered(spark, sf):
-    return routes_of(spark, sf, Z.APPROX, P.predicate(*BETWEEN))[3]
+    return routes_of(spark, sf, Z.APPROX, as_predicate(BETWEEN))[3]
 
 
 @query(f"WITH {V}, {Q}, {XD}, {MEANS}, {QX}, {CD}, {ROUTE.format(where='true')} SELECT CAST(part AS BIGINT) AS part_id, count(*) AS visits, CAST(sum(n) AS BIGINT) AS candidates FROM ro GROUP BY part")
@@ -470,7 +475,7 @@ FEW = "a1 > q1 - 20 AND a1 <= q1 + 20"
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fails, dist, vec_id) AS rank FROM d)
 SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(dist, 6) AS dist, CAST(part AS BIGINT) AS part_id, CAST(fails AS BIGINT) AS fails FROM r WHERE rank <= 10""")
 def search_lenient_backfill(spark, sf):
-    return searched(spark, sf, SearchConfig(k=Z.K, mode="exact", strict=False), P.predicate(1, "B", col("a1") - 20, col("a1") + 20)).drop("hamming")
+    return searched(spark, sf, SearchConfig(k=Z.K, mode="exact", strict=False), as_predicate((1, "B", "a1 - 20", "a1 + 20"))).drop("hamming")
 
 
 @query(knn_sql(base=f"{V}, {Q}"))
@@ -480,7 +485,7 @@ def search_exact_learned(spark, sf):
 
 @query(knn_sql(NARROW))
 def search_exact_learned_filtered(spark, sf):
-    return searched(spark, sf, SearchConfig(k=Z.K, mode="exact", bound="sdc"), P.predicate(*BETWEEN), learned=True).select("query_id", "rank", "vec_id", "dist")
+    return searched(spark, sf, SearchConfig(k=Z.K, mode="exact", bound="sdc"), as_predicate(BETWEEN), learned=True).select("query_id", "rank", "vec_id", "dist")
 
 
 @query(knn_sql("list_contains(labels, qlabel)"))
@@ -622,7 +627,7 @@ def rabitq_search(spark, sf):
 @query(knn_sql(NARROW), name="graph_index_exact")
 def graph_index_exact(spark, sf):
     v = Z.vectors(spark, sf)
-    return altindex.AlternativeIndex(v, "graph").search(Z.queries(v, P.predicate(*BETWEEN)), Z.K, attrs=Z.ATTRS)
+    return altindex.AlternativeIndex(v, "graph").search(Z.queries(v, as_predicate(BETWEEN)), Z.K, attrs=Z.ATTRS)
 
 
 @query(f"""{CODES}, w AS (SELECT d, qx FROM qx WHERE query_id = 0)
