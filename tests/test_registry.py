@@ -1,7 +1,7 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables."""
 
 import pytest
-from conftest import agree, rows_of
+from helpers import agree, rows_of
 
 from vectorloom.plans import queries as registry
 

@@ -257,7 +257,8 @@ def covariance_upper(spark, sf):
 
 @query(f"WITH {V}, {XD}, {BOUNDS} SELECT CAST(part AS BIGINT) AS part_id, CAST(d AS BIGINT) AS dim, CAST(j AS BIGINT) AS j, round(b, 6) AS bound FROM bl")
 def dim_equi_depth_bounds(spark, sf):
-    return Z.flat_bounds(Z.plain_index(spark, sf)[0], spark)
+    bounds = equi_depth_bounds(Z.plain_vectors(spark, sf), Z.DIMS, {p: [4] * Z.DIMS for p in range(4)}, F.col("vec_id") % 4)
+    return spark.createDataFrame([(p, d, j, float(x)) for p, own in bounds.items() for d, b in enumerate(own) for j, x in enumerate(b)], "part_id int, dim int, j int, bound double")
 
 
 @query(f"WITH {V}, {XD}, {BOUNDS} SELECT vec_id, CAST(d AS BIGINT) AS dim, CAST(c AS BIGINT) AS cell FROM c")
