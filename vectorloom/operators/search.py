@@ -41,12 +41,21 @@ class Rows:
         self.sign = np.frombuffer(b"".join(col("sign").to_pylist()), np.uint8).reshape(self.n, -1) if "sign" in has and self.n else None
 
 
-def met(vectors: DataFrame, queries: DataFrame, dims: int, attrs: int, kernel: Callable[[Rows, Rows], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """kernel(queries, vectors) over every pair of blocks."""
+def fetched(queries: DataFrame) -> tuple[DataFrame, pa.Table | None]:
+    """The queries, and their rows if they are QUERY_BLOCK or fewer: one job, whose rows serve every later step."""
+    table = queries.limit(QUERY_BLOCK + 1).toArrow()
+    if table.num_rows > QUERY_BLOCK:
+        return queries, None
+    return queries.sparkSession.createDataFrame(table, queries.schema), table
+
+
+def met(vectors: DataFrame, queries: DataFrame, dims: int, attrs: int, kernel: Callable[[Rows, Rows], Iterator[pa.RecordBatch]], schema: str, table: pa.Table | None = None) -> DataFrame:
+    """kernel(queries, vectors) over every pair of blocks. table: the queries' rows, if they have been fetched."""
     spark = vectors.sparkSession
-    n = queries.count()
-    if n <= QUERY_BLOCK:
-        shared = spark.sparkContext.broadcast(queries.toArrow())  # QUERY_BLOCK rows at most
+    if table is None:
+        queries, table = fetched(queries)
+    if table is not None:
+        shared = spark.sparkContext.broadcast(table)  # QUERY_BLOCK rows at most
 
         def run(batches):
             q = Rows(shared.value, "query_id", dims, attrs)
@@ -55,7 +64,7 @@ def met(vectors: DataFrame, queries: DataFrame, dims: int, attrs: int, kernel: C
                     yield from kernel(q, Rows(batch, "vec_id", dims, attrs))
 
         return vectors.mapInArrow(run, schema)
-    blocks = -(-n // QUERY_BLOCK)
+    blocks = -(-queries.count() // QUERY_BLOCK)
     # equal columns on both sides, so that one sorted stream brings a block of queries before its vectors
     q_names, v_names = queries.columns, vectors.columns
     names = sorted({*vectors.columns, *queries.columns, "side", "qb", "vb"})
@@ -119,17 +128,17 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int, dims: int, attr
     return ranked(found, ["query_id"], ["dist", "vec_id"], k).select("query_id", "rank", "vec_id", "dist")
 
 
-def all_distances(vectors: DataFrame, queries: DataFrame, dims: int) -> DataFrame:
+def all_distances(vectors: DataFrame, queries: DataFrame, dims: int, table: pa.Table | None = None) -> DataFrame:
     """(query_id, part_id, dist) to a small table of centroids (vec_id: the partition)."""
 
     def kernel(q: Rows, v: Rows):
         for i in range(q.n):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(v.n, q.ids[i])), pa.array(v.ids.astype(np.int32)), pa.array(K.distances(v.x, q.x[i]))], ["query_id", "part_id", "dist"])
 
-    return met(vectors, queries, dims, 0, kernel, "query_id long, part_id int, dist double")
+    return met(vectors, queries, dims, 0, kernel, "query_id long, part_id int, dist double", table)
 
 
-def matches(index: DataFrame, queries: DataFrame, dims: int, attrs: int) -> DataFrame:
+def matches(index: DataFrame, queries: DataFrame, dims: int, attrs: int, table: pa.Table | None = None) -> DataFrame:
     """(query_id, part_id, n): how many vectors of each partition satisfy each query."""
 
     def kernel(q: Rows, v: Rows):
@@ -141,7 +150,7 @@ def matches(index: DataFrame, queries: DataFrame, dims: int, attrs: int) -> Data
             a, b, c = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64())], ["query_id", "part_id", "n"])
 
-    return met(index, queries, dims, attrs, kernel, "query_id long, part_id int, n long").groupBy("query_id", "part_id").agg(F.sum("n").alias("n"))
+    return met(index, queries, dims, attrs, kernel, "query_id long, part_id int, n long", table).groupBy("query_id", "part_id").agg(F.sum("n").alias("n"))
 
 
 def routes(distance: DataFrame, count: DataFrame, config: SearchConfig) -> DataFrame:
@@ -169,7 +178,8 @@ def routed(queries: DataFrame, chosen: DataFrame) -> DataFrame:
 def candidates(index: DataFrame, queries: DataFrame, model: Model, config: SearchConfig, attrs: int, everything: bool = False) -> DataFrame:
     """(query_id, part_id, vec_id, hamming, lower, upper) of the visited partitions' matching vectors.
 
-    A block keeps the `cut` candidates of least Hamming distance; the window keeps them of the whole partition."""
+    A block keeps the `cut` candidates of least Hamming distance; the window keeps them of the whole partition. In exact
+    mode there is no cut; a block drops what its k-th smallest upper bound rules out."""
     shared = index.sparkSession.sparkContext.broadcast(model)
     tables_of = K.bound_tables if config.bound == "adc" else K.symmetric_tables
 
@@ -189,6 +199,9 @@ def candidates(index: DataFrame, queries: DataFrame, model: Model, config: Searc
                     keep = K.top(ham, v.ids[ok], q.routes[i][int(p)])
                     ok, ham = ok[keep], ham[keep]
                 low, high = K.bounds_of(v.codes[ok], tables_of(z, one.bounds))
+                if not everything and config.mode == "exact" and len(ok) > config.shortlist:
+                    keep = (low <= np.partition(high, config.k - 1)[config.k - 1] * (1 + 1e-9)) | (low <= np.partition(low, config.shortlist - 1)[config.shortlist - 1])
+                    ok, ham, low, high = ok[keep], ham[keep], low[keep], high[keep]
                 for column, part in zip(out, (np.full(len(ok), q.ids[i]), np.full(len(ok), p, np.int32), v.ids[ok], ham, low, high)):
                     column.append(part)
         if out[0]:
@@ -240,8 +253,9 @@ def search(index: DataFrame, model: Model, queries: DataFrame, config: SearchCon
     lie below it is ranked exactly. approx: sign cut, bounds, shortlist. approx_nocut: without the sign cut.
     strict=False fills up to k with the nearest rows that fail the query, after those that satisfy it."""
     dims = model.dims
-    distance = all_distances(centroids(model, index.sparkSession), queries.select("query_id", "embedding"), dims)
-    count = matches(index, queries, dims, attrs)
+    queries, table = fetched(queries)
+    distance = all_distances(centroids(model, index.sparkSession), queries, dims, table)
+    count = matches(index, queries, dims, attrs, table)
     chosen = routes(distance, count, config)
     ask = routed(queries, chosen)
     found = candidates(index, ask, model, config, attrs)
