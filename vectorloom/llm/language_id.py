@@ -204,7 +204,7 @@ def identify(docs: DataFrame, settings: Settings = Settings(), modulus: int = 3,
     return out.select("doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3, settings: Settings = Settings()) -> DataFrame:
     """The rows whose language is identified with a probability of `least` or more; columns as before."""
     model = LanguageModel.fit(docs.select("doc_id", "text", "lang"), settings)
     out = model.transform(docs, pred="__vl_lang", score="__vl_score")
