@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import _text as X
-from vectorloom.llm._spark import arrow_batches
+from vectorloom.llm._spark import arrow_batches, shuffle_partitions, stage
 
 WINDOW = 8
+SEGMENT = 1 << 20  # bits of a filter's segment
 GEAR = (X.mix(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(56)).astype(np.uint8)
 
 
@@ -36,6 +37,7 @@ class Settings:
     least_bytes: int = 8
     most_bytes: int = 128
     least_words: int = 25
+    filter_bits: int = 1 << 28
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -79,8 +81,35 @@ def digests(data: np.ndarray, start: int, ends: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint64).view(np.int64)
 
 
-def chunk_rows(docs: DataFrame, s: Settings) -> DataFrame:
-    """(digest, doc_id): the distinct chunk digests of each row of (doc_id, text)."""
+def bit_filter(found: DataFrame, s: Settings):
+    """A broadcast bitmap with the bit of every digest in `found` set; a digest's bit is the number of its top bits.
+
+    It has about sixteen bits a digest up to filter_bits, which bounds the broadcast; beyond that more digests pass for
+    nothing, and are dropped by the join that follows. Segments are built where their digests meet."""
+    size = max(SEGMENT, min(s.filter_bits, 16 * found.count()))
+    bits = (size - 1).bit_length()
+
+    def segments(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            for block in np.unique(at // np.uint64(SEGMENT)):
+                held.setdefault(int(block), np.zeros(SEGMENT, bool))[(at[at // np.uint64(SEGMENT) == block] % np.uint64(SEGMENT)).astype(np.int64)] = True
+        for block, on in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    spark = found.sparkSession
+    shift = 64 - bits + (SEGMENT - 1).bit_length()
+    block = F.shiftrightunsigned("digest", shift) if shift < 64 else F.lit(0)
+    dealt = found.select("digest").repartition(shuffle_partitions(spark), block)
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    for r in dealt.mapInArrow(segments, "block long, bits binary").toLocalIterator():
+        whole[r.block * SEGMENT // 8 : (r.block + 1) * SEGMENT // 8] |= np.frombuffer(r.bits, np.uint8)
+    return spark.sparkContext.broadcast((bits, whole))
+
+
+def chunk_rows(docs: DataFrame, s: Settings, wanted=None) -> DataFrame:
+    """(digest, doc_id): the distinct chunk digests of each row of (doc_id, text), or those that pass the filter."""
 
     def run(batches):
         for batch in batches:
@@ -89,8 +118,13 @@ def chunk_rows(docs: DataFrame, s: Settings) -> DataFrame:
             for i, j in X.row_groups(offsets):
                 part, at = np.ascontiguousarray(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
                 for row, ends in enumerate(chunk_ends(part, at, s)):
-                    kept.append(np.unique(digests(part, int(at[row]), ends)))
-                    count.append(len(kept[-1]))
+                    own = np.unique(digests(part, int(at[row]), ends))
+                    if wanted is not None:
+                        bits, on = wanted.value
+                        place = (own.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                        own = own[on[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1]
+                    kept.append(own)
+                    count.append(len(own))
             if kept:
                 flat, who = np.concatenate(kept), np.repeat(ids, count)
                 for lo in range(0, len(flat), 200_000):
@@ -106,8 +140,9 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), details: bo
     s = settings
     arrow_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    firsts = chunk_rows(plain, s).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    repeats = chunk_rows(plain, s).join(firsts, "digest").where("first < doc_id")
+    firsts = chunk_rows(plain, s).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    firsts = stage(firsts, "substring-firsts")
+    repeats = chunk_rows(plain, s, bit_filter(firsts, s)).join(firsts.hint("merge"), "digest").where("first < doc_id")
     marks = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "first")).alias("__vl_repeats")).withColumnRenamed("doc_id", "__vl_doc")
     joined = docs.withColumn("__vl_text", F.col("text").cast("string")).join(marks, F.col("doc_id").cast("long") == F.col("__vl_doc"), "left").drop("__vl_doc")
     names = docs.columns
