@@ -213,8 +213,7 @@ def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return pa.RecordBatch.from_pylist([{"shard": table.column("shard")[0].as_py(), "sizes": size.tobytes()}], pa.schema([("shard", pa.int32()), ("sizes", pa.binary())]))
 
     sizes = stage(per_group(short, ["shard"], gathered, "shard int, sizes binary"), "packing-sizes")
-    state = sizes.crossJoin(docs.sparkSession.range(s.islands).select(F.col("id").cast("int").alias("island"))) if s.islands > 1 else sizes.withColumn("island", F.lit(0))
-    state = state.withColumn("elites", F.array().cast("array<binary>"))
+    state = sizes.withColumns({"island": F.explode(F.sequence(F.lit(0), F.lit(s.islands - 1))), "elites": F.array().cast("array<binary>")})
     schema = "shard int, island int, fitness struct<bins:int,fill:double>, packing binary"
     fields = pa.schema([("shard", pa.int32()), ("island", pa.int32()), ("fitness", pa.struct([("bins", pa.int32()), ("fill", pa.float64())])), ("packing", pa.binary())])
 
