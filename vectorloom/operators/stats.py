@@ -82,9 +82,11 @@ def attribute_stats(table: DataFrame, names: list[str]) -> DataFrame:
 
 def histogram(table: DataFrame, column: str, bins: int = 40) -> DataFrame:
     """(bin, lo, hi, n): equal-width bins between the least and the largest value; the last bin is closed."""
-    edge = table.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col(column) - F.col("lo")) / width))).otherwise(F.lit(0)).cast("int")
-    counted = table.where(F.col(column).isNotNull()).select(column).join(F.broadcast(edge)).withColumn("bin", place).groupBy("bin").agg(F.count("*").alias("n"))  # edge: one row
-    every = edge.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), (F.col("lo")).alias("base"), width.alias("width"))
-    return every.join(counted, "bin", "left").select("bin", (F.col("base") + F.col("bin") * F.col("width")).alias("lo"), (F.col("base") + (F.col("bin") + 1) * F.col("width")).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+    lo, hi = table.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    if lo is None:
+        return table.sparkSession.createDataFrame([], "bin int, lo double, hi double, n long")
+    width = (hi - lo) / bins
+    place = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.lit(lo)) / width)) if width > 0 else F.lit(0)
+    counted = table.where(F.col(column).isNotNull()).select(place.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    every = table.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counted, "bin", "left").select("bin", (F.lit(lo) + F.col("bin") * width).alias("lo"), (F.lit(lo) + (F.col("bin") + 1) * width).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
