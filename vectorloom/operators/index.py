@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.config import IndexConfig
@@ -163,8 +163,12 @@ def fit_parts(parted: DataFrame, model: Model, rotate: bool, uniform: bool, refi
         model.parts[p].bounds = bounds
     if refine:
         share = max(1, config.sample_rows // max(1, len(model.parts)))
+        by_part: dict[int, list] = {}
+        order = Window.partitionBy("part_id").orderBy(F.xxhash64("vec_id"), "vec_id")
+        for r in parted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("part_id", "embedding").collect():
+            by_part.setdefault(r.part_id, []).append(r.embedding)
         for p, part in model.parts.items():
-            x = part.turn(sampled(parted.where(F.col("part_id") == p), share, dims))
+            x = part.turn(np.array(by_part[p], float))
             part.bounds = [quantize.lloyd(x[:, d], b, config.lloyd_rounds, config.lloyd_change) if len(b) > 2 else b for d, b in enumerate(part.bounds)]
     return model
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.functions import kernels as K
@@ -29,12 +29,13 @@ def value_of(key: int) -> float:
 def order_statistics(vectors: DataFrame, dims: int, ranks: dict[tuple[int, int], list[int]], group: Column | None = None) -> dict[tuple[int, int], list[float]]:
     """The values at 0-based `ranks[(group, dim)]` of the group's values in that dimension, in rising order."""
     df = vectors.select((group if group is not None else F.lit(0)).cast("int").alias("grp"), "embedding").where("embedding is not null")
+    spark = vectors.sparkSession
     # each wanted rank: its leading bits so far and its rank among the values that share them
     want = {(g, d, r): (0, r) for (g, d), rs in ranks.items() for r in rs}
     for shift in (48, 32, 16, 0):
-        prefixes: dict[tuple[int, int], np.ndarray] = {}
+        prefixes: dict[tuple[int, int], set[int]] = {}
         for (g, d, _), (p, _) in want.items():
-            prefixes.setdefault((g, d), set()).add(p)  # type: ignore[arg-type]
+            prefixes.setdefault((g, d), set()).add(p)
         shared = {k: np.array(sorted(v), U64) for k, v in prefixes.items()}
 
         def run(batches, shift=shift, shared=shared):
@@ -58,17 +59,12 @@ def order_statistics(vectors: DataFrame, dims: int, ranks: dict[tuple[int, int],
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, kinds)], ["grp", "dim", "prefix", "digit", "n"])
 
         counts = df.mapInArrow(run, "grp int, dim int, prefix long, digit int, n long").groupBy("grp", "dim", "prefix", "digit").agg(F.sum("n").alias("n"))
-        table: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-        for r in counts.toLocalIterator():
-            table.setdefault((r.grp, r.dim, r.prefix), []).append((r.digit, r.n))
-        for rows in table.values():
-            rows.sort()
-        for (g, d, rank), (prefix, left) in want.items():
-            for digit, n in table[(g, d, prefix)]:
-                if left < n:
-                    want[(g, d, rank)] = (prefix << 16 | digit, left)
-                    break
-                left -= n
+        # 65,536 digits a window at most; only the wanted ranks come to the driver
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("grp", "dim", "prefix").orderBy("digit")))
+        asked = spark.createDataFrame([(g, d, r, p, left) for (g, d, r), (p, left) in want.items()], "grp int, dim int, rank long, prefix long, left_over long")
+        found = upto.join(asked, ["grp", "dim", "prefix"]).where("left_over < upto and left_over >= upto - n")
+        for x in found.select("grp", "dim", "rank", "prefix", "digit", (F.col("left_over") - F.col("upto") + F.col("n")).alias("left_over")).collect():
+            want[(x.grp, x.dim, x.rank)] = (x.prefix << 16 | x.digit, x.left_over)
     return {(g, d): [value_of(want[(g, d, r)][0]) for r in rs] for (g, d), rs in ranks.items()}
 
 
