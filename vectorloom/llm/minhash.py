@@ -13,7 +13,7 @@
    true links are returned, so a group of n copies yields n - 1 edges. Their components are the result.
 
 Set hashes have 64 bits. With t = 0.8, k = 32 and an overlap of 12 a pair at exactly t is missed by the sketches with a
-probability below 1e-7, and even then its documents are compared if both are in one loose component.
+probability below 3e-8, and even then its documents are compared if both are in one loose component.
 
 Null, empty and blank texts have no shingles and are linked with nothing. A row without doc_id has no component. Rows
 that repeat a doc_id count as one document if their texts are equal. Ties don't arise: the smallest doc_id leads.
@@ -40,7 +40,7 @@ class Settings:
     percent: int = 80
     k: int = 32
     overlap: int = 12
-    least_estimate: float = 0.45
+    least_estimate: float = 0.375
     block: int = 512
     columns: int = 4096
 
