@@ -88,6 +88,53 @@ def test_shots_and_decoding():
     assert np.allclose(basis @ basis.T, np.eye(64), atol=1e-3)
 
 
+def test_default_tables():
+    """A frame without tables: three components, four luma blocks a unit, no restarts, coded by the standard's tables."""
+    codes = {}
+    for number in avi.DEFAULT_TABLES:
+        lengths, symbols = avi.default_table(number)
+        assert sum(lengths) == len(symbols) == len(set(symbols)) == (162 if number & 0x10 else 12)
+        code, k = 0, 0
+        for bits in range(1, 17):
+            for _ in range(lengths[bits - 1]):
+                codes[(number, symbols[k])] = f"{code:0{bits}b}"
+                code, k = code + 1, k + 1
+            code <<= 1
+
+    def put(number, run, value):
+        size = abs(value).bit_length()
+        extra = value if value > 0 else value + (1 << size) - 1
+        return codes[(number, run << 4 | size)] + (f"{extra:0{size}b}" if size else "")
+
+    rng = np.random.default_rng(3)
+    blocks = np.zeros((2, 6, 64), int)  # units, blocks of a unit
+    blocks[:, :, 0] = rng.integers(-900, 900, (2, 6))
+    for b in blocks.reshape(-1, 64):
+        b[rng.integers(1, 64, 9)] = rng.integers(-300, 300, 9)
+    bits, last = "", [0, 0, 0]
+    for unit in blocks:
+        for i, b in enumerate(unit):
+            part = max(0, i - 3)
+            table = int(part > 0)
+            bits += put(table, 0, int(b[0]) - last[part])
+            last[part] = int(b[0])
+            run = 0
+            for x in b[1 : np.flatnonzero(b)[-1] + 1 if b[1:].any() else 1].tolist():
+                if not x:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits, run = bits + codes[(0x10 | table, 0xF0)], run - 16
+                bits, run = bits + put(0x10 | table, run, x), 0
+            if not b[63]:
+                bits += codes[(0x10 | table, 0)]
+    bits += "1" * (-len(bits) % 8)
+    data = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    head = b"\xff\xd8" + avi._segment(0xDB, bytes([0] + [1] * 64)) + avi._segment(0xC0, bytes([8, 0, 16, 0, 32, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])) + avi._segment(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0]))
+    out, component, _ = avi.coefficients([head + data + b"\xff\xd9"], head)
+    assert (out[0].reshape(2, 6, 64) == blocks).all() and component.tolist() == [0, 0, 0, 0, 1, 2] * 2
+
+
 def test_missing_index():
     data = avi.write_avi([b"a" * 64 * 40])[0]
     at = data.index(b"idx1")

@@ -6,7 +6,7 @@ one-bit code and eight bits; each block is its own restart interval. Frames are
 fixed size; blocks past the payload's end in the last frame are all zero, which no data block is.
 
 `read_avi` parses the RIFF tree, takes frames from the idx1 index (or an OpenDML index; or, without either, from the
-movi list itself), and `decode` reads any baseline 8-bit JPEG frames whose tables are in the file: Huffman codes are
+movi list itself), and `decode` reads any baseline 8-bit JPEG frames, with tables of their own or the standard's: Huffman codes are
 decoded for all restart intervals of a batch at once, then dequantised and transformed in exact integer arithmetic, so
 equal files give equal values in any batch. Shots are cut where the difference of two frames' luma histograms exceeds a
 threshold that adapts to the differences around it; clips are timed by the file's frame rate.
@@ -54,6 +54,41 @@ def inverse_dct() -> np.ndarray:
     return np.rint(full[zigzag()] * (1 << 14))
 
 
+# Fixed values of the JPEG standard (its annex K.3), which motion-JPEG frames may rely on without carrying them: for each
+# table, how many codes have 1 to 16 bits, and the symbols in code order. The AC symbols that are not listed follow in
+# rising order.
+DEFAULT_TABLES = {
+    0x00: ("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x01: ("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x10: (
+        "00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d",
+        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+    ),
+    0x11: (
+        "00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77",
+        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+    ),
+}
+
+
+def default_table(number: int) -> tuple[bytes, bytes]:
+    """Code lengths and symbols of a default table."""
+    lengths, symbols = (bytes.fromhex(x) for x in DEFAULT_TABLES[number])
+    every = sorted({0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))}) if number & 0x10 else []
+    return lengths, symbols + bytes(x for x in every if x not in symbols)
+
+
+def lookup(lengths: bytes, symbols: bytes) -> np.ndarray:
+    """For each 16 bits, the length of the code they begin with and its symbol, as length * 256 + symbol."""
+    table, code, k = np.zeros(65536, np.int32), 0, 0
+    for bits in range(1, 17):
+        for _ in range(lengths[bits - 1]):
+            table[code << (16 - bits) : (code + 1) << (16 - bits)] = bits << 8 | symbols[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return table
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -202,14 +237,8 @@ def jpeg_tables(head: bytes) -> dict:
                 body = body[1 + 64 * (1 + wide) :]
         elif marker == 0xC4:
             while body:
-                lengths, total = body[1:17], sum(body[1:17])
-                table, code, k = np.zeros(65536, np.int32), 0, 0
-                for bits in range(1, 17):
-                    for _ in range(lengths[bits - 1]):
-                        table[code << (16 - bits) : (code + 1) << (16 - bits)] = bits << 8 | body[17 + k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                out["huff"][body[0]] = table
+                total = sum(body[1:17])
+                out["huff"][body[0]] = lookup(body[1:17], body[17 : 17 + total])
                 body = body[17 + total :]
         elif marker == 0xC0:
             _, out["height"], out["width"], n = struct.unpack_from(">BHHB", body)
@@ -220,8 +249,11 @@ def jpeg_tables(head: bytes) -> dict:
             out["restart"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
             out["scan"] = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, 0x10 | body[2 + 2 * i] & 15) for i in range(body[0])}
-    if not out["huff"] or "scan" not in out or "parts" not in out:
-        raise ValueError("JPEG frame without tables of its own")
+    if "scan" not in out or "parts" not in out:
+        raise ValueError("JPEG frame without a header")
+    for number in DEFAULT_TABLES:
+        if number not in out["huff"]:
+            out["huff"][number] = lookup(*default_table(number))
     return out
 
 
