@@ -98,3 +98,44 @@ def test_alternative_indexes_recall(spark, small, kind):
     real = {(r.query_id, r.vec_id) for r in S.exact_search(v, q, 10, Z.DIMS).collect()}
     got = {(r.query_id, r.vec_id) for r in AlternativeIndex(v, kind).search(q, 10, refine=8).collect()}
     assert len(real & got) / len(real) >= 0.8
+
+
+def test_staged_build_and_rebuild(spark, small):
+    v = Z.plain_vectors(spark, small)
+    config = IndexConfig(partitions=3, bits=160, lloyd_rounds=5)
+    model, parted = I.build(v, config, stage="partition")
+    assert parted.columns == [*v.columns, "part_id"] and not model.parts
+    again, table = I.rebuild(parted, model)
+    assert sum(p.population for p in again.parts.values()) == v.count() == table.count()
+    assert all(sum(p.bits) <= 160 for p in again.parts.values())
+    fair = v.count() // 3
+    assert all(0.9 * fair <= p.population <= 1.1 * fair + 1 for p in again.parts.values())
+
+
+def test_selective_predicates(spark, small):
+    from vectorloom.functions import columns as X
+    from vectorloom.operators.workload import selective_predicates
+
+    v = Z.vectors(spark, small)
+    tests = selective_predicates(v, Z.NAMES, 0.2)
+    kept = v.where(Z.all_of([X.holds(op, F.col(Z.NAMES[i]), F.lit(x)) for i, op, x in tests])).count()
+    assert 0.2 <= kept / v.count() <= 0.35
+
+
+def test_order_statistics_with_ties(spark):
+    from vectorloom.operators.quantiles import order_statistics
+
+    x = [-0.0, 0.0, 1.5, 1.5, 1.5, -7.25, 1e300, -1e-300]
+    v = spark.createDataFrame([(i, [y, -y]) for i, y in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = order_statistics(v, 2, {(0, 0): list(range(8)), (0, 1): [0, 7]})
+    assert got[(0, 0)] == sorted(x) and got[(0, 1)] == [-1e300, 7.25]
+
+
+def test_metrics_files(spark, small, tmp_path):
+    from vectorloom.operators import metrics
+    from vectorloom.plans.queries import QUERIES
+
+    one = QUERIES["run_metrics"](spark, small)
+    metrics.write_metrics(one, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "json")).first().queries == one.first().queries == 25
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1

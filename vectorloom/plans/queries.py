@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vectorloom.config import SearchConfig
 from vectorloom.functions import columns as X
 from vectorloom.functions import kernels as K
-from vectorloom.operators import altindex, inspection, quantize, stats
+from vectorloom.operators import altindex, inspection, metrics, quantize, stats
 from vectorloom.operators import index as I
 from vectorloom.operators import predicates as P
 from vectorloom.operators import search as S
@@ -566,6 +566,12 @@ def recall_weighted(spark, sf):
     return W.weighted_recall(recalls(spark, sf), F.floor(F.col("query_id") / 20) % 3)
 
 
+@query(f"""{RECALL} SELECT (SELECT count(*) FROM mg) AS results, (SELECT count(*) FROM rc) AS queries, (SELECT round(avg(hits / least(10, true_matches)), 6) FROM rc) AS recall,
+  (SELECT count(*) FROM ro) AS visits, (SELECT CAST(sum(n) AS BIGINT) FROM ro) AS candidates""")
+def run_metrics(spark, sf):
+    return metrics.run_metrics(searched(spark, sf, Z.APPROX), recalls(spark, sf), routes_of(spark, sf)[3])
+
+
 @query("SELECT true AS recalled")
 def recall_learned(spark, sf):
     """Whether the learned index finds nine of ten true neighbours and more, with the sign cut."""
