@@ -114,13 +114,20 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int, dims: int, attr
 
     def kernel(q: Rows, v: Rows):
         out: list[list] = [[], [], []]
-        for i in range(q.n):
-            ok = np.flatnonzero(allowed(q, i, v))
-            if len(ok):
-                d = K.distances(v.x[ok], q.x[i])
-                best = K.top(d, v.ids[ok], k)
-                for column, part in zip(out, (np.full(len(best), q.ids[i]), v.ids[ok][best], d[best])):
-                    column.append(part)
+        reach = 1e-9 * (1 + float((v.x * v.x).sum(1).max()))
+        for lo in range(0, q.n, 64):
+            near = K.squared(q.x[lo : lo + 64], v.x)  # by a matrix product; who may be among the k is then measured exactly
+            for i, row in enumerate(near, lo):
+                ok = allowed(q, i, v) if q.preds[i] or q.labels[i] else None
+                at = np.arange(v.n) if ok is None else np.flatnonzero(ok)
+                if len(at) > k:
+                    own = row[at]
+                    at = at[own <= np.partition(own, k - 1)[k - 1] + 2 * (reach + 1e-9 * float(q.x[i] @ q.x[i]))]
+                if len(at):
+                    d = K.distances(v.x[at], q.x[i])
+                    best = K.top(d, v.ids[at], k)
+                    for column, part in zip(out, (np.full(len(best), q.ids[i]), v.ids[at][best], d[best])):
+                        column.append(part)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "dist"])
 
