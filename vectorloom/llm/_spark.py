@@ -85,12 +85,21 @@ def per_group(df: DataFrame, keys: list[str], function: Callable, schema: str, p
     return parted.mapInArrow(run, schema)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 8) -> DataFrame:
+    """rows joined with a table of one row a key; a key's rows are spread over `salts` tasks by another column.
+
+    The table is copied `salts` times, so it should be much smaller than the rows of hot keys."""
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Connected components of an edge list by alternating large-star and small-star rounds.
 
     Returns (node, root) for every node that has an edge to another one; root is the smallest node reachable.
     Each round is written to the shared folder; rounds stop when the edge set no longer changes. Nodes of high degree
-    are only aggregated by min and joined, never gathered."""
+    are only aggregated by min and joined, spread over several tasks, never gathered."""
     spark = edges.sparkSession
 
     def summary(e: DataFrame) -> tuple:
@@ -102,10 +111,10 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     while last[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, f"{name}-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        small = salted_join(large, low, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = stage(small, f"{name}-small")
         now = summary(e)
         if now == last:

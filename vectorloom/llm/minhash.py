@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import _text as X
-from vectorloom.llm._spark import arrow_batches, components, per_group, stage
+from vectorloom.llm._spark import arrow_batches, components, per_group, salted_join, stage
 
 U64 = np.uint64
 
@@ -120,7 +120,7 @@ def blocked(members: DataFrame, group: str, member: str, size: int) -> DataFrame
 
     A member is copied once for every block of its group, and every task holds two blocks at most."""
     count = members.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("__n"))
-    dealt = members.join(count, group).withColumn("__b", F.pmod(F.xxhash64(member), F.col("__n")).cast("int"))
+    dealt = salted_join(members, count, group, member).withColumn("__b", F.pmod(F.xxhash64(member), F.col("__n")).cast("int"))
     return dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumns({"bi": F.least("__b", "__o"), "bj": F.greatest("__b", "__o")}).drop("__n", "__o")
 
 
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     # members against the first of each list
     first = lists.groupBy("v").agg(F.min("rep").alias("first"))
-    pairs = lists.join(first, "v").where("rep <> first").select("rep", "first").distinct()
+    pairs = salted_join(lists, first, "v", "rep").where("rep <> first").select("rep", "first").distinct()
     sketch = reps.select("rep", "sketch")
     tried = pairs.join(sketch.withColumnRenamed("sketch", "a"), "rep").join(sketch.toDF("first", "b"), "first")
     near = stage(tried.where(union_estimate(s.k) >= s.least_estimate).select(F.col("rep").alias("a"), F.col("first").alias("b")), "minhash-near")
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     # lists that more than one component shares
     placed = lists.join(loose.toDF("rep", "c"), "rep", "left").select("v", "rep", F.coalesce("c", "rep").alias("c"))
     open_lists = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
-    members = placed.join(open_lists, "v").join(sketch, "rep").select("v", "rep", "c", "sketch")
+    members = salted_join(placed, open_lists, "v", "rep").join(sketch, "rep").select("v", "rep", "c", "sketch")
 
     def may_reach(sets):
         size = np.array([len(x) for x in sets])
