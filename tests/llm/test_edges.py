@@ -125,6 +125,15 @@ def test_warc(spark):
     assert {bytes(r.payload).decode() for r in body.collect() if r.payload is not None} == {big, "", "é" * 600, "short"}
 
 
+def test_warc_files(spark, tmp_path):
+    """Archives that lie about as files."""
+    pages = spark.createDataFrame([(i, "u", "x" * (i * 9000)) for i in range(5)], "page_id long, url string, html string")
+    for r in warc.write_archives(pages, warc.Settings(compress=True)).collect():
+        (tmp_path / f"{r.archive}.gz").write_bytes(r.content)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert sorted(r.payload_bytes for r in warc.read_archives(files).collect()) == [i * 9000 for i in range(5)]
+
+
 def test_warc_damage(spark):
     pages = spark.createDataFrame([(1, "u", "x" * 40_000)], "page_id long, url string, html string")
     archives = warc.write_archives(pages).orderBy("archive").limit(1)  # the continuations are in the next archive
