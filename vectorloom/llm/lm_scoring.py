@@ -257,8 +257,8 @@ class NgramModel:
         return self.shared[i]
 
     def tune(self, texts: DataFrame) -> None:
-        """Choose a and b by leave-one-out likelihood on the `tune_docs` training texts of smallest hash."""
-        sample = texts.orderBy(F.xxhash64("text"), "text").limit(self.settings.tune_docs) if self.tokens else texts.limit(0)
+        """Choose a and b by leave-one-out likelihood on the `tune_docs` training texts (of a megabyte at most) of smallest hash."""
+        sample = texts.where(F.octet_length("text") <= 1 << 20).orderBy(F.xxhash64("text"), "text").limit(self.settings.tune_docs) if self.tokens else texts.limit(0)
         rows = self._levels(sample.withColumn("key", F.lit(0)), ["key"], last=False).collect()
         value, best = level_values(self.settings.level_base), None
         for a, b in GRID if rows else []:
