@@ -7,7 +7,7 @@ weight this fixed point has a closed form, found by running sums over the table
 is its target over its words; a document is taken floor(rate) times, and once more if a number drawn from a hash of the
 seed and its doc_id is below the rate's fraction.
 
-Everything is DataFrame operations; the table of sources has a row per source and is joined like any other table.
+Everything is DataFrame operations; the table of sources has a row per source, and is broadcast if it is small.
 Null and empty texts have no words and are taken without adding any. Null sources form one source. Rows without doc_id
 draw the number of the text 'null'; repeated rows draw alike. A table without words has targets of 0.
 """
@@ -17,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vectorloom.llm._spark import stage
+
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-1"
+#: Up to this size the table of sources is broadcast, so that texts are not shuffled; a larger one is joined by sorting.
+BROADCAST_BYTES = 16 << 20
 
 
 def word_count(text: str) -> Column:
@@ -49,8 +53,9 @@ def copies(rate: Column, key: Column, seed: str = SEED) -> Column:
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """docs with __vl_size, __vl_source_size, __vl_target, __vl_copies."""
     sized = docs.withColumn("__vl_size", word_count("text"))
-    targets = source_targets(sized.select("source", F.col("__vl_size").alias("size")), weights, most).select(*[F.col(c).alias(f"__vl_{c}") for c in ("source", "source_size", "target", "rate")])
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__vl_source")))
+    targets = stage(source_targets(sized.select("source", F.col("__vl_size").alias("size")), weights, most), "mixing-targets").select(*[F.col(c).alias(f"__vl_{c}") for c in ("source", "source_size", "target", "rate")])
+    few = targets.agg(F.coalesce(F.sum(F.octet_length("__vl_source") + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    joined = sized.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("__vl_source")))
     return joined.withColumn("__vl_copies", copies(F.col("__vl_rate"), F.col("doc_id"), seed)).drop("__vl_source", "__vl_rate")
 
 
