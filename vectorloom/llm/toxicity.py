@@ -2,7 +2,8 @@
 
 Texts are folded first: case, accents, look-alike letters of other scripts, digit substitutions and invisible marks
 (see `_chars.fold`). Lexicon entries are word beginnings; an entry's weight is its log-odds between toxic and clean
-documents. Entries and weights are learned from at most `sample_docs` labelled rows of each class, chosen by hash. An
+documents. Entries and weights are learned from at most `sample_docs` labelled rows of each class, chosen by hash, of
+which one of each group of near copies is used. An
 exception is a phrase of two words around a hit that clean documents use and toxic ones do not; given exception phrases
 are added to the learned ones. Hits inside an exception don't count. The summed weight and the weight per word (the
 length-normalised measure) enter a logistic score that is fitted on the same sample.
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import _chars as C
-from vectorloom.llm._spark import arrow_batches, held_out
+from vectorloom.llm import _text as X
+from vectorloom.llm._spark import arrow_batches, held_out, stage
 
 CHUNK = 200_000
 
@@ -79,6 +81,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
     return w
 
 
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """The sample, (row, toxic, text), with one text of each group of near copies of one label.
+
+    Copies would make their rare words look typical of their label. Texts are copies if they share half of their eight
+    smallest hashes of three-word shingles with the first text that holds them. Sketches of the bounded sample alone
+    come to the driver."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = X.byte_column(batch.column(2))
+            small = [x[:8].view(np.int64).tolist() for i, j in X.row_groups(offsets) for x in X.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.list_(pa.int64()))], ["row", "toxic", "small"])
+
+    first: dict[tuple, int] = {}
+    keep = []
+    for r in sorted(sample.mapInArrow(run, "row long, toxic int, small array<long>").collect()):
+        held = Counter(first[(r.toxic, v)] for v in r.small if (r.toxic, v) in first)
+        if not held or held.most_common(1)[0][1] * 2 < len(r.small):
+            keep.append((r.row,))
+        for v in r.small:
+            first.setdefault((r.toxic, v), r.row)
+    kept = sample.sparkSession.createDataFrame(keep, "row long")
+    return sample.join(F.broadcast(kept), "row")  # rows of the sample at most
+
+
 @dataclass
 class ToxicityModel:
     settings: Settings = Settings()
@@ -153,7 +180,9 @@ class ToxicityModel:
         if not n.get(True) or not n.get(False):
             return model
         picked = [labels.where((F.col("toxic") > 0) == kind).orderBy(F.xxhash64("key"), "key").limit(s.sample_docs) for kind in (True, False)]
-        sample = docs.toDF("key", "text").join(F.broadcast(picked[0].union(picked[1])), "key").select((F.col("toxic") > 0).cast("int").alias("toxic"), "text")  # 2 x sample_docs ids at most
+        texts = docs.toDF("key", "text").join(F.broadcast(picked[0].union(picked[1])), "key")  # 2 x sample_docs ids at most
+        sample = stage(texts.select(F.monotonically_increasing_id().alias("row"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text"), "toxicity-sample")
+        sample = one_of_copies(sample).select("toxic", "text")
 
         def beginnings(batches):
             count: list[Counter] = [Counter(), Counter()]
