@@ -28,6 +28,7 @@ from vectorloom.llm import _text as X
 from vectorloom.llm._spark import arrow_batches, held_out, stage
 
 CHUNK = 200_000
+LEAST_DISTINCT = 10
 
 
 @dataclass(frozen=True)
@@ -85,7 +86,8 @@ def one_of_copies(sample: DataFrame) -> DataFrame:
     """The sample, (row, toxic, text), with one text of each group of near copies of one label.
 
     Copies would make their rare words look typical of their label. Texts are copies if they share half of their eight
-    smallest hashes of three-word shingles with the first text that holds them. Sketches of the bounded sample alone
+    smallest hashes of three-word shingles with the first text that holds them. If that leaves fewer than LEAST_DISTINCT
+    texts of a label, the sample stays as it is. Sketches of the bounded sample alone
     come to the driver."""
 
     def run(batches):
@@ -99,10 +101,12 @@ def one_of_copies(sample: DataFrame) -> DataFrame:
     for r in sorted(sample.mapInArrow(run, "row long, toxic int, small array<long>").collect()):
         held = Counter(first[(r.toxic, v)] for v in r.small if (r.toxic, v) in first)
         if not held or held.most_common(1)[0][1] * 2 < len(r.small):
-            keep.append((r.row,))
+            keep.append((r.row, r.toxic))
         for v in r.small:
             first.setdefault((r.toxic, v), r.row)
-    kept = sample.sparkSession.createDataFrame(keep, "row long")
+    if min(Counter(toxic for _, toxic in keep).get(t, 0) for t in (0, 1)) < LEAST_DISTINCT:
+        return sample  # nothing but copies to learn from
+    kept = sample.sparkSession.createDataFrame([(row,) for row, _ in keep], "row long")
     return sample.join(F.broadcast(kept), "row")  # rows of the sample at most
 
 
