@@ -36,7 +36,7 @@ class Settings:
     mask_bits: int = 4
     least_bytes: int = 8
     most_bytes: int = 128
-    least_words: int = 25
+    least_words: int = 22
     filter_bits: int = 1 << 28
 
 
