@@ -217,6 +217,36 @@ def test_substring_repeats(docs, texts):
     assert len(caught - repeats) <= 0.01 * len(caught) and all(rows[k].text == texts[k] for k in set(texts) - caught)
 
 
+def test_substring_one_holder(spark, docs, texts):
+    """What is cut stands in one earlier document, 20 whole words at a time; chunks that several of them hold do not do."""
+    line = "the quick brown theatre bleu "
+    rows = [(1, f"one {line * 3}end"), (2, f"two {line * 40}end"), (3, f"three {line * 40}end")]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].removed_words == 0 and got[2].text == rows[1][1] and got[3].removed_words > 150 and got[3].first_doc_ids == [2]
+    rows = {r.doc_id: r for r in substring_dedup.remove_repeats(docs.select("doc_id", "text")).collect()}
+    seen: dict = {}
+    for k in sorted(texts):
+        w = (texts[k] or "").encode().split()
+        for g in {tuple(w[i : i + 20]) for i in range(len(w) - 19)}:
+            seen.setdefault(g, k)
+    for k, r in rows.items():
+        for span in r.removed_spans:
+            w = texts[k].encode()[span.start : span.end].split()[1:-1]
+            held = {j for i in range(len(w) - 19) if seen[tuple(w[i : i + 20])] < k for j in range(i, i + 20)}
+            assert len(held) == len(w)
+
+
+def test_substring_copies_go_whole(spark):
+    """A copy of 22 words and more is cut to its last word, whatever its length."""
+    import random
+
+    rng = random.Random(5)
+    long = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in range(22, 90)]
+    rows = [(2 * i + j, t) for i, t in enumerate(long) for j in (0, 1)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.text == ("" if r.doc_id % 2 else long[r.doc_id // 2]) for r in got)
+
+
 def test_insertion_resists_shift():
     s = substring_dedup.Settings()
     base = " ".join(f"word{i * 7919 % 1000}" for i in range(400)).encode()

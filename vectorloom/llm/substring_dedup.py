@@ -2,9 +2,11 @@
 
 A gear hash rolls over each text's UTF-8 bytes; a chunk ends where its top bits are zero, subject to a least and a
 largest size. The hash at a byte depends on the `WINDOW` bytes before it only, so insertions shift no later boundary and
-equal passages fall into equal chunks. Chunks are compared by 64-bit digests; a chance collision marks one chunk only, and
-nothing is cut for less than a run of chunks. A chunk is a repeat if a document with a smaller doc_id holds it too; runs of neighbouring repeats of at least `least_words` words are removed. The first holder
-of a chunk keeps it, so no passage disappears from the corpus, and repeats within one document stay.
+equal passages fall into equal chunks. What is compared is windows: the shortest sequences of neighbouring chunks with at
+least `least_words` words, one from each chunk on and one up to each chunk, by 96-bit digests of their chunks' digests. A
+window is a repeat if a document with a smaller doc_id holds the whole of it; all repeats are removed. So what is cut
+stands, `least_words` words at a time, in one earlier document, which may have lost it to a still earlier one; the first
+holder of a window keeps what no earlier window covers. Repeats within one document stay.
 
 Boundaries fall into step only after some bytes of a passage, so a repeated passage of 50 words and more shows as a run
 that is shorter by a few chunks; the default threshold allows for that.
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,38 @@ def digests(data: np.ndarray, start: int, ends: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint64).view(np.int64)
 
 
+def windows(data: np.ndarray, offsets: np.ndarray, s: Settings):
+    """(starts, ends, a, b, digest, check): the rows' chunks, and the first and last chunk and the digests of each window.
+
+    A window never leaves its row. Prefix sums give a window's digests, so long windows cost no more than short ones."""
+    of_row = chunk_ends(data, offsets, s)
+    rows = np.repeat(np.arange(len(of_row)), [len(e) for e in of_row])
+    ends = np.concatenate([*of_row, np.zeros(0, np.int64)])
+    starts = np.concatenate([np.zeros(min(1, len(ends)), np.int64), ends[:-1]])  # rows are neighbours
+    begins, least = X.words(data, offsets)[0], max(1, s.least_words)
+    n = np.arange(len(ends))
+    # from each chunk on: the chunk that holds the beginning of the last word needed
+    last = np.searchsorted(begins, starts) + least - 1
+    a = n[last < len(begins)]
+    b = np.searchsorted(ends, begins[last[a]], "right")
+    # up to each chunk: the chunk that holds the beginning of the first word needed
+    first = np.searchsorted(begins, ends) - least
+    d = n[first >= 0]
+    c = np.searchsorted(ends, begins[first[d]], "right")
+    new = ~np.isin(d, b)  # elsewhere the last window from a chunk on is the one up to d
+    a, b = np.concatenate([a, c[new]]), np.concatenate([b, d[new]])
+    own = rows[a] == rows[b]
+    a, b = a[own], b[own]
+    one = np.concatenate([digests(data, int(o), e) for o, e in zip(offsets, of_row)] + [np.zeros(0, np.int64)]).view(np.uint64)
+    up, down = X._power_tables(len(one) + 1)
+    out = []
+    for x in (one, X.mix(one ^ np.uint64(0xD6E8FEB86659FD93))):
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * up[: len(x)], out=sums[1:])
+        out.append(X.mix((sums[b + 1] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
+    return starts, ends, a, b, out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def bit_filter(found: DataFrame, s: Settings):
     """A broadcast bitmap with the bit of every digest in `found` set; a digest's bit is the number of its top bits.
 
@@ -108,29 +143,31 @@ def bit_filter(found: DataFrame, s: Settings):
     return spark.sparkContext.broadcast((bits, whole))
 
 
-def chunk_rows(docs: DataFrame, s: Settings, wanted=None) -> DataFrame:
-    """(digest, doc_id): the distinct chunk digests of each row of (doc_id, text), or those that pass the filter."""
+def window_rows(docs: DataFrame, s: Settings, wanted=None) -> DataFrame:
+    """(digest, check, doc_id): the distinct windows of each row of (doc_id, text), or those that pass the filter."""
 
     def run(batches):
         for batch in batches:
             data, offsets = X.byte_column(batch.column(1))
-            ids, kept, count = batch.column(0).to_numpy(zero_copy_only=False), [], []
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in X.row_groups(offsets):
                 part, at = np.ascontiguousarray(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
-                for row, ends in enumerate(chunk_ends(part, at, s)):
-                    own = np.unique(digests(part, int(at[row]), ends))
-                    if wanted is not None:
-                        bits, on = wanted.value
-                        place = (own.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-                        own = own[on[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1]
-                    kept.append(own)
-                    count.append(len(own))
-            if kept:
-                flat, who = np.concatenate(kept), np.repeat(ids, count)
-                for lo in range(0, len(flat), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(flat[lo : lo + 200_000]), pa.array(who[lo : lo + 200_000], pa.int64())], ["digest", "doc_id"])
-
-    return docs.mapInArrow(run, "digest long, doc_id long")
+                starts, _, a, _, digest, check = windows(part, at, s)
+                if wanted is not None:
+                    bits, on = wanted.value
+                    place = (digest.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                    some = on[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+                    a, digest, check = a[some], digest[some], check[some]
+                row = np.searchsorted(at, starts[a], "right") - 1
+                order = np.lexsort((check, digest, row))
+                row, digest, check = row[order], digest[order], check[order]
+                once = np.ones(len(row), bool)
+                once[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1]) | (check[1:] != check[:-1])
+                digest, check, who = digest[once], check[once], ids[i:j][row[once]]
+                for lo in range(0, len(digest), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[lo : lo + 200_000]), pa.array(check[lo : lo + 200_000]), pa.array(who[lo : lo + 200_000], pa.int64())], ["digest", "check", "doc_id"])
+
+    return docs.mapInArrow(run, "digest long, check int, doc_id long")
 
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings(), details: bool = True) -> DataFrame:
@@ -140,10 +177,10 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), details: bo
     s = settings
     arrow_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    firsts = chunk_rows(plain, s).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    firsts = window_rows(plain, s).groupBy("digest", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     firsts = stage(firsts, "substring-firsts")
-    repeats = chunk_rows(plain, s, bit_filter(firsts, s)).join(firsts.hint("merge"), "digest").where("first < doc_id")
-    marks = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "first")).alias("__vl_repeats")).withColumnRenamed("doc_id", "__vl_doc")
+    repeats = window_rows(plain, s, bit_filter(firsts, s)).join(firsts.hint("merge"), ["digest", "check"]).where("first < doc_id")
+    marks = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "check", "first")).alias("__vl_repeats")).withColumnRenamed("doc_id", "__vl_doc")
     joined = docs.withColumn("__vl_text", F.col("text").cast("string")).join(marks, F.col("doc_id").cast("long") == F.col("__vl_doc"), "left").drop("__vl_doc")
     names = docs.columns
     extra = [("n_chunks", "int"), ("removed_words", "int"), ("removed_spans", "array<struct<start:bigint,end:bigint>>"), ("first_doc_ids", "array<bigint>")] if details else []
@@ -154,39 +191,47 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), details: bo
             data, offsets = X.byte_column(batch.column("__vl_text"))
             texts = batch.column("__vl_text").to_pylist()
             n_chunks, words, spans, origins = [], [], [], []
-            for i, repeats in enumerate(batch.column("__vl_repeats").to_pylist()):
+            lists = batch.column("__vl_repeats")
+            place = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            flat = lists.flatten()
+            digest, check, holder = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("digest", "check", "first"))
+            for i in range(batch.num_rows):
                 part = np.ascontiguousarray(data[offsets[i] : offsets[i + 1]])
-                ends = chunk_ends(part, np.array([0, len(part)]), s)[0] if repeats or details else np.zeros(0, np.int64)
-                gone, first, lost = [], set(), 0
-                if repeats:
-                    known = {r["digest"]: r["first"] for r in repeats}
-                    source = [known.get(d) for d in digests(part, 0, ends).tolist()]
-                    begins = X.words(part, np.array([0, len(part)]))[0]
-                    starts = np.concatenate([[0], ends[:-1]])
-                    a = 0
-                    while a < len(source):
-                        b = a
-                        while b < len(source) and source[b] is not None:
-                            b += 1
-                        if b > a:
-                            lo, hi = int(starts[a]), int(ends[b - 1])
-                            # whole characters only
-                            while lo < hi and part[lo] & 0xC0 == 0x80:
-                                lo += 1
-                            while hi < len(part) and hi > lo and part[hi] & 0xC0 == 0x80:
-                                hi -= 1
-                            n = int(np.searchsorted(begins, hi) - np.searchsorted(begins, lo))
-                            if n >= s.least_words:
-                                gone.append({"start": lo, "end": hi})
-                                first |= set(source[a:b])
-                                lost += n
-                        a = max(b, a + 1)
+                gone, first, lost, count = [], set(), 0, 0
+                own = slice(int(place[i]), int(place[i + 1]))
+                if own.start < own.stop:
+                    at = np.array([0, len(part)])
+                    starts, ends, a, b, have, also = windows(part, at, s)
+                    count = len(ends)
+                    order = np.argsort(digest[own], kind="stable")
+                    near = order[np.minimum(np.searchsorted(digest[own], have, sorter=order), len(order) - 1)]
+                    hit = (digest[own][near] == have) & (check[own][near] == also)
+                    a, b, source = a[hit], b[hit], holder[own][near[hit]]
+                    step = np.zeros(count + 1, np.int64)
+                    np.add.at(step, a, 1)
+                    np.add.at(step, b + 1, -1)
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(step) > 0]).astype(np.int8)))
+                    begins = X.words(part, at)[0]
+                    for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                        lo, hi = int(starts[x]), int(ends[y - 1])
+                        # whole characters only
+                        while lo < hi and part[lo] & 0xC0 == 0x80:
+                            lo += 1
+                        while hi < len(part) and hi > lo and part[hi] & 0xC0 == 0x80:
+                            hi -= 1
+                        n = int(np.searchsorted(begins, hi) - np.searchsorted(begins, lo))
+                        if n >= s.least_words:
+                            gone.append({"start": lo, "end": hi})
+                            first |= set(source[(a >= x) & (b < y)].tolist())
+                            lost += n
+                elif details:
+                    count = len(chunk_ends(part, np.array([0, len(part)]), s)[0])
                 if gone:
                     keep = np.ones(len(part), bool)
                     for g in gone:
                         keep[g["start"] : g["end"]] = False
                     texts[i] = part[keep].tobytes().decode("utf-8", "replace")
-                n_chunks.append(len(ends))
+                n_chunks.append(count)
                 words.append(lost)
                 spans.append(gone)
                 origins.append(sorted(first))
