@@ -100,6 +100,22 @@ def test_alternative_indexes_recall(spark, small, kind):
     assert len(real & got) / len(real) >= 0.8
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_rabitq_search_recall(spark, monkeypatch, sf):
+    """The query finds nine of ten true neighbours on every size, and says so if it does not."""
+    from vectorloom.plans import queries as registry
+
+    recall_at, got = registry.W.recall_at, []
+
+    def noted(*args):
+        got.append(recall_at(*args))
+        return got[0].withColumn("recall", F.lit(0.89))
+
+    monkeypatch.setattr(registry.W, "recall_at", noted)
+    assert not registry.QUERIES["rabitq_search"](spark, f"/root/testdata/{sf}").first().recalled
+    assert got[0].agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_staged_build_and_rebuild(spark, small):
     v = Z.plain_vectors(spark, small)
     config = IndexConfig(partitions=3, bits=160, lloyd_rounds=5)
