@@ -116,6 +116,20 @@ def test_rabitq_search_recall(spark, monkeypatch, sf):
     assert got[0].agg(F.avg("recall")).first()[0] >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+@pytest.mark.parametrize("kind, refine", [("sq8", 2), ("pq", 8)])
+def test_probed_lists_recall(spark, sf, kind, refine):
+    """Six of eight lists hold nine of ten true neighbours, and lists that are not probed are left out."""
+    from vectorloom.plans import queries as registry
+
+    v = Z.plain_vectors(spark, f"/root/testdata/{sf}")
+    real = {(r.query_id, r.vec_id) for r in S.exact_search(v, Z.queries(v), Z.K, Z.DIMS).collect()}
+    rows = registry.probed(spark, f"/root/testdata/{sf}", kind, refine=refine).collect()
+    got = {(r.query_id, r.vec_id) for r in rows}
+    assert len(rows) == len(got) == len(real) and 0.9 <= len(real & got) / len(real) < 1
+    assert registry.QUERIES["ivf_probed_recall" if kind == "sq8" else "pq_probed_recall"](spark, f"/root/testdata/{sf}").first().recalled
+
+
 def test_staged_build_and_rebuild(spark, small):
     v = Z.plain_vectors(spark, small)
     config = IndexConfig(partitions=3, bits=160, lloyd_rounds=5)

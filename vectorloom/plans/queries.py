@@ -623,6 +623,28 @@ def pq_search(spark, sf):
     return same_as(spark, sf, "pq", refine=4)
 
 
+def probed(spark, sf, kind, **settings):
+    """Neighbours by an index of eight inverted lists, of which a query meets the nearest six."""
+    v = Z.plain_vectors(spark, sf)
+    return altindex.AlternativeIndex(v, kind, lists=8).search(Z.queries(v), Z.K, probes=6, **settings)
+
+
+def probed_recall(spark, sf, kind, **settings):
+    v = Z.plain_vectors(spark, sf)
+    found = probed(spark, sf, kind, **settings)
+    return W.recall_at(found, W.ground_truth(v, Z.queries(v), Z.K), Z.K).agg((F.avg("recall") >= 0.9).alias("recalled"))
+
+
+@query("SELECT true AS recalled")
+def ivf_probed_recall(spark, sf):
+    return probed_recall(spark, sf, "sq8")
+
+
+@query("SELECT true AS recalled")
+def pq_probed_recall(spark, sf):
+    return probed_recall(spark, sf, "pq", refine=8)
+
+
 @query("SELECT true AS recalled", name="rabitq_search")
 def rabitq_search(spark, sf):
     v = Z.plain_vectors(spark, sf)
