@@ -49,18 +49,65 @@ def test_lm(docs, texts):
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    # the same model from exact counts
+    pairs = collections.Counter(x for k, w in tokens.items() if zlib.crc32(str(k).encode()) % 7 != 2 for x in zip(w, w[1:]))
+    s, off = lm_scoring.Settings(), []
+    for r in rows:
+        want, last = 0.0, None
+        for x in tokens[r.doc_id]:
+            p = (count[x] + 1) / (total + kinds + 1)
+            if last is not None and count[last]:
+                weight = count[last] / (count[last] + s.a * count[last] ** s.b)
+                p = weight * pairs[(last, x)] / count[last] + (1 - weight) * p
+            want, last = want + math.log10(p), x
+        off.append(abs(r.score - want))
+        assert off[-1] <= 0.6 + 0.014 * len(tokens[r.doc_id])  # log10(65 / 64) for each of two counts; a false hit doubles one
+    assert sum(off) <= 0.003 * sum(map(len, tokens.values())), (max(off), sum(off), sum(map(len, tokens.values())))
 
 
-def test_filter_levels(docs):
-    """No count is read too low, and few too high."""
-    s = lm_scoring.Settings()
-    model = lm_scoring.NgramModel.fit(docs.select("text").limit(300), s)
-    part = model._slice(0).value
-    want = lm_scoring.levels_of(part.word_n, s.level_base)
-    got = part.levels(part.words)
-    assert (got >= want).all() and (got > want).mean() < 0.05
-    unseen = np.arange(1, 20_001, dtype=np.uint64) << np.uint64(2)
-    assert (part.levels(unseen) > 0).mean() < 0.05
+@pytest.fixture(scope="module")
+def lm(docs):
+    return lm_scoring.NgramModel.fit(docs.select("text"), lm_scoring.Settings())
+
+
+def test_lm_probabilities_sum_to_one(lm, docs):
+    """Over all words and an unknown one, without a context and after rare and frequent words."""
+    import pyarrow as pa
+
+    part, value = lm._slice(0).value, lm_scoring.values()
+    data, offsets = lm_scoring.X.byte_column(pa.array([r.text for r in docs.collect()]))
+    token = np.unique(lm_scoring.tokens(data, offsets)[0])
+    key = token & np.uint64(0xFFFFFFFFFFFFFFFC)
+    exact, read, total = part.exact(key), value[part.codes(key)], lm.mass + lm.types + 1
+    assert len(token) == lm.types and math.isclose((read + 1).sum() + 1, total)
+    rng = np.random.default_rng(0)
+    for lo, hi in ((1, 2), (2, 5), (5, 20), (20, 100), (100, 1000), (1000, 10**9)):
+        some = np.flatnonzero((exact >= lo) & (exact < hi) & (token != np.uint64(lm_scoring.END)))
+        for i in rng.choice(some, min(8, len(some)), replace=False):
+            both = np.empty(2 * len(token), np.uint64)
+            both[::2], both[1::2] = token[i], token
+            pair = lm_scoring.X.chain(both, 2)[::2] & np.uint64(0xFFFFFFFFFFFFFFFC) | np.uint64(1)
+            mass = 0.0
+            for lot in range(0, len(token), 5000):  # a column: the context, then one word
+                codes = np.zeros((2, 2, len(token[lot : lot + 5000])), np.uint16)
+                codes[0, 0], codes[0, 1] = part.codes(key[i : i + 1])[0], part.codes(key[lot : lot + 5000])
+                codes[1, 1] = part.codes(pair[lot : lot + 5000])
+                flat = codes.transpose(0, 2, 1).reshape(2, -1)
+                begun = np.tile([0, 1], flat.shape[1] // 2)
+                mass += lm_scoring.probability(flat, begun, total, lm.settings.a, lm.settings.b)[1::2].sum()
+            unknown = np.array([[part.codes(key[i : i + 1])[0], 0], [0, 0]], np.uint16)
+            mass += lm_scoring.probability(unknown, np.arange(2), total, lm.settings.a, lm.settings.b)[1]
+            assert 0.98 <= mass <= 1.02, (exact[i], mass)
+
+
+def test_filter_counts(lm):
+    """Counts are read to six binary digits, with hardly any false hits; words that were not seen are not found."""
+    part, value = lm._slice(0).value, lm_scoring.values()
+    want, got = value[lm_scoring.quantised(part.word_n)], value[part.codes(part.words)]
+    assert (np.abs(want / part.word_n - 1) <= 1 / 64).all() and (want[part.word_n < 64] == part.word_n[part.word_n < 64]).all()
+    assert (got >= want).all() and (got > want).mean() < 0.02
+    unseen = np.arange(1, 200_001, dtype=np.uint64) << np.uint64(2)
+    assert (part.codes(unseen) > 0).sum() <= 1
 
 
 def test_lm_order_three(docs):

@@ -36,6 +36,8 @@ def test_lm(spark, odd):
     assert all(r.score <= 0 and r.train_tokens == rows[(1, 1)].train_tokens for r in rows.values())
     one = odd.where("doc_id = 4")  # nothing to learn from but itself
     assert lm_scoring.score_documents(one).first().n_tokens == 2
+    nothing = odd.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")  # no row to learn from
+    assert all((r.base_score, r.score, r.train_tokens) == (0, 0, 0) for r in lm_scoring.score_documents(nothing).collect())
 
 
 def test_lm_slices_agree(spark, odd):
@@ -49,6 +51,7 @@ def test_lm_slices_agree(spark, odd):
     for r in tiny.score(odd).collect():
         n_known, base, score = whole[(r.doc_id, r.n_tokens)]
         assert r.n_known == n_known and abs(r.base_score - base) < 1e-6 * abs(base)
+        assert abs(r.score - score) <= 0.6 + 0.014 * r.n_tokens
 
 
 def test_media(spark, odd):

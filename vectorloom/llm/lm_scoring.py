@@ -4,17 +4,23 @@ Counting, filter building and scoring are three distributed passes:
 
 1. Every task hashes its words and n-grams, sums equal ones and ships them as packed arrays, one row per hash block.
    Blocks are ranges of the hash, so no word, however common, makes a block larger than another.
-2. Each block's counts are summed; a count c is quantised to level 1 + floor(log_b c) and the pairs (n-gram, 1..level)
-   go into the block's own bit array. Exact word counts, for the add-one base score, are kept as sorted arrays.
+2. Each block's counts are summed and quantised to 2^e (1 + m/32), exact below 64. The block's own bit array gets the
+   entries (n-gram, 0..e), the logarithm in unary, and one entry for each bit of m that is set. Exact word counts, for
+   the add-one base score, are kept as sorted arrays.
 3. Blocks are broadcast in slices of at most `slice_mb`, and every slice is one pass over the documents. A document's
-   levels found so far travel with it as a byte per word and order, so several slices need no more memory than one.
+   counts found so far travel with it as two bytes per word and order, so several slices need no more memory than one.
 
-A word's probability interpolates the orders: p(w|h) = l c(hw)/c(h) + (1 - l) p(w|h'), with l = c / (c + a c^b) for
-c = c(h), all counts read from the filter by probing levels 1, 2, ... until one is missing. a and b are chosen by
-leave-one-out likelihood on a bounded sample of training documents (`tune_docs`); all counts cover all training rows.
+All counts are read from the filter by repeated membership probes: entries 0, 1, ... until one is missing, then the bits
+of m. A word's probability interpolates the orders: p(w|h) = l c(hw)/c(h) + (1 - l) p(w|h'), with l = c / (c + a c^b) for
+c = c(h). The words' own probabilities are (c(w) + 1) / (Q + V + 1), Q being the sum of the V words' counts as the filter
+gives them, so those of all words and of one unknown word sum to 1, and those after a context to 1 but for quantisation
+(below 1 % a count) and false hits. An n-gram's first entry has as many probes as training tokens have binary digits, and
+`spare` more: the false hits of a whole vocabulary then weigh less than 2^-spare of one count, at every corpus size. An
+n-gram counts no more often than its context and its shorter form do, which false hits can't have all raised.
 
 Null and empty texts count as a text with no words: one end token. An empty training set gives every token the base
-probability 1. Repeated rows count as often as they occur. Rows with a null key are training rows.
+probability 1 and the score 0. Repeated rows count as often as they occur. Rows with a null key are training rows. Texts
+of any length are read whole, in segments; texts that tie in score are simply equal. `a` and `b` are fixed settings.
 """
 
 from __future__ import annotations
@@ -27,23 +33,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import _text as X
-from vectorloom.llm._spark import arrow_batches, held_out, shuffle_partitions, stage
+from vectorloom.llm._spark import arrow_batches, held_out, per_group, stage
 
 U64 = np.uint64
 END = int(X.mix(np.array([0xE0D], U64))[0])
 FLUSH = 2_000_000
-GRID = [(a, b) for a in (0.5, 1.0, 2.0, 4.0, 8.0, 32.0) for b in (0.5, 0.75, 0.9, 1.0)]
+FINE = 5  # bits of m
+FIRST_FINE = 64  # number of the entry for the highest bit of m
 
 
 @dataclass(frozen=True)
 class Settings:
     order: int = 2
-    level_base: float = 1.5
-    bits_per_entry: int = 10
-    probes: int = 5
+    a: float = 4.0
+    b: float = 0.75
+    spare: int = 10
+    probes: int = 14
     slice_mb: int = 192
     block_bytes: int = 4 << 20
-    tune_docs: int = 300
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +93,8 @@ def block_rows(keys: np.ndarray, n: np.ndarray, shift: int) -> pa.RecordBatch:
     at = np.concatenate([np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), [len(keys)]])
     ids = block[at[:-1]]
     put = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), put(keys), put(n.astype(np.int64))], ["block", "keys", "n"])
+    columns = [pa.array(ids.astype(np.int32)), put(keys), put(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["block", "keys", "n"])
 
 
 def ngram_counts(texts: DataFrame, order: int, shift: int) -> DataFrame:
@@ -109,89 +117,151 @@ def ngram_counts(texts: DataFrame, order: int, shift: int) -> DataFrame:
     return texts.mapInArrow(run, "block int, keys binary, n binary")
 
 
-def bit_positions(keys: np.ndarray, level: int, probe: int, probes: int, size: np.ndarray | int) -> np.ndarray:
-    x = (keys ^ U64((level * probes + probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * U64(0xFF51AFD7ED558CCD)
-    x ^= x >> U64(32)
-    x *= U64(0xC4CEB9FE1A85EC53)
-    return ((x >> U64(32)) * size) >> U64(32)
-
-
-def levels_of(n: np.ndarray, base: float) -> np.ndarray:
-    return 1 + np.floor(np.log(n) / np.log(base) + 1e-9).astype(np.int64)
-
+def quantised(n: np.ndarray) -> np.ndarray:
+    """Codes of counts above 0: (e + 1) << 5 | m, with 2^e (1 + m/32) the count to six binary digits."""
+    e = np.frexp(n.astype(float))[1] - 1
+    m = np.rint((n / np.exp2(e) - 1) * (1 << FINE)).astype(np.int64)
+    return ((e + 1 << FINE) + m).astype(np.uint16)  # m = 32 carries into e
 
-def level_values(base: float, top: int = 256) -> np.ndarray:
-    """The count that stands for each level: the middle of the whole counts that it holds."""
-    n = np.arange(top, dtype=float)
-    low, high = np.ceil(base ** (n - 1) - 1e-9), np.ceil(base**n - 1e-9) - 1
-    return np.where(n == 0, 0.0, np.where(high >= low, (low + np.maximum(low, high)) / 2, low))
-
-
-def build_filter(counts: DataFrame, s: Settings) -> DataFrame:
-    """(block, words, word_n, bits, tokens): one row per block."""
-
-    def run(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for block, k, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                held.setdefault(block, []).append((np.frombuffer(k, U64), np.frombuffer(n, np.int64)))
-        for block in sorted(held):
-            keys, n = summed(*(np.concatenate(x) for x in zip(*held.pop(block))))
-            level = levels_of(n, s.level_base)
-            size = max(64, -(-int(level.sum()) * s.bits_per_entry // 64) * 64)
-            bits = np.zeros(size, bool)
-            for at in range(1, int(level.max()) + 1):
-                here = keys[level >= at]
-                for probe in range(s.probes):
-                    bits[bit_positions(here, at, probe, s.probes, U64(size)).astype(np.int64)] = True
-            is_word = keys & U64(3) == 0
-            row = [block, keys[is_word].tobytes(), n[is_word].tobytes(), np.packbits(bits, bitorder="little").tobytes(), int(n[is_word].sum()), int(is_word.sum())]
-            yield pa.RecordBatch.from_pylist([dict(zip(("block", "words", "word_n", "bits", "tokens", "types"), row))], schema=FILTER)
 
-    parted = counts.repartition(shuffle_partitions(counts.sparkSession), "block")
-    return parted.mapInArrow(run, "block int, words binary, word_n binary, bits binary, tokens long, types long")
+def values() -> np.ndarray:
+    """The count that each code stands for; 0 for code 0."""
+    code = np.arange(64 << FINE)
+    e, m = (code >> FINE) - 1, code & (1 << FINE) - 1
+    return np.where(e < 0, 0.0, np.exp2(np.maximum(e, 0)) * (1 + m / (1 << FINE)))
 
 
-FILTER = pa.schema([("block", pa.int32()), ("words", pa.binary()), ("word_n", pa.binary()), ("bits", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
+def probe_seeds(keys: np.ndarray, entry: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stride of an entry's probes, 32 bits each."""
+    x = (keys ^ U64((entry + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * U64(0xFF51AFD7ED558CCD)
+    x ^= x >> U64(32)
+    x *= U64(0xC4CEB9FE1A85EC53)
+    x ^= x >> U64(29)
+    return x >> U64(32), x & U64(0xFFFFFFFF) | U64(1)
+
+
+def probe_place(start: np.ndarray, stride: np.ndarray, probe: int, size: np.ndarray | int) -> np.ndarray:
+    return ((start + U64(probe) * stride & U64(0xFFFFFFFF)) * size >> U64(32)).astype(np.int64)
+
+
+def probes_of(entry: int, first: int, s: Settings) -> int:
+    return first if entry == 0 else s.probes
+
+
+def put_entries(keys: np.ndarray, n: np.ndarray, first: int, s: Settings) -> np.ndarray:
+    """The bit array of a block's n-grams with counts, half of it set; its length is a multiple of 64."""
+    code = quantised(n)
+    e, m = (code >> FINE).astype(np.int64) - 1, code.astype(np.int64) & (1 << FINE) - 1
+    set_bits = first * len(keys) + s.probes * int(e.sum() + np.bitwise_count(m.astype(np.uint8)).sum())
+    size = max(64, -(-int(set_bits / np.log(2)) // 64) * 64)
+    bits = np.zeros(size, bool)
+
+    def put(own, entry):
+        start, stride = probe_seeds(own, entry)
+        for probe in range(probes_of(entry, first, s)):
+            bits[probe_place(start, stride, probe, U64(size))] = True
+
+    for entry in range(int(e.max()) + 1 if len(e) else 0):
+        put(keys[e >= entry], entry)
+    for i in range(FINE):
+        put(keys[m >> (FINE - 1 - i) & 1 == 1], FIRST_FINE + i)
+    return bits
+
+
+def read_codes(
+    keys: np.ndarray, size: np.ndarray, base: np.ndarray, bits: np.ndarray, first: int, s: Settings
+) -> np.ndarray:
+    """Codes of keys by membership probes; size and base: each key's block, in bits; bits: packed, lowest bit first."""
+    out = np.zeros(len(keys), np.uint16)
+
+    def members(own, entry):
+        k, n, at, live = keys[own], size[own], base[own], np.arange(len(own))
+        start, stride = probe_seeds(k, entry)
+        for probe in range(probes_of(entry, first, s)):
+            p = probe_place(start, stride, probe, n) + at
+            hit = np.flatnonzero((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+            if len(hit) < len(live):
+                live, start, stride, n, at = live[hit], start[hit], stride[hit], n[hit], at[hit]
+        return own[live]
+
+    own, entry = np.flatnonzero(size > 0), 0
+    while len(own) and entry < FIRST_FINE - 1:
+        own = members(own, entry)
+        entry += 1
+        out[own] = entry << FINE
+    for i in range(FINE):  # a count of e + 1 binary digits has e of m's bits at most
+        own = members(np.flatnonzero(out >> FINE > i + 1), FIRST_FINE + i)
+        out[own] |= 1 << (FINE - 1 - i)
+    return out
+
+
+def build_filter(counts: DataFrame, first: int, s: Settings) -> DataFrame:
+    """One row per block: exact word counts, the bit array, and the words' number, occurrences and sum as read back."""
+
+    def block(table):
+        joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        keys, n = summed(joined("keys", U64), joined("n", np.int64))
+        bits = put_entries(keys, n, first, s)
+        size, packed = U64(len(bits)), np.packbits(bits, bitorder="little")
+        own = keys & U64(3) == 0
+        words, word_n = keys[own], n[own]
+        read = read_codes(words, np.full(len(words), size), np.zeros(len(words), np.int64), packed, first, s)
+        row = {
+            "block": table.column("block")[0].as_py(),
+            "words": words.tobytes(),
+            "word_n": word_n.tobytes(),
+            "bits": packed.tobytes(),
+            "tokens": int(word_n.sum()),
+            "types": len(words),
+            "mass": float(values()[read].sum()),
+        }
+        return pa.RecordBatch.from_pylist([row], schema=FILTER)
+
+    spark_schema = "block int, words binary, word_n binary, bits binary, tokens long, types long, mass double"
+    return per_group(counts, ["block"], block, spark_schema)
+
+
+FILTER = pa.schema(
+    [
+        ("block", pa.int32()),
+        ("words", pa.binary()),
+        ("word_n", pa.binary()),
+        ("bits", pa.binary()),
+        ("tokens", pa.int64()),
+        ("types", pa.int64()),
+        ("mass", pa.float64()),
+    ]
+)
 
 
 class Slice:
     """Some consecutive blocks of the filter, as broadcast: filled row by row, so the driver holds one copy."""
 
-    def __init__(self, sizes: list, rows, shift: int, s: Settings):
+    def __init__(self, sizes: list, rows, shift: int, first: int, s: Settings):
         """sizes: (block, bytes of words, bytes of bits) of each block; rows: (block, words, word_n, bits) in any order."""
         sizes = sorted(tuple(x) for x in sizes)
-        self.shift, self.probes = shift, s.probes
+        self.shift, self.probes_first, self.settings = shift, first, s
         self.first = sizes[0][0] if sizes else 0
         span = sizes[-1][0] - self.first + 1 if sizes else 1
         self.size, self.base = np.zeros(span, U64), np.zeros(span, np.int64)
         word_at, place, total = {}, 0, 0
         for block, n_words, n_bits in sizes:
-            self.size[block - self.first], self.base[block - self.first], word_at[block] = n_bits * 8, place, total
+            self.size[block - self.first], self.base[block - self.first], word_at[block] = n_bits * 8, place * 8, total
             place, total = place + n_bits, total + n_words // 8
         self.bits, self.words, self.word_n = np.zeros(place, np.uint8), np.zeros(total, U64), np.zeros(total, np.int64)
         for block, words, word_n, bits in rows:
-            at, n = int(self.base[block - self.first]), len(words) // 8
+            at, n = int(self.base[block - self.first]) // 8, len(words) // 8
             self.bits[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
             self.words[word_at[block] : word_at[block] + n] = np.frombuffer(words, U64)
             self.word_n[word_at[block] : word_at[block] + n] = np.frombuffer(word_n, np.int64)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's level by repeated membership probes: the last level before the first missing one."""
-        out = np.zeros(len(keys), np.uint8)
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's code; 0 for the key 0, for keys of other slices and for those that are not in the filter."""
+        out = np.zeros(len(keys), np.uint16)
         block = (keys >> U64(self.shift)).astype(np.int64) - self.first
         own = np.flatnonzero((keys != 0) & (block >= 0) & (block < len(self.size)))
-        own = own[self.size[block[own]] > 0]
-        at = 1
-        while len(own) and at < 255:
-            k, b = keys[own], block[own]
-            size, base, live = self.size[b], self.base[b] * 8, np.arange(len(own))
-            for probe in range(self.probes):
-                p = bit_positions(k[live], at, probe, self.probes, size[live]).astype(np.int64) + base[live]
-                live = live[(self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
-            own = own[live]
-            out[own] = at
-            at += 1
+        b = block[own]
+        out[own] = read_codes(keys[own], self.size[b], self.base[b], self.bits, self.probes_first, self.settings)
         return out
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
@@ -201,15 +271,16 @@ class Slice:
         return np.where(self.words[i] == keys, self.word_n[i], 0)
 
 
-def probability(levels: np.ndarray, begun: np.ndarray, value: np.ndarray, total: float, a: float, b: float, less: float = 0.0) -> np.ndarray:
-    """Interpolated probabilities of tokens, from levels (order x tokens). less: 1 leaves the token's own occurrence out."""
-    c = np.maximum(value[levels] - less, 0.0)
+def probability(codes: np.ndarray, begun: np.ndarray, total: float, a: float, b: float) -> np.ndarray:
+    """Interpolated probabilities of tokens, from codes (order x tokens); total: Q + V + 1."""
+    c = values()[codes]
     p = (c[0] + 1) / total
     for n in range(1, len(c)):
         before = np.concatenate([[0.0], c[n - 1][:-1]]) if c.shape[1] else c[0]
         before = np.where(begun >= n, before, 0.0)
-        weight = before / (before + a * np.maximum(before, 1e-9) ** b)
-        p = np.where(before > 0, weight * np.minimum(c[n], before) / np.maximum(before, 1e-9) + (1 - weight) * p, p)
+        some = np.maximum(before, 1e-9)
+        weight = before / (before + a * some**b)
+        p = np.where(before > 0, weight * np.minimum(np.minimum(c[n], c[n - 1]), before) / some + (1 - weight) * p, p)
     return p
 
 
@@ -219,12 +290,12 @@ class NgramModel:
 
     settings: Settings
     shift: int
+    first: int
     blocks: DataFrame
     slices: list[tuple[int, int]]
     tokens: int
     types: int
-    a: float = 1.0
-    b: float = 0.9
+    mass: float
     shared: dict = field(default_factory=dict)
 
     @classmethod
@@ -233,19 +304,19 @@ class NgramModel:
         spark, s = texts.sparkSession, settings
         arrow_batches(spark)
         texts = texts.select(F.col(f"`{texts.columns[0]}`").cast("string").alias("text"))
-        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
         shift = 64 - max(1, (int(size) // s.block_bytes).bit_length())
-        blocks = stage(build_filter(ngram_counts(texts, s.order, shift), s), "lm-filter")
-        slices, held, n, v = [], 0, 0, 0
-        for r in blocks.select("block", (F.octet_length("words") + F.octet_length("word_n") + F.octet_length("bits")).alias("size"), "tokens", "types").orderBy("block").toLocalIterator():
-            n, v = n + r.tokens, v + r.types
+        first = (int(size) // 4 + rows).bit_length() + s.spare
+        blocks = stage(build_filter(ngram_counts(texts, s.order, shift), first, s), "lm-filter")
+        slices, held, n, v, mass = [], 0, 0, 0, 0.0
+        bytes_of = F.octet_length("words") + F.octet_length("word_n") + F.octet_length("bits")
+        for r in blocks.select("block", bytes_of.alias("size"), "tokens", "types", "mass").orderBy("block").toLocalIterator():
+            n, v, mass = n + r.tokens, v + r.types, mass + r.mass
             if not slices or held + r.size > s.slice_mb << 20:
                 slices.append((r.block, r.block))
                 held = 0
             slices[-1], held = (slices[-1][0], r.block), held + r.size
-        model = cls(s, shift, blocks, slices or [(0, 0)], n, v)
-        model.tune(texts)
-        return model
+        return cls(s, shift, first, blocks, slices or [(0, 0)], n, v, mass)
 
     def _slice(self, i: int):
         if i not in self.shared:
@@ -253,95 +324,80 @@ class NgramModel:
             sizes = own.select("block", F.octet_length("words"), F.octet_length("bits")).collect()
             rows = own.select("block", "words", "word_n", "bits").toLocalIterator()
             self.shared.clear()
-            self.shared[i] = self.blocks.sparkSession.sparkContext.broadcast(Slice(sizes, rows, self.shift, self.settings))
+            one = Slice(sizes, rows, self.shift, self.first, self.settings)
+            self.shared[i] = self.blocks.sparkSession.sparkContext.broadcast(one)
         return self.shared[i]
 
-    def tune(self, texts: DataFrame) -> None:
-        """Choose a and b by leave-one-out likelihood on the `tune_docs` training texts (of a megabyte at most) of smallest hash."""
-        sample = texts.where(F.octet_length("text") <= 1 << 20).orderBy(F.xxhash64("text"), "text").limit(self.settings.tune_docs) if self.tokens else texts.limit(0)
-        rows = self._levels(sample.withColumn("key", F.lit(0)), ["key"], last=False).collect()
-        value, best = level_values(self.settings.level_base), None
-        for a, b in GRID if rows else []:
-            fit = 0.0
-            for r in rows:
-                lv = np.frombuffer(r.levels, np.uint8).reshape(self.settings.order, -1)
-                fit += np.log(probability(lv, np.arange(lv.shape[1]), value, self.tokens + self.types + 1, a, b, 1.0)).sum()
-            if best is None or fit > best[0]:
-                best = (fit, a, b)
-        if best:
-            self.a, self.b = best[1:]
-
-    def _levels(self, docs: DataFrame, keep: list[str], last: bool = True) -> DataFrame:
-        df = docs.select(*keep, "text")
+    def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """(key, n_tokens, n_known, base_score, score) of each row of docs."""
+        arrow_batches(docs.sparkSession)
+        df = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
+        kept = f"`{key}` {df.schema[0].dataType.simpleString()}, "
         for i in range(len(self.slices)):
-            final = i == len(self.slices) - 1
-            df = df.mapInArrow(self._pass(self._slice(i), len(keep), i == 0, final and last), self._schema(docs, keep, final and last))
-            if not final:
-                df = stage(df, "lm-levels")
+            last = i == len(self.slices) - 1
+            out = "text string, codes binary, known long, base double"
+            if last:
+                out = "n_tokens long, n_known long, base_score double, score double"
+            df = df.mapInArrow(self._pass(self._slice(i), i == 0, last), kept + out)
+            if not last:
+                df = stage(df, "lm-codes")
         return df
 
-    @staticmethod
-    def _schema(docs: DataFrame, keep: list[str], last: bool) -> str:
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-        return f"{kept}, " + ("n_tokens long, n_known long, base_score double, score double" if last else "text string, levels binary, known long, base double")
-
-    def _pass(self, shared, kept: int, first: bool, last: bool):
-        s, total, a, b = self.settings, float(self.tokens + self.types + 1), self.a, self.b
+    def _pass(self, shared, first: bool, last: bool):
+        """One slice over batches of (key, text), from the second slice on with what the slices before found."""
+        s, total, mass = self.settings, float(self.tokens + self.types + 1), self.mass + self.types + 1
         order = s.order
 
         def run(batches):
-            value = level_values(s.level_base)
             for batch in batches:
-                data, offsets = X.byte_column(batch.column(kept))
+                data, offsets = X.byte_column(batch.column(1))
                 known, base, score, n_tokens, packed = [], [], [], [], []
-                had = None if first else [batch.column(kept + 1 + i).to_pylist() for i in range(3)]
+                had = None if first else [batch.column(i).to_pylist() for i in (2, 3, 4)]
                 for i, j in X.row_groups(offsets):
                     tok, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    keys = ngram_keys(tok, at, order)
-                    levels = np.zeros((order, len(tok)), np.uint8)
-                    words, back = np.unique(keys[0], return_inverse=True)
-                    count = shared.value.exact(words)[back]
-                    levels[0] = shared.value.levels(words)[back]
-                    for n in range(1, order):
-                        levels[n] = shared.value.levels(keys[n])
+                    codes = np.zeros((order, len(tok)), np.uint16)
+                    count = None
+                    for n, keys in enumerate(ngram_keys(tok, at, order)):
+                        some, back = np.unique(keys, return_inverse=True)
+                        codes[n] = shared.value.codes(some)[back]
+                        if n == 0:
+                            count = shared.value.exact(some)[back]
                     known += np.add.reduceat((count > 0).astype(np.int64), at[:-1]).tolist()
                     base += np.add.reduceat(np.log10(count + 1.0), at[:-1]).tolist()
                     n_tokens += np.diff(at).tolist()
-                    if had:
-                        old = np.concatenate([np.frombuffer(x, np.uint8).reshape(order, -1) for x in had[0][i:j]], axis=1)
-                        levels |= old  # a key has a level in one slice only
+                    if had:  # a key has a code in one slice only
+                        old = [np.frombuffer(x, np.uint16).reshape(order, -1) for x in had[0][i:j]]
+                        codes |= np.concatenate(old, axis=1)
                     if last:
                         begun = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
-                        score += np.add.reduceat(np.log10(probability(levels, begun, value, total, a, b)), at[:-1]).tolist()
+                        p = probability(codes, begun, mass, s.a, s.b)
+                        score += np.add.reduceat(np.log10(p), at[:-1]).tolist()
                     else:
-                        packed += [levels[:, p:q].tobytes() for p, q in zip(at[:-1].tolist(), at[1:].tolist())]
+                        packed += [codes[:, x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 if had:
                     known = [x + y for x, y in zip(known, had[1])]
                     base = [x + y for x, y in zip(base, had[2])]
-                columns = [batch.column(i) for i in range(kept)]
-                names = batch.schema.names[:kept]
                 if last:
                     base = [x - n * np.log10(total) for x, n in zip(base, n_tokens)]
-                    columns += [pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-                    names += ["n_tokens", "n_known", "base_score", "score"]
+                    columns = [pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64())]
+                    columns += [pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+                    names = ["n_tokens", "n_known", "base_score", "score"]
                 else:
-                    columns += [batch.column(kept), pa.array(packed, pa.binary()), pa.array(known, pa.int64()), pa.array(base, pa.float64())]
-                    names += ["text", "levels", "known", "base"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    columns = [batch.column(1), pa.array(packed, pa.binary())]
+                    columns += [pa.array(known, pa.int64()), pa.array(base, pa.float64())]
+                    names = ["text", "codes", "known", "base"]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [batch.schema.names[0], *names])
 
         return run
 
-    def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(key, n_tokens, n_known, base_score, score) of each row of docs."""
-        arrow_batches(docs.sparkSession)
-        return self._levels(docs.select(F.col(key), F.col(text).cast("string").alias("text")), [key])
-
 
 def score_documents(docs: DataFrame, settings: Settings = Settings(), modulus: int = 7, rest: int = 2) -> DataFrame:
     """Score every row, learning from the rows whose crc32(doc_id) modulo `modulus` is not `rest`."""
     model = NgramModel.fit(docs.where(~held_out("doc_id", modulus, rest)).select("text"), settings)
     out = model.score(docs.select("doc_id", "text"))
-    return out.select("doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    learned = F.lit(model.tokens).cast("long").alias("train_tokens")
+    held = held_out("doc_id", modulus, rest).alias("held_out")
+    return out.select("doc_id", held, "n_tokens", "n_known", learned, "base_score", "score")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
