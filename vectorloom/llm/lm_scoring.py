@@ -132,16 +132,17 @@ def values() -> np.ndarray:
 
 
 def probe_seeds(keys: np.ndarray, entry: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and stride of an entry's probes, 32 bits each."""
-    x = (keys ^ U64((entry + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * U64(0xFF51AFD7ED558CCD)
-    x ^= x >> U64(32)
-    x *= U64(0xC4CEB9FE1A85EC53)
-    x ^= x >> U64(29)
-    return x >> U64(32), x & U64(0xFFFFFFFF) | U64(1)
+    """Start and stride of an entry's probes."""
+    x = X.mix(keys ^ U64((entry + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return x, x * U64(0xFF51AFD7ED558CCD) | U64(1)
 
 
 def probe_place(start: np.ndarray, stride: np.ndarray, probe: int, size: np.ndarray | int) -> np.ndarray:
-    return ((start + U64(probe) * stride & U64(0xFFFFFFFF)) * size >> U64(32)).astype(np.int64)
+    """The sum of start and strides is mixed again: strides near a fraction of 2^64 would come back to few places."""
+    x = start + U64(probe) * stride
+    x ^= x >> U64(29)
+    x *= U64(0xC4CEB9FE1A85EC53)
+    return ((x >> U64(32)) * size >> U64(32)).astype(np.int64)
 
 
 def probes_of(entry: int, first: int, s: Settings) -> int:
