@@ -33,6 +33,7 @@ def odd(spark):
         row(10, prose(3, 80), "fr", "t"),
         row(11, "12345 67890 !!!", "fr"),
         (12, prose(4, 30), *[None] * 9),
+        row(13, " " * 1_200_000 + "end"),
     ]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 

@@ -308,7 +308,9 @@ def test_packing_ids(docs, texts):
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = packing.Encoder(packing.Settings())
-    for t in [*list(texts.values())[:150], "a  b\n\n c \t\n d", "<|endoftext|> x", "It's 12345 naïve — 東京 🙂　\xa0 y"]:
+    odd = ["a  b\n\n c \t\n d", "<|endoftext|> x", "It's 12345 naïve — 東京 🙂　\xa0 y"]
+    odd += [" " * 1_500_000, "\n" * 1_500_000 + "x", "y" * 200_000, "z" * 49_999 + " " * 49_999]
+    for t in [*list(texts.values())[:150], *odd]:
         assert encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
     rows = packing.pack(docs).collect()
     total = sum(r.length for r in rows)

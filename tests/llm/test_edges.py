@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm import ann, avi, language_id, lm_scoring, minhash, mixing, packing, substring_dedup, toxicity, warc
 
-N = 15
+N = 16
 
 
 def labels(spark, odd):

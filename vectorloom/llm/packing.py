@@ -2,20 +2,23 @@
 
 Documents are tokenised where they lie; only piece lengths travel. A document is followed by the end id and cut only if
 it is longer than a sequence: its remainder comes first, then full pieces, which fill sequences of their own. The other
-pieces are dealt evenly to shards of about `shard_items`. Every shard is evolved by `islands` tasks for `epochs` rounds;
+pieces are counted and dealt by hash to shards of about `shard_items`. Every shard is evolved by `islands` tasks for `epochs` rounds;
 between rounds each island's elite migrates to the next island through a join. An individual is a list of bins.
 Crossover injects whole well-filled bins of one parent into the other, drops the bins that hold injected pieces, and
 puts the displaced pieces back by best fit decreasing; mutation empties some badly filled bins in the same way. The
 first individuals are best-fit-decreasing packings of perturbed orders, so no result is worse than best fit.
 
 Null and empty texts are the end id alone. Repeated rows are packed as often as they occur, rows without doc_id too.
-Pieces of equal length are told apart by their place in the input. An empty table gives no rows.
+Pieces of equal length are told apart by their place in the input. Very long texts are tokenised whole, and so are runs
+of blanks or letters of any length, by the tokenizer itself where the faster encoder gives up. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import base64
 import random
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -28,6 +31,10 @@ from pyspark.sql import functions as F
 from vectorloom.llm._spark import arrow_batches, per_group, stage
 
 
+#: A run without a break that the ranks' encoder would match or merge in more than linear time.
+LONG_RUN = re.compile(r"\s{50000}|\S{50000}")
+
+
 @dataclass(frozen=True)
 class Settings:
     length: int = 1024
@@ -44,7 +51,10 @@ class Settings:
 
 
 class Encoder:
-    """Token ids as the tokenizer's JSON file gives them. Plain texts go through the same vocabulary's ranks."""
+    """Token ids as the tokenizer's JSON file gives them. Plain texts go through the same vocabulary's ranks.
+
+    The ranks' pattern matcher gives up on runs of about a million blanks, and merges very long words slowly; such texts
+    go through the tokenizer itself, which gives the same ids."""
 
     def __init__(self, s: Settings):
         import public_tokenizers
@@ -58,18 +68,20 @@ class Encoder:
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if any(x in text for x in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        if not any(x in text for x in self.special) and not LONG_RUN.search(text):
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:  # the matcher's stack is full
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def pieces(docs: DataFrame, s: Settings, shards: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, shard, slot) of (doc_id, text); slot tells a shard's pieces apart."""
+def pieces(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, slot) of (doc_id, text); slot tells the pieces apart."""
 
     def run(batches):
         encode, made = Encoder(s), 0
         part = TaskContext.get().partitionId()
-        deal = random.Random(f"{s.seed} {part}").randrange(shards)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -78,14 +90,15 @@ def pieces(docs: DataFrame, s: Settings, shards: int) -> DataFrame:
                 number = 0
                 while start < len(ids):
                     n = cut if not number else s.length
-                    rows.append((doc, number, start, n, zlib.crc32(ids[start : start + n].tobytes()), (deal + made) % shards, part << 32 | made))
+                    rows.append((doc, number, start, n, zlib.crc32(ids[start : start + n].tobytes()), part << 32 | made))
                     start, number, made = start + n, number + 1, made + 1
             if rows:
-                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length", "ids_crc32", "shard", "slot"])
+                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "slot"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, shard int, slot long")
+    return docs.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, slot long")
 
 
 class Bins:
@@ -203,8 +216,9 @@ def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     s = settings
     arrow_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    shards = max(1, -(-docs.count() // s.shard_items))
-    items = stage(pieces(docs, s, shards), "packing-pieces")
+    items = stage(pieces(docs, s), "packing-pieces")
+    shards = max(1, -(-items.where(F.col("length") < s.length).count() // s.shard_items))
+    items = items.withColumn("shard", F.pmod(F.xxhash64(F.lit(s.seed), "slot"), F.lit(shards)).cast("int"))
     short = items.where(F.col("length") < s.length).select("shard", "slot", "length")
 
     def gathered(table):
