@@ -138,12 +138,35 @@ def test_warc_files(spark, tmp_path):
 
 
 def test_warc_damage(spark):
-    pages = spark.createDataFrame([(1, "u", "x" * 40_000)], "page_id long, url string, html string")
-    archives = warc.write_archives(pages).orderBy("archive").limit(1)  # the continuations are in the next archive
-    with pytest.raises(Exception, match="missing or damaged segments"):
-        warc.read_archives(archives).collect()
+    """Damage gives a row with an error, and hurts no other record."""
+    rows = [(1, "u", "x" * 40_000), (2, "u", "short"), (3, "u", "y" * 2000), (4, "u", "y" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    names = [(r.archive, bytes(r.content)) for r in warc.write_archives(pages).orderBy("archive").collect()]
+
+    def read(*contents):
+        table = spark.createDataFrame([(c,) for c in contents], "content binary")
+        return sorted((r.record_type or "", r.payload_bytes or -1, r.error or "") for r in warc.read_archives(table).collect())
+
+    whole = dict(names)
+    first, rest, again = (whole[n] for n in sorted(whole))
+    small = [("response", 5, ""), ("response", 2000, "")]
+    good = sorted([*small, ("response", 40_000, ""), ("revisit", 2000, "")])
+    assert read(first, rest, again) == good
+    assert read(first, again) == sorted([*small, ("response", -1, "missing or damaged segments"), ("revisit", 2000, "")])
+    assert ("revisit", -1, "the response is missing") in read(again)
+    at = first.index(b"y" * 2000) - 5
+    assert ("response", -1, "damaged chunk") in read(first[:at] + b"7d1" + first[at + 3 :], rest, again)
+    cut = first.index(b"short")
+    broken = read(first[:cut] + first[cut + 3 :], rest, again)
+    assert ("", -1, "record of a wrong length") in broken and ("response", 2000, "") in broken
+    import gzip
+
+    zipped = gzip.compress(b"WARC/1.1\r\nContent-Length: 0\r\nWARC-Type: response\r\n\r\n\r\n\r\n")
+    assert read(zipped, None, b"", b"junk") == [("", -1, "not a WARC record"), ("response", -1, "")]
+    assert read(zipped + zipped[:-4]) == [("", -1, "damaged gzip member"), ("response", -1, "")]
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nabc")
+    assert warc.hex_digest("sha1:" + "A" * 32) == "0" * 40 and warc.hex_digest("md5:00") == ""
 
 
 def test_ann_odd_vectors(spark):

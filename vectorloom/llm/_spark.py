@@ -85,13 +85,13 @@ def per_group(df: DataFrame, keys: list[str], function: Callable, schema: str, p
     return parted.mapInArrow(run, schema)
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 8) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 8, how: str = "inner") -> DataFrame:
     """rows joined with a table of one row a key; a key's rows are spread over `salts` tasks by another column.
 
     The table is copied `salts` times, so it should be much smaller than the rows of hot keys."""
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
