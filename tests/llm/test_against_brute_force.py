@@ -106,6 +106,10 @@ def test_filter_counts(lm):
     want, got = value[lm_scoring.quantised(part.word_n)], value[part.codes(part.words)]
     assert (np.abs(want / part.word_n - 1) <= 1 / 64).all() and (want[part.word_n < 64] == part.word_n[part.word_n < 64]).all()
     assert (got >= want).all() and (got > want).mean() < 0.02
+    import pickle
+
+    again = pickle.loads(pickle.dumps(part))
+    assert all((a == b).all() for a, b in zip(again.flat(), part.flat())) and (again.codes(part.words) == part.codes(part.words)).all()
     unseen = np.arange(1, 200_001, dtype=np.uint64) << np.uint64(2)
     assert (part.codes(unseen) > 0).sum() <= 1
 
@@ -194,6 +198,64 @@ def test_language_held_out(docs):
     assert sum(truth[r.doc_id] == r.lang_pred for r in held) / len(held) >= 0.98
 
 
+JUNK = [
+    "Съешь же ещё этих мягких французских булок да выпей чаю " * 3,
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια",
+    "qzx vkj wqq zzx jjq " * 10,
+    "x" * 300,
+    "12 34 !!",
+    None,
+]
+
+
+def test_language_stage(spark, docs):
+    """Texts in no learned language go, those in a learned one stay, be they short; every rule against plain NumPy."""
+    rows = [(1_000_000 + i, t, "en") for i, t in enumerate(JUNK)]
+    mixed = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in language_id.keep_identified(mixed).collect()}
+    assert not kept & {k for k, _, _ in rows}
+    gone = {r.doc_id: r.text for r in docs.collect() if r.doc_id not in kept}
+    assert len(gone) <= 0.002 * docs.count(), gone
+    model = language_id.LanguageModel.fit(docs.select("doc_id", "text", "lang"))
+    s, some = model.settings, [r for r in docs.collect() if r.lang == "fr"]
+    df = np.zeros(s.buckets)
+    for at, _ in language_id.features([r.text for r in some], s):
+        df[at] += 1
+    for r, got in zip(some[:40], model.predict([r.text for r in some[:40]])):
+        at, n = next(language_id.features([r.text], s))
+        if got[0] == "fr":
+            want = sum(c * math.log1p(df[b]) / math.log1p(len(some)) for b, c in zip(at, n)) / n.sum()
+            assert math.isclose(got[3], want, rel_tol=1e-5) and got[1] >= got[2]
+
+
+def test_ftrl_steps():
+    """The vectorised learner against FTRL-proximal written out, a weight at a time."""
+    rng = np.random.default_rng(4)
+    s = language_id.Settings(epochs=2, l1=0.05, l2=0.01)
+    rows = [(np.sort(rng.choice(6, 3, replace=False)), rng.random(3), int(rng.integers(3))) for _ in range(30)]
+    z, n = [[0.0] * 3 for _ in range(7)], [[0.0] * 3 for _ in range(7)]
+
+    def weight(b, c):
+        if abs(z[b][c]) <= s.l1:
+            return 0.0
+        return -(z[b][c] - math.copysign(s.l1, z[b][c])) / ((s.beta + math.sqrt(n[b][c])) / s.alpha + s.l2)
+
+    for epoch in range(s.epochs):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            at, x, y = rows[i]
+            terms = [*zip(at.tolist(), x.tolist()), (6, 1.0)]
+            w = {(b, c): weight(b, c) for b, _ in terms for c in range(3)}
+            logit = [sum(v * w[(b, c)] for b, v in terms) for c in range(3)]
+            whole = sum(math.exp(v) for v in logit)
+            for b, v in terms:
+                for c in range(3):
+                    g = v * (math.exp(logit[c]) / whole - (c == y))
+                    z[b][c] += g - (math.sqrt(n[b][c] + g * g) - math.sqrt(n[b][c])) / s.alpha * w[(b, c)]
+                    n[b][c] += g * g
+    assert np.allclose(language_id.train_ftrl(rows, 3, 6, s), [[weight(b, c) for c in range(3)] for b in range(7)])
+
+
 def test_toxicity_held_out(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}

@@ -68,7 +68,7 @@ def test_media(spark, odd):
 def test_language(spark, odd):
     rows = {r.doc_id: r for r in language_id.identify(odd).collect() if r.doc_id is not None}
     assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (1, 2, 3, 11)) and rows[6].lang_pred in ("en", "fr")
-    kept = language_id.keep_identified(odd, least=0.0)
+    kept = language_id.keep_identified(odd, margin=1.0, known=0.0)
     assert kept.columns == odd.columns and kept.where("doc_id in (1, 2, 3, 11)").count() == 0
     assert language_id.keep_identified(odd.limit(0)).count() == 0
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))

@@ -4,9 +4,15 @@ Document frequencies cover all training rows; the classifier is fitted on at mos
 for each language, chosen by hash), by follow-the-regularised-leader with elastic-net penalties. A fifth of the sample is
 kept from training and sets the temperature by which the scores are calibrated.
 
+A text's familiarity tells whether it is in the predicted language at all, which the classifier, bound to choose one,
+can't: the mean, over the text's n-grams, of log(1 + df) / log(1 + texts) among all training texts of that language. It
+is near 1 for n-grams that most of them have and 0 for those that none has, whatever the language's share of the rows.
+
 Texts are lower-cased, runs of non-letters become one space, and n-grams are hashed into `buckets`. A text that is null
 or has no letter is `und` with score 0, as is every text if no row is labelled. Null languages are never learned.
-Repeated rows are separate observations; equal texts get equal predictions.
+Repeated rows are separate observations; equal texts get equal predictions. Of languages with equal scores the first in
+order of name is predicted. Long texts are read whole, a piece at a time. An empty table gives an empty result. With more
+than `sample_docs` languages, the classifier learns those that the sample holds; the others' texts may be unfamiliar.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ class Settings:
     orders: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 15
     sample_docs: int = 4000
+    sample_numbers: int = 20_000_000  # bound of the sample's bucket counts, 8 bytes each
     epochs: int = 3
     alpha: float = 2.0
     beta: float = 1.0
@@ -120,6 +127,7 @@ class LanguageModel:
     languages: list[str] = field(default_factory=list)
     idf: np.ndarray | None = None
     weights: np.ndarray | None = None
+    common: np.ndarray | None = None  # languages x buckets
     temperature: float = 1.0
 
     @classmethod
@@ -134,81 +142,107 @@ class LanguageModel:
             return model
 
         def frequencies(batches):
-            df, docs = np.zeros(s.buckets, np.int64), 0
+            df: dict[str, np.ndarray] = {}  # a language's texts, then its buckets' document frequencies
             for batch in batches:
-                for at, _ in features(batch.column(0).to_pylist(), s):
+                for (at, _), lang in zip(features(batch.column(0).to_pylist(), s), batch.column(1).to_pylist()):
                     if at is not None:
-                        df[at] += 1
-                        docs += 1
-            where = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(where, -1), pa.int32()), pa.array(np.append(df[where], docs), pa.int64())], ["bucket", "n"])
-
-        df = dict(rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect())
-        docs = df.pop(-1, 0)
-        model.idf = np.ones(s.buckets) * np.log(docs + 1)
-        for bucket, n in df.items():
-            model.idf[bucket] = np.log((docs + 1) / n)
-
-        share = s.sample_docs // len(counts)
+                        own = df.setdefault(lang, np.zeros(s.buckets + 1, np.int64))
+                        own[at + 1] += 1
+                        own[0] += 1
+            for lang, own in df.items():
+                where = np.flatnonzero(own)
+                columns = [pa.array([lang] * len(where)), pa.array(where - 1, pa.int32()), pa.array(own[where], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
+
+        counted = rows.select("text", "lang").mapInArrow(frequencies, "lang string, bucket int, n long")
+        df = np.zeros((len(counts), s.buckets + 1), np.int64)
+        number = {lang: i for i, lang in enumerate(model.languages)}
+        for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+            df[number[r.lang], r.bucket + 1] = r.n  # languages x buckets numbers at most
+        every = df.sum(0)
+        model.idf = np.log((every[0] + 1) / np.maximum(every[1:], 1))
+        model.common = (np.log1p(df[:, 1:]) / np.log1p(np.maximum(df[:, :1], 1))).astype(np.float32)
+
+        share = max(1, s.sample_docs // len(counts))
         rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * share / n))])
         picked = rows.withColumn("h", F.xxhash64("key", "text")).where(F.pmod("h", F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
 
         def sample(batches):
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
             for batch in batches:
-                out = [(h, lang, at.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()) for (at, n), lang, h in zip(features(batch.column(0).to_pylist(), s), *(batch.column(c).to_pylist() for c in (1, 2))) if at is not None]
+                texts, langs, hashes = (batch.column(c).to_pylist() for c in range(3))
+                out = [
+                    (h, lang, at.astype(np.int32).tobytes(), n.astype(np.int32).tobytes())
+                    for (at, n), lang, h in zip(features(texts, s), langs, hashes)
+                    if at is not None
+                ]
                 columns = list(zip(*out)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary()))], ["h", "lang", "buckets", "counts"])
+                arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, ["h", "lang", "buckets", "counts"])
 
-        got = picked.select("text", "lang", "h").mapInArrow(sample, "h long, lang string, buckets binary, counts binary").orderBy("h", "lang", "buckets").limit(s.sample_docs).collect()
-        data = []
-        for r in got:
+        taken = picked.select("text", "lang", "h").mapInArrow(sample, "h long, lang string, buckets binary, counts binary")
+        data, held = [], 0
+        for r in taken.orderBy("h", "lang", "buckets").limit(s.sample_docs).toLocalIterator():
             at = np.frombuffer(r.buckets, np.int32)
-            data.append((at, tfidf(np.frombuffer(r.counts, np.int32), model.idf[at]), model.languages.index(r.lang)))
+            held += len(at)
+            if held > s.sample_numbers:
+                break
+            data.append((at, tfidf(np.frombuffer(r.counts, np.int32), model.idf[at]), number[r.lang]))
         train, rest = [x for i, x in enumerate(data) if i % 5], data[::5]
         model.weights = train_ftrl(train, len(counts), s.buckets, s)
         logits = np.array([x @ model.weights[at] + model.weights[-1] for at, x, _ in rest]).reshape(-1, len(counts))
         model.temperature = temperature(logits, np.array([y for _, _, y in rest], int))
         return model
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, float]]:
+        """Of each text: the language, its probability, the next one's, and the familiarity."""
+        out = []
         for at, count in features(texts, self.settings):
             if at is None or self.weights is None:
-                names.append("und")
-                scores.append(0.0)
+                out.append(("und", 0.0, 0.0, 0.0))
                 continue
             p = softmax((tfidf(count, self.idf[at]) @ self.weights[at] + self.weights[-1]) / self.temperature)
             best = int(p.argmax())
-            names.append(self.languages[best])
-            scores.append(float(p[best]))
-        return names, scores
+            known = float((count * self.common[best, at]).sum() / count.sum())
+            out.append((self.languages[best], float(p[best]), float(np.delete(p, best).max(initial=0.0)), known))
+        return out
 
-    def transform(self, df: DataFrame, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-        """df with a predicted language and its calibrated probability."""
+    def transform(self, df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+        """df with lang_pred, score (its calibrated probability), next_score and familiarity; prefix goes before these."""
         arrow_batches(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast(self)  # buckets x languages numbers at most
 
         def run(batches):
             for batch in batches:
-                names, scores = shared.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
+                found = shared.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
+                columns = list(zip(*found)) or [[]] * 4
+                added = [pa.array(c, pa.float64() if i else pa.string()) for i, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
+        names = [prefix + n for n in ("lang_pred", "score", "next_score", "familiarity")]
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.mapInArrow(run, f"{kept}, `{pred}` string, `{score}` double")
+        return df.mapInArrow(run, f"{kept}, " + ", ".join(f"`{n}` {'double' if i else 'string'}" for i, n in enumerate(names)))
 
 
 def identify(docs: DataFrame, settings: Settings = Settings(), modulus: int = 3, rest: int = 1) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, learned from the rows whose remainder is not `rest`."""
-    model = LanguageModel.fit(docs.where(~held_out("doc_id", modulus, rest)).select("doc_id", F.col("text").cast("string"), "lang"), settings)
+    learned = docs.where(~held_out("doc_id", modulus, rest))
+    model = LanguageModel.fit(learned.select("doc_id", F.col("text").cast("string"), "lang"), settings)
     out = model.transform(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     return out.select("doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3, settings: Settings = Settings()) -> DataFrame:
-    """The rows whose language is identified with a probability of `least` or more; columns as before."""
+def keep_identified(docs: DataFrame, margin: float = 1.25, known: float = 0.7, settings: Settings = Settings()) -> DataFrame:
+    """The rows whose language is identified; columns as before.
+
+    Rejected are texts without a letter, those whose language is less than `margin` times as probable as the next one,
+    and those less familiar than `known`: other languages and scripts, random letters. Both measures mean the same for
+    any number of languages. Rows with null lang or doc_id are judged as any other; if no row has a lang, none is
+    identified."""
     model = LanguageModel.fit(docs.select("doc_id", "text", "lang"), settings)
-    out = model.transform(docs, pred="__vl_lang", score="__vl_score")
-    return out.where((F.col("__vl_lang") != "und") & (F.col("__vl_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = model.transform(docs, prefix="__vl_")
+    sure = (F.col("__vl_score") >= margin * F.col("__vl_next_score")) & (F.col("__vl_familiarity") >= known)
+    return out.where((F.col("__vl_lang_pred") != "und") & sure).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
