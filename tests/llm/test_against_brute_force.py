@@ -263,14 +263,60 @@ def test_toxicity_held_out(spark, docs):
     assert sum(p and not t for p, t in held) <= 1 and sum(p and t for p, t in held) >= 0.7 * sum(t for _, t in held)
 
 
+def test_toxicity_scores(spark, docs, texts):
+    """Scores from lexicon, exceptions and weights by splitting the folded texts into words."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.ToxicityModel.fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    assert model.lexicon and model.weights is not None
+    some = [t for k, t in sorted(texts.items()) if t][:400] + ["", None]
+    for t, score in zip(some, model.scores(some)):
+        word = toxicity.fold_phrase(t or "").split()
+        excepted = set()
+        for p in model.exceptions:
+            own = p.split()
+            excepted |= {j for i in range(len(word)) if word[i : i + len(own)] == own for j in range(i, i + len(own))}
+        total = 0.0
+        for i, w in enumerate(word):
+            hits = [model.lexicon[x] for x in [*(w[:k] for k in range(1, len(w) + 1)), w + " "] if x in model.lexicon]
+            total += max(hits) if hits and i not in excepted else 0
+        x = [math.log1p(total), math.log1p(100 * total / max(1, len(word))), float(total > 0), 1.0]
+        assert math.isclose(score, 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights)))), rel_tol=1e-9)
+
+
+def test_toxicity_of_any_layout(spark, docs):
+    """The model doesn't depend on the rows' order and partitions, and counts a group of copies once."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    own = docs.select("doc_id", "text")
+    a, b = (toxicity.ToxicityModel.fit(d, labels) for d in (own, own.repartition(7, "text").sortWithinPartitions("text")))
+    assert a.lexicon == b.lexicon and a.exceptions == b.exceptions and np.allclose(a.weights, b.weights)
+    rows = [(i, 1, "one toxic line that came in many copies") for i in range(50)] + [(99, 1, ""), (98, 1, None), (97, 0, "a clean one")]
+    left = toxicity.one_of_copies(spark.createDataFrame(rows, "row long, toxic int, text string"))
+    assert sorted(r.row for r in left.collect()) == [0, 97, 98]
+
+
+def distinct_lines(spark, toxic, clean, n=240):
+    """(doc_id, text): random prose, odd rows with one of the toxic phrases, even ones with one of the clean ones."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdfgklmnprtv") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4)))
+    rows = []
+    for i in range(n):
+        line = [word() for _ in range(30)]
+        line.insert(rng.randrange(30), rng.choice(toxic if i % 2 else clean))
+        rows.append((i, " ".join(line)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
 def test_toxicity_folding_and_exceptions(spark):
-    rows = [(i, f"you are a total {'idiot' if i % 2 else 'friend'} today number{i} " + ("the scum line" if i % 4 == 1 else "") + (" algae scum layer" if i % 2 == 0 else "")) for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = distinct_lines(spark, ["idiot", "idiot scum", "zax"], ["friend", "algae scum layer", "zaxon"])
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     model = toxicity.ToxicityModel.fit(docs, labels)
-    assert toxicity.fold_phrase("idiot") in model.lexicon
+    assert any((toxicity.fold_phrase("idiot") + " ").startswith(e) for e in model.lexicon)
     plain, folded, clean = model.scores(["such an idiot", "such an 1DіО​T", "such an apple"])
     assert plain > 0.7 and math.isclose(plain, folded) and clean < 0.3
+    short, longer = model.scores(["you zax you", "you zaxon you"])  # a word of three letters, not the beginning of others
+    assert short > 0.7 and longer < 0.3
     excepted = toxicity.ToxicityModel(exceptions=[toxicity.fold_phrase("village idiot")], lexicon={toxicity.fold_phrase("idiot"): 5.0})
     total, length, _ = excepted.hits(["the village idiot play", "an idiot play", None, ""])
     assert total.tolist() == [0, 5, 0, 0] and length.tolist() == [4, 3, 0, 0]

@@ -1,16 +1,20 @@
 """Toxicity: a weighted lexicon matched by an Aho-Corasick automaton over folded text.
 
 Texts are folded first: case, accents, look-alike letters of other scripts, digit substitutions and invisible marks
-(see `_chars.fold`). Lexicon entries are word beginnings; an entry's weight is its log-odds between toxic and clean
-documents. Entries and weights are learned from at most `sample_docs` labelled rows of each class, chosen by hash, of
-which one of each group of near copies is used. An
+(see `_chars.fold`). Lexicon entries are whole words, of any length up to `longest` letters, and word beginnings of
+`shortest` to `longest` letters; an entry's weight is its log-odds between toxic and clean documents. Entries and weights
+are learned from at most `sample_docs` labelled rows of each class, chosen by hash, of which one of each group of near
+copies of one label is used, the first by hash: copies would make their rare words look typical. An
 exception is a phrase of two words around a hit that clean documents use and toxic ones do not; given exception phrases
 are added to the learned ones. Hits inside an exception don't count. The summed weight and the weight per word (the
 length-normalised measure) enter a logistic score that is fitted on the same sample.
 
 Null and empty texts have no hits and get the score of any text without hits. Repeated label rows of one document count
 once, toxic if any is; labels without a document, and null labels, are ignored. Without labels of both classes there is
-no lexicon and every score is the share of toxic labels (0 without labels). Long texts are matched whole.
+no lexicon and every score is the share of toxic labels (0 without labels). Without an entry that tells the classes
+apart, scores come from the shares alone. Of entries that begin at one place the heaviest counts; which entries are
+learned doesn't depend on the order or partitions of the rows. Long texts are matched whole. An empty table of documents
+gives no rows.
 """
 
 from __future__ import annotations
@@ -28,13 +32,12 @@ from vectorloom.llm import _text as X
 from vectorloom.llm._spark import arrow_batches, held_out, stage
 
 CHUNK = 200_000
-LEAST_DISTINCT = 10
 
 
 @dataclass(frozen=True)
 class Settings:
     sample_docs: int = 3000
-    shortest: int = 4
+    shortest: int = 3
     longest: int = 12
     least_docs: int = 4
     least_weight: float = 2.0
@@ -83,30 +86,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
 
 
 def one_of_copies(sample: DataFrame) -> DataFrame:
-    """The sample, (row, toxic, text), with one text of each group of near copies of one label.
+    """The sample, (row, toxic, text), with one text of each group of near copies of one label, that of smallest row.
 
-    Copies would make their rare words look typical of their label. Texts are copies if they share half of their eight
-    smallest hashes of three-word shingles with the first text that holds them. If that leaves fewer than LEAST_DISTINCT
-    texts of a label, the sample stays as it is. Sketches of the bounded sample alone
-    come to the driver."""
+    Texts are copies if they share half of their eight smallest hashes of three-word shingles with the first text that
+    holds them; texts without words are copies of each other. Sketches of the bounded sample alone come to the driver."""
 
     def run(batches):
         for batch in batches:
             data, offsets = X.byte_column(batch.column(2))
-            small = [x[:8].view(np.int64).tolist() for i, j in X.row_groups(offsets) for x in X.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.list_(pa.int64()))], ["row", "toxic", "small"])
+            small = []
+            for i, j in X.row_groups(offsets):
+                sets = X.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 3)
+                small += [x[:8].view(np.int64).tolist() for x in sets]
+            columns = [batch.column(0), batch.column(1), pa.array(small, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "toxic", "small"])
 
     first: dict[tuple, int] = {}
     keep = []
     for r in sorted(sample.mapInArrow(run, "row long, toxic int, small array<long>").collect()):
-        held = Counter(first[(r.toxic, v)] for v in r.small if (r.toxic, v) in first)
-        if not held or held.most_common(1)[0][1] * 2 < len(r.small):
-            keep.append((r.row, r.toxic))
-        for v in r.small:
+        small = r.small or [0]
+        held = Counter(first[(r.toxic, v)] for v in small if (r.toxic, v) in first)
+        if not held or held.most_common(1)[0][1] * 2 < len(small):
+            keep.append(r.row)
+        for v in small:
             first.setdefault((r.toxic, v), r.row)
-    if min(Counter(toxic for _, toxic in keep).get(t, 0) for t in (0, 1)) < LEAST_DISTINCT:
-        return sample  # nothing but copies to learn from
-    kept = sample.sparkSession.createDataFrame([(row,) for row, _ in keep], "row long")
+    kept = sample.sparkSession.createDataFrame([(row,) for row in keep], "row long")
     return sample.join(F.broadcast(kept), "row")  # rows of the sample at most
 
 
@@ -126,7 +130,8 @@ class ToxicityModel:
         """Per text: summed weight of its hits, number of words, and (if asked for) the two-word phrases around hits."""
         if self._built is None:
             words = list(self.lexicon)
-            self._built = (automaton([f" {w}" for w in words]), np.array([self.lexicon[w] for w in words]), automaton([f" {p} " for p in self.exceptions]))
+            weights = np.array([self.lexicon[w] for w in words])
+            self._built = (automaton([f" {w}" for w in words]), weights, automaton([f" {p} " for p in self.exceptions]))
         find, weight, excepted = self._built
         totals, lengths, around = [], [], []
         for text, starts, codes in folded_texts(texts):
@@ -185,7 +190,9 @@ class ToxicityModel:
             return model
         picked = [labels.where((F.col("toxic") > 0) == kind).orderBy(F.xxhash64("key"), "key").limit(s.sample_docs) for kind in (True, False)]
         texts = docs.toDF("key", "text").join(F.broadcast(picked[0].union(picked[1])), "key")  # 2 x sample_docs ids at most
-        sample = stage(texts.select(F.monotonically_increasing_id().alias("row"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text"), "toxicity-sample")
+        # rows that tie in key and text are one
+        texts = texts.select(F.xxhash64("key", "text").alias("row"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text")
+        sample = stage(texts.dropDuplicates(["row"]), "toxicity-sample")
         sample = one_of_copies(sample).select("toxic", "text")
 
         def beginnings(batches):
@@ -196,13 +203,16 @@ class ToxicityModel:
                 for text, _, _ in folded_texts(texts):
                     for one in text.split("\0")[:-1]:
                         words = set(one.split())
-                        count[toxic[row]].update({w[:k] for w in words for k in range(s.shortest, min(s.longest, len(w)) + 1)})
+                        begun = {w[:k] for w in words for k in range(s.shortest, min(s.longest, len(w)) + 1)}
+                        count[toxic[row]].update(begun | {f"{w} " for w in words if len(w) <= s.longest})
                         count[toxic[row]][""] += 1
                         row += 1
             keys = list(count[0].keys() | count[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([count[1][k] for k in keys], pa.int64()), pa.array([count[0][k] for k in keys], pa.int64())], ["entry", "toxic", "clean"])
+            toxic, clean = (pa.array([count[i][k] for k in keys], pa.int64()) for i in (1, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), toxic, clean], ["entry", "toxic", "clean"])
 
-        counted = sample.mapInArrow(beginnings, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+        counted = sample.mapInArrow(beginnings, "entry string, toxic long, clean long")
+        counted = counted.groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
         whole = counted.where("entry = ''").collect()
         if not whole or not whole[0].t or not whole[0].c:
             return model
@@ -212,7 +222,9 @@ class ToxicityModel:
         both = (F.col("t") + F.col("c")) / (n_toxic + n_clean)
         part = lambda k, n: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * both))).otherwise(0.0)
         g = 2 * (part("t", n_toxic) + part("c", n_clean))
-        rows = counted.where("entry <> ''").withColumns({"w": weight, "g": g}).where((F.col("t") >= s.least_docs) & (F.col("w") >= s.least_weight) & (F.col("g") >= s.least_g)).orderBy(F.desc("g"), "entry").limit(20 * s.lexicon_size).collect()
+        tells = (F.col("t") >= s.least_docs) & (F.col("w") >= s.least_weight) & (F.col("g") >= s.least_g)
+        ranked = counted.where("entry <> ''").withColumns({"w": weight, "g": g}).where(tells).orderBy(F.desc("g"), "entry")
+        rows = ranked.limit(20 * s.lexicon_size).collect()
         model.lexicon = chosen({r.entry: (r.t, r.w) for r in rows}, s)
 
         shared = model
@@ -220,12 +232,17 @@ class ToxicityModel:
         def around(batches):
             for batch in batches:
                 total, words, phrases = shared.hits(batch.column(1).to_pylist(), phrases=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(words.astype(np.int64)), pa.array([sorted(p) for p in phrases], pa.list_(pa.string()))], ["toxic", "total", "words", "phrases"])
-
-        found = sample.mapInArrow(around, "toxic int, total double, words long, phrases array<string>")
-        phrases = found.select("toxic", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("t = 0 and c >= 2")
-        model.exceptions = sorted({*model.exceptions, *(r.phrase for r in phrases.orderBy(F.desc("c"), "phrase").limit(s.lexicon_size).collect())})
-        rows = found.select("toxic", "total", "words").collect() if not model.exceptions else sample.mapInArrow(around, "toxic int, total double, words long, phrases array<string>").select("toxic", "total", "words").collect()
+                listed = pa.array([sorted(p) for p in phrases], pa.list_(pa.string()))
+                columns = [batch.column(0), pa.array(total), pa.array(words.astype(np.int64)), listed]
+                yield pa.RecordBatch.from_arrays(columns, ["toxic", "total", "words", "phrases"])
+
+        seen = "toxic int, total double, words long, phrases array<string>"
+        phrases = sample.mapInArrow(around, seen).select("toxic", F.explode("phrases").alias("phrase")).groupBy("phrase")
+        phrases = phrases.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("t = 0 and c >= 2")
+        learned = (r.phrase for r in phrases.orderBy(F.desc("c"), "phrase").limit(s.lexicon_size).collect())
+        model.exceptions = sorted({*model.exceptions, *learned})
+        model._built = None
+        rows = sample.mapInArrow(around, seen).select("toxic", "total", "words").collect()  # 2 x sample_docs at most
         x = cls.measures(np.array([r.total for r in rows]), np.array([r.words for r in rows], float))
         model.weights = logistic(x, np.array([r.toxic for r in rows], float))
         model._built = None
@@ -233,34 +250,47 @@ class ToxicityModel:
 
 
 def chosen(entries: dict[str, tuple[int, float]], s: Settings) -> dict[str, float]:
-    """Of entries that begin one another, the longest that still covers nearly all toxic documents of the shorter."""
+    """Of entries that begin one another, the longest that still covers nearly all toxic documents of the shorter.
+
+    A whole word ends in a blank, and so is longer than the beginning with the same letters."""
     longer: dict[str, int] = {}
     for e, (t, _) in entries.items():
-        for k in range(s.shortest, len(e)):
+        for k in range(1, len(e)):
             longer[e[:k]] = max(longer.get(e[:k], 0), t)
     out: dict[str, float] = {}
     for e in sorted(entries, key=lambda e: (len(e), e)):
         t, w = entries[e]
-        if longer.get(e, 0) >= 0.9 * t or any(e[:k] in out and out[e[:k]] >= w - 1 for k in range(s.shortest, len(e))):
+        if longer.get(e, 0) >= 0.9 * t or any(e[:k] in out and out[e[:k]] >= w - 1 for k in range(1, len(e))):
             continue
         out[e] = w
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[: s.lexicon_size])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.7, modulus: int = 3, rest: int = 1) -> DataFrame:
+def score_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    settings: Settings = Settings(),
+    threshold: float = 0.7,
+    modulus: int = 3,
+    rest: int = 1,
+) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; labels of rows whose remainder is `rest` are not used."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    model = ToxicityModel.fit(docs, labels.select("doc_id", "toxic").where(~held_out("doc_id", modulus, rest)), settings)
+    known = labels.select("doc_id", "toxic").where(~held_out("doc_id", modulus, rest))
+    model = ToxicityModel.fit(docs, known, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # lexicon_size entries at most
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1).to_pylist()), pa.float64())], [batch.schema.names[0], "score"])
+            scores = pa.array(shared.value.scores(batch.column(1).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], [batch.schema.names[0], "score"])
 
     kind = docs.schema[0].dataType.simpleString()
     out = docs.mapInArrow(run, f"doc_id {kind}, score double")
-    return out.select("doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    held, predicted = held_out("doc_id", modulus, rest), (F.col("score") >= threshold).cast("int")
+    return out.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    return score_toxicity(docs, labels)
