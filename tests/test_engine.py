@@ -18,7 +18,7 @@ from vectorloom.streaming.query_stream import serve
 def test_fvecs_round_trip(spark, tmp_path):
     x = np.random.default_rng(0).standard_normal((25, 5)).astype(np.float32)
     (tmp_path / "a.fvecs").write_bytes(binary.fvecs_bytes(x))
-    rows = binary.read_fvecs(spark, str(tmp_path / "a.fvecs"), rows_per_part=7).orderBy("vec_id").collect()
+    rows = binary.read_fvecs(spark, str(tmp_path / "a.fvecs"), record_bytes=200).orderBy("vec_id").collect()
     assert [r.vec_id for r in rows] == list(range(25)) and np.allclose([r.embedding for r in rows], x)
     (tmp_path / "none.fvecs").write_bytes(b"")
     assert binary.read_fvecs(spark, str(tmp_path / "none.fvecs")).count() == 0
@@ -26,7 +26,7 @@ def test_fvecs_round_trip(spark, tmp_path):
 
 def test_big_endian_fvecs(spark, tmp_path):
     (tmp_path / "b.fvecs").write_bytes(b"".join(struct.pack(">i2f", 2, i, -i) for i in range(3)))
-    rows = binary.read_fvecs(spark, str(tmp_path / "b.fvecs"), big_endian="true").orderBy("vec_id").collect()
+    rows = binary.read_fvecs(spark, str(tmp_path / "b.fvecs"), big_endian=True).orderBy("vec_id").collect()
     assert [list(r.embedding) for r in rows] == [[0, 0], [1, -1], [2, -2]]
 
 
@@ -39,17 +39,65 @@ def test_attribute_and_label_files(spark, tmp_path):
     (tmp_path / "x.labels").write_bytes(data)
     rows = binary.read_labels(spark, str(tmp_path / "x.labels")).orderBy("vec_id").collect()
     assert [list(r.labels) for r in rows] == [[0, 4], [], [1]]
+    assert binary.label_bytes([[0, 4], [], [1]], 5) == data
+    rows = binary.read_labels(spark, str(tmp_path / "x.labels"), record_bytes=8).orderBy("vec_id").collect()
+    assert [list(r.labels) for r in rows] == [[0, 4], [], [1]]
+    for head in ([3, 4, 3], [3, 5, 4]):  # a label too large; entries that contradict the starts
+        (tmp_path / "bad.labels").write_bytes(np.array(head, "<i8").tobytes() + data[24:])
+        with pytest.raises(ValueError):
+            binary.read_labels(spark, str(tmp_path / "bad.labels"))
+    (tmp_path / "bad.fvecs").write_bytes(binary.fvecs_bytes(np.zeros((3, 2)))[:-1])
     with pytest.raises(ValueError):
-        binary.parse_labels(np.array([3, 4, 3], "<i8").tobytes() + data[24:])
+        binary.read_fvecs(spark, str(tmp_path / "bad.fvecs"))
 
 
 def test_store_and_load(spark, small, tmp_path):
     model, index = Z.plain_index(spark, small)
     index_store.save(index, model, str(tmp_path / "index"))
-    again, loaded = index_store.load(spark, str(tmp_path / "index"))
+    again, codes, vectors = index_store.load(spark, str(tmp_path / "index"))
+    q = Z.queries(Z.plain_vectors(spark, small))
+    a = sorted(map(tuple, S.search(index, model, q, Z.APPROX).select("query_id", "rank", "vec_id").collect()))
+    found = S.search(codes, again, q, Z.APPROX, vectors=vectors)
+    assert a == sorted(map(tuple, found.select("query_id", "rank", "vec_id").collect())) and len(a) == 250
+
+
+def test_pruned_search(spark, small, tmp_path, monkeypatch):
+    """A search of a stored index reads packed codes and embeddings of the visited partitions' directories alone, also
+    where its queries come in blocks."""
+    model, codes, vectors = Z.stored_index(spark, small, "plain")
+    q = Z.queries(Z.plain_vectors(spark, small)).where("query_id = 20")
+    found = S.search(codes, model, q, Z.APPROX, vectors=vectors)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    visited = {r.part_id for r in found.collect()}
+    for part in visited:
+        assert f"PartitionFilters: [isnotnull(part_id" in plan or "PartitionFilters: [part_id" in plan, plan
+    assert "embedding" not in [f.name for f in codes.schema] and "codes" not in [f.name for f in codes.schema]
+    assert S.pruned(codes, sorted(visited)).count() == sum(model.parts[p].population for p in visited) < 500
+    assert len(S.pruned(codes, sorted(visited)).inputFiles()) <= len(codes.inputFiles())
     q = Z.queries(Z.plain_vectors(spark, small))
-    a, b = (sorted(map(tuple, S.search(i, m, q, Z.APPROX).select("query_id", "rank", "vec_id").collect())) for i, m in ((index, model), (loaded, again)))
-    assert a == b and len(a) == 250
+    whole = sorted(map(tuple, S.search(codes, model, q, Z.APPROX, vectors=vectors).collect()))
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(S, "VECTOR_BLOCK", 60)
+    assert sorted(map(tuple, S.search(codes, model, q, Z.APPROX, vectors=vectors).collect())) == whole
+
+
+def test_null_vectors(spark, small):
+    """Vectors that are null or hold nulls take no part, as vectors or as queries, in any search."""
+    v = Z.vectors(spark, small).select("vec_id", "embedding", "attrs", "labels")
+    bad = [(-1, None), (-2, [1.0, None] + [0.0] * 62)]
+    odd = spark.createDataFrame(bad, "vec_id long, embedding array<float>").withColumns({"attrs": F.lit(None).cast("array<double>"), "labels": F.lit(None).cast("array<int>")})
+    both, q = v.union(odd), Z.queries(v)
+    asked = q.union(odd.select("vec_id", "embedding"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "vec_id").collect()))
+    assert rows(S.exact_search(both, asked, 5, Z.DIMS)) == rows(S.exact_search(v, q, 5, Z.DIMS))
+    pair = q.withColumn("labels", F.array(F.lit(3)))
+    assert rows(S.exact_search(both, pair, 5, Z.DIMS)) == rows(S.exact_search(v, pair, 5, Z.DIMS))
+    for config in (IndexConfig(partitions=3, bits=128, lloyd_rounds=2), Z.PLAIN):
+        part = None if config.rotate else F.col("vec_id") % 4
+        (m, a), (n, b) = (I.build(t, config, part=None if part is None else F.abs(part)) for t in (v, both))
+        assert rows(S.search(b, n, asked, SearchConfig(k=5, mode="exact"))) == rows(S.search(a, m, q, SearchConfig(k=5, mode="exact")))
+    for kind in ("flat", "sq8", "pq", "rabitq"):
+        assert rows(AlternativeIndex(both, kind).search(asked, 5)) == rows(AlternativeIndex(v, kind).search(q, 5))
 
 
 def test_stream_of_queries(spark, small, tmp_path):

@@ -4,10 +4,37 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+
+def flat_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A list column's row number and place of every element, and the elements as doubles, nulls as NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(column)), length)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    return row, place, column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+
+
+def whole(batch: pa.RecordBatch | pa.Table, name: str, dims: int):
+    """The batch without the rows whose vector is null, of another length, or holds nulls: they take no part."""
+    column = batch.column(name)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not column.null_count and len(column.flatten()) == dims * len(column) and not column.flatten().null_count:
+        length = pc.list_value_length(column)
+        if not len(column) or pc.all(pc.equal(length, dims)).as_py():
+            return batch
+    good = pc.fill_null(pc.equal(pc.list_value_length(column), dims), False).to_numpy(zero_copy_only=False)
+    row, _, _ = flat_rows(column)
+    holes = column.flatten().is_null().to_numpy(zero_copy_only=False)
+    good = good & (np.bincount(row[holes], minlength=len(column)) == 0)
+    return batch.filter(pa.array(good))
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """A list column without nulls as rows x dims doubles."""
+    """A list column of `whole` rows as rows x dims doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dims)
@@ -16,13 +43,17 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
 def ragged(column: pa.Array, width: int) -> np.ndarray:
     """A list column as rows x width doubles; nulls and missing elements are NaN."""
     out = np.full((len(column), width), np.nan)
-    for i, row in enumerate(column.to_pylist()):
-        for j, x in enumerate((row or [])[:width]):
-            if x is not None:
-                out[i, j] = x
+    row, place, x = flat_rows(column)
+    some = place < width
+    out[row[some], place[some]] = x[some]
     return out
 
 
+def bytes_matrix(column: pa.Array) -> np.ndarray:
+    """A binary column of values of one length as rows x bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def lists(rows: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
     """rows x n numbers as a list column."""
     n = rows.shape[1] if rows.ndim == 2 else 0

@@ -24,6 +24,7 @@ class Scalar8:
         def run(batches):
             lo, hi = np.full(dims, np.inf), np.full(dims, -np.inf)
             for batch in batches:
+                batch = K.whole(batch, "embedding", dims)
                 if batch.num_rows:
                     x = K.matrix(batch.column(0), dims)
                     lo, hi = np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0))
@@ -43,10 +44,15 @@ class Scalar8:
 class Product:
     """Subspaces of equal width, a byte for each: the nearest of 256 centres."""
 
-    def __init__(self, vectors: DataFrame, dims: int, sample_rows: int = 10_000, parts: int = 16, seed: int = 0):
-        x = sampled(vectors, sample_rows, dims)
+    def __init__(self, vectors: DataFrame, dims: int, sample_rows: int = 10_000, parts: int = 16, seed: int = 0, books=None):
+        """books: given centres of each part instead of learned ones."""
         self.edges = np.linspace(0, dims, min(parts, dims) + 1).astype(int)
-        self.centres = [K.kmeans(x[:, a:b], 256, seed + i, rounds=10) for i, (a, b) in enumerate(zip(self.edges, self.edges[1:]))]
+        if books is not None:
+            self.centres = books
+            return
+        x = sampled(vectors, sample_rows, dims)
+        spans = enumerate(zip(self.edges, self.edges[1:]))
+        self.centres = [K.kmeans(x[:, a:b], 256, seed + i, rounds=10) for i, (a, b) in spans]
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         return np.stack([K.squared(x[:, a:b], c).argmin(1) for a, b, c in zip(self.edges, self.edges[1:], self.centres)], axis=1).astype(np.uint8)
@@ -86,36 +92,49 @@ class RotatedSigns:
 CODERS = {"sq8": Scalar8, "pq": Product, "rabitq": RotatedSigns}
 
 
-def coded(vectors: DataFrame, coder, centres: np.ndarray | None = None) -> DataFrame:
+def coded(vectors: DataFrame, dims: int, coder, centres: np.ndarray | None = None) -> DataFrame:
     """vectors with code and, given centres, part_id, the nearest one."""
     shared = vectors.sparkSession.sparkContext.broadcast((coder, centres))
 
     def run(batches):
         coder, centres = shared.value
         for batch in batches:
+            batch = K.whole(batch, "embedding", dims)
             if batch.num_rows:
-                at = batch.schema.get_field_index("embedding")
-                x = K.matrix(batch.column(at), len(batch.column(at)[0]))
+                x = K.matrix(batch.column("embedding"), dims)
                 part = K.squared(x, centres).argmin(1) if centres is not None else np.zeros(len(x))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in coder.encode(x)], pa.binary()), pa.array(part.astype(np.int32))], [*batch.schema.names, "code", "part_id"])
+                added = [pa.array([c.tobytes() for c in coder.encode(x)], pa.binary()), pa.array(part.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "code", "part_id"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
     return vectors.mapInArrow(run, f"{kept}, code binary, part_id int")
 
 
 class AlternativeIndex:
-    """kind: flat, graph, sq8, pq, rabitq; lists > 0 puts inverted lists before the coder."""
-
-    def __init__(self, vectors: DataFrame, kind: str = "sq8", lists: int = 0, sample_rows: int = 10_000, seed: int = 0):
+    """kind: flat, graph, sq8, pq, rabitq; lists > 0 puts inverted lists before the coder.
+
+    Learned pieces can be given instead: centres, of the lists; books, of the product quantiser."""
+
+    def __init__(
+        self,
+        vectors: DataFrame,
+        kind: str = "sq8",
+        lists: int = 0,
+        sample_rows: int = 10_000,
+        seed: int = 0,
+        centres: np.ndarray | None = None,
+        books: list[np.ndarray] | None = None,
+    ):
         if kind not in (*CODERS, "flat", "graph"):
             raise ValueError(f"unknown index kind {kind!r}")
         self.dims, self.kind, self.centres = vector_length(vectors), kind, None
         self.table = vectors
         if kind in CODERS:
-            self.coder = CODERS[kind](vectors, self.dims, sample_rows)
-            if lists:
+            self.coder = CODERS[kind](vectors, self.dims, sample_rows, **({"books": books} if books else {}))
+            self.centres = centres
+            if lists and centres is None:
                 self.centres = K.kmeans(sampled(vectors, sample_rows, self.dims), lists, seed, rounds=10)
-            self.table = coded(vectors, self.coder, self.centres)
+            self.table = coded(vectors, self.dims, self.coder, self.centres)
 
     def search(self, queries: DataFrame, k: int, probes: int = 1, refine: float = 2, exact: bool = True, attrs: int = 0) -> DataFrame:
         """(query_id, rank, vec_id, dist). exact=False ranks by the estimate. Predicates and labels filter first."""

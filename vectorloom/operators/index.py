@@ -60,8 +60,8 @@ class Model:
 
 def sampled(vectors: DataFrame, rows: int, dims: int) -> np.ndarray:
     """At most `rows` vectors, those of smallest hash of vec_id."""
-    got = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("embedding").collect()
-    return np.array([r[0] for r in got], float).reshape(-1, dims)
+    got = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows)
+    return K.matrix(K.whole(got.select("embedding").toArrow(), "embedding", dims).column("embedding"), dims)
 
 
 def covariance_matrix(vectors: DataFrame, dims: int, group: Column | None = None) -> dict[int, np.ndarray]:
@@ -137,7 +137,8 @@ def partition(vectors: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = K.matrix(batch.column(batch.schema.get_field_index("embedding")), shared.value.dims)
+            batch = K.whole(batch, "embedding", shared.value.dims)
+            x = K.matrix(batch.column("embedding"), shared.value.dims)
             part = shared.value.assign(x) if len(x) else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], [*batch.schema.names, "part_id"])
 
@@ -162,17 +163,34 @@ def fit_parts(parted: DataFrame, model: Model, rotate: bool, uniform: bool, refi
     for p, bounds in equi_depth_bounds(turned, dims, {p: x.cells for p, x in model.parts.items()}, group).items():
         model.parts[p].bounds = bounds
     if refine:
-        share = max(1, config.sample_rows // max(1, len(model.parts)))
-        by_part: dict[int, list] = {}
-        order = Window.partitionBy("part_id").orderBy(F.xxhash64("vec_id"), "vec_id")
-        for r in parted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("part_id", "embedding").collect():
-            by_part.setdefault(r.part_id, []).append(r.embedding)
-        for p, part in model.parts.items():
-            x = part.turn(np.array(by_part[p], float))
-            part.bounds = [quantize.lloyd(x[:, d], b, config.lloyd_rounds, config.lloyd_change) if len(b) > 2 else b for d, b in enumerate(part.bounds)]
+        for r in refined_bounds(parted, model).collect():  # the model's own numbers
+            model.parts[r.part_id].bounds[r.dim] = np.array(r.bounds)
     return model
 
 
+def refined_bounds(parted: DataFrame, model: Model) -> DataFrame:
+    """(part_id, dim, bounds): each partition's cells refined on its share of the sample, a partition a group.
+
+    The share is what bounds a group; it is chosen by hash."""
+    dims, config = model.dims, model.config
+    share = max(1, config.sample_rows // max(1, len(model.parts)))
+    order = Window.partitionBy("part_id").orderBy(F.xxhash64("vec_id"), "vec_id")
+    usable = parted.where("embedding is not null").select("part_id", "vec_id", "embedding")
+    sample = usable.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("part_id", "embedding")
+    shared = parted.sparkSession.sparkContext.broadcast(model)  # partitions x dims numbers
+
+    def refine(table: pa.Table) -> pa.Table:
+        p = table.column("part_id")[0].as_py()
+        part = shared.value.parts[p]
+        x = part.turn(K.matrix(K.whole(table, "embedding", dims).column("embedding"), dims))
+        some = [d for d, b in enumerate(part.bounds) if len(b) > 2]
+        lloyd = [quantize.lloyd(x[:, d], part.bounds[d], config.lloyd_rounds, config.lloyd_change).tolist() for d in some]
+        columns = [pa.array([p] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(lloyd, pa.list_(pa.float64()))]
+        return pa.Table.from_arrays(columns, ["part_id", "dim", "bounds"])
+
+    return sample.groupBy("part_id").applyInArrow(refine, "part_id int, dim int, bounds array<double>")
+
+
 def rotated(parted: DataFrame, model: Model) -> DataFrame:
     """parted with the embedding rotated by its partition's model."""
     shared = parted.sparkSession.sparkContext.broadcast(model)
@@ -181,8 +199,8 @@ def rotated(parted: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("embedding")
-            x, part = K.matrix(batch.column(at), m.dims), batch.column(batch.schema.get_field_index("part_id")).to_numpy(zero_copy_only=False)
+            batch = K.whole(batch, "embedding", m.dims)
+            x, part = K.matrix(batch.column("embedding"), m.dims), batch.column("part_id").to_numpy(zero_copy_only=False)
             z = np.empty_like(x)
             for p in np.unique(part):
                 z[part == p] = m.parts[int(p)].turn(x[part == p])
@@ -200,7 +218,8 @@ def encoded(parted: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            x, part = K.matrix(batch.column(batch.schema.get_field_index("embedding")), m.dims), batch.column(batch.schema.get_field_index("part_id")).to_numpy(zero_copy_only=False)
+            batch = K.whole(batch, "embedding", m.dims)
+            x, part = K.matrix(batch.column("embedding"), m.dims), batch.column("part_id").to_numpy(zero_copy_only=False)
             codes, packed, sign = np.zeros(x.shape, np.int16), [b""] * len(x), [b""] * len(x)
             for p in np.unique(part):
                 own, one = np.flatnonzero(part == p), m.parts[int(p)]
@@ -214,7 +233,31 @@ def encoded(parted: DataFrame, model: Model) -> DataFrame:
     return parted.mapInArrow(run, f"{kept}, codes array<smallint>, packed binary, sign binary")
 
 
-def build(vectors: DataFrame, config: IndexConfig = IndexConfig(), stage: str = "all", part: Column | None = None) -> tuple[Model, DataFrame]:
+def standardised(parted: DataFrame, model: Model) -> DataFrame:
+    """(vec_id, part_id, rotated, standardised): vectors as their partition's model turns them, and these less the mean
+    and by the deviation of the partition's rotated values (0 where that is 0)."""
+    dims = model.dims
+    turned = rotated(parted.select("vec_id", "part_id", "embedding"), model)
+    stat = {p: (mean, np.sqrt(var)) for p, (_, mean, var) in means_of(turned, dims, F.col("part_id")).items()}
+    shared = parted.sparkSession.sparkContext.broadcast(stat)  # partitions x dims numbers
+
+    def run(batches):
+        for batch in batches:
+            z, part = K.matrix(batch.column("embedding"), dims), batch.column("part_id").to_numpy(zero_copy_only=False)
+            unit = np.zeros_like(z)
+            for p in np.unique(part):
+                mean, std = shared.value[int(p)]
+                own = z[part == p] - mean
+                unit[part == p] = np.divide(own, std, out=np.zeros_like(own), where=std > 0)
+            columns = [batch.column("vec_id"), batch.column("part_id"), batch.column("embedding"), K.lists(unit)]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "part_id", "rotated", "standardised"])
+
+    return turned.mapInArrow(run, "vec_id long, part_id int, rotated array<double>, standardised array<double>")
+
+
+def build(
+    vectors: DataFrame, config: IndexConfig = IndexConfig(), stage: str = "all", part: Column | None = None
+) -> tuple[Model, DataFrame]:
     """The model and the table of codes. part: a given partition instead of the learned one. stage: 'partition' stops
     before quantising, and returns the partitioned vectors."""
     dims = stats.vector_length(vectors)

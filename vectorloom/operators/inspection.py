@@ -22,6 +22,7 @@ def inspect(index: DataFrame, model: Model, query: list[float], which: Column) -
     def run(batches):
         m = shared.value
         for batch in batches:
+            batch = K.whole(batch, "embedding", m.dims)
             x = K.matrix(batch.column(2), m.dims)
             for v, p, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), x):
                 one = m.parts[p]

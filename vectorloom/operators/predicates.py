@@ -39,11 +39,21 @@ def passing(attrs: np.ndarray, predicates: list | None) -> np.ndarray:
     return ok
 
 
-def labelled(labels: list, wanted: list | None) -> np.ndarray:
-    if not wanted:
-        return np.ones(len(labels), bool)
-    want = set(wanted)
-    return np.fromiter((want.issubset(x or ()) for x in labels), bool, len(labels))
+class Labels:
+    """The label lists of a block's rows, flattened once for all queries."""
+
+    def __init__(self, column=None, rows: int = 0):
+        self.rows = rows
+        self.row, _, self.label = K.flat_rows(column) if column is not None else (np.zeros(0, np.int64),) * 3
+
+    def having(self, wanted: list | None) -> np.ndarray:
+        """Which rows have all wanted labels."""
+        ok = np.ones(self.rows, bool)
+        for label in set(wanted or ()):
+            has = np.zeros(self.rows, bool)
+            has[self.row[self.label == label]] = True
+            ok &= has
+        return ok
 
 
 def inverted(vectors: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ def order_statistics(vectors: DataFrame, dims: int, ranks: dict[tuple[int, int],
 
         def run(batches, shift=shift, shared=shared):
             for batch in batches:
+                batch = K.whole(batch, "embedding", dims)
                 grp, x = batch.column(0).to_numpy(zero_copy_only=False), ordered(K.matrix(batch.column(1), dims))
                 out: list[list] = [[], [], [], [], []]
                 for g in np.unique(grp):

@@ -1,8 +1,14 @@
 """Searching: exact scans, routing, the sign cut, distance bounds, shortlists, exact re-ranking and merging.
 
 Queries meet vectors in blocks. Up to `QUERY_BLOCK` queries (a checked count) are broadcast to the vectors' scan, which
-needs no shuffle; more are dealt into blocks, and every block of vectors is copied to every block of queries, so tasks
-stay bounded. Only per-block shortlists leave a task; windows with a row limit merge them."""
+needs no shuffle; more are dealt into blocks, and so are vectors, two blocks a task. Where queries have routes, a block of
+either side belongs to one partition and meets blocks of that partition only. Only per-block shortlists leave a task;
+windows with a row limit merge them.
+
+A search of a stored index reads the packed codes of the partitions that some query visits, pruned by directory, and the
+vectors of these partitions for the exact distances of the shortlist; without predicates it counts no matches.
+
+Vectors and queries that are null, of another length, or hold null components take no part."""
 
 from __future__ import annotations
 
@@ -17,6 +23,7 @@ from vectorloom.config import SearchConfig
 from vectorloom.functions import kernels as K
 from vectorloom.operators import predicates as P
 from vectorloom.operators.index import Model
+from vectorloom.sources.shared import staged
 
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 65_536
@@ -27,18 +34,24 @@ class Rows:
 
     def __init__(self, batch: pa.RecordBatch | pa.Table, key: str, dims: int, attrs: int):
         has = batch.schema.names
+        if "embedding" in has:
+            batch = K.whole(batch, "embedding", dims)
         table = batch if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])
         self.n, col = table.num_rows, table.column
         self.ids = col(key).to_numpy()
-        self.x = K.matrix(col("embedding"), dims)
+        self.x = K.matrix(col("embedding"), dims) if "embedding" in has else None
         self.attrs = K.ragged(col("attrs"), attrs) if "attrs" in has else np.zeros((self.n, attrs))
-        self.labels = col("labels").to_pylist() if "labels" in has else [None] * self.n
+        # a query's labels are wanted, a vector's are looked through
+        self.labels = col("labels").to_pylist() if "labels" in has and key == "query_id" else [None] * self.n
+        self.labelled = P.Labels(col("labels") if "labels" in has and key == "vec_id" else None, self.n)
         self.preds = col("preds").to_pylist() if "preds" in has else [None] * self.n
-        self.routes = [None if r is None else {y["part_id"]: y["cut"] for y in r} for r in col("routes").to_pylist()] if "routes" in has else [None] * self.n
+        routes = col("routes").to_pylist() if "routes" in has else [None] * self.n
+        self.routes = [None if r is None else {y["part_id"]: y["cut"] for y in r} for r in routes]
         self.part = col("part_id").to_numpy() if "part_id" in has else np.zeros(self.n, np.int32)
-        self.codes = K.matrix(col("codes"), dims).astype(np.int16) if "codes" in has else None
-        self.code = np.frombuffer(b"".join(col("code").to_pylist()), np.uint8).reshape(self.n, -1) if "code" in has and self.n else None
-        self.sign = np.frombuffer(b"".join(col("sign").to_pylist()), np.uint8).reshape(self.n, -1) if "sign" in has and self.n else None
+        self.turned: dict = {}  # queries as each partition's rotation turns them
+        self.packed = col("packed").combine_chunks() if "packed" in has else None
+        self.code = K.bytes_matrix(col("code").combine_chunks()) if "code" in has and self.n else None
+        self.sign = K.bytes_matrix(col("sign").combine_chunks()) if "sign" in has and self.n else None
 
 
 def fetched(queries: DataFrame) -> tuple[DataFrame, pa.Table | None]:
@@ -49,8 +62,18 @@ def fetched(queries: DataFrame) -> tuple[DataFrame, pa.Table | None]:
     return queries.sparkSession.createDataFrame(table, queries.schema), table
 
 
-def met(vectors: DataFrame, queries: DataFrame, dims: int, attrs: int, kernel: Callable[[Rows, Rows], Iterator[pa.RecordBatch]], schema: str, table: pa.Table | None = None) -> DataFrame:
-    """kernel(queries, vectors) over every pair of blocks. table: the queries' rows, if they have been fetched."""
+def met(
+    vectors: DataFrame,
+    queries: DataFrame,
+    dims: int,
+    attrs: int,
+    kernel: Callable[[Rows, Rows], Iterator[pa.RecordBatch]],
+    schema: str,
+    table: pa.Table | None = None,
+) -> DataFrame:
+    """kernel(queries, vectors) over every pair of blocks, or of blocks of one partition where queries have routes.
+
+    table: the queries' rows, if they have been fetched."""
     spark = vectors.sparkSession
     if table is None:
         queries, table = fetched(queries)
@@ -64,43 +87,53 @@ def met(vectors: DataFrame, queries: DataFrame, dims: int, attrs: int, kernel: C
                     yield from kernel(q, Rows(batch, "vec_id", dims, attrs))
 
         return vectors.mapInArrow(run, schema)
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    q_names, v_names, keys_of = queries.columns, vectors.columns, ["grp", "qb", "vb", "side"]
+    if "routes" in q_names and "part_id" in v_names:
+        v = vectors.withColumn("grp", F.col("part_id"))
+        q = queries.withColumn("route", F.explode("routes")).withColumns({"grp": F.col("route.part_id"), "routes": F.array("route")})
+    else:
+        v, q = vectors.withColumn("grp", F.lit(0)), queries.withColumn("grp", F.lit(0))
+    blocks = lambda df, size, name: df.groupBy("grp").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
+    sizes = blocks(q, QUERY_BLOCK, "qbs").join(blocks(v, VECTOR_BLOCK, "vbs"), "grp")
+    rows = sizes.collect()  # a row per partition
+    sizes = F.broadcast(spark.createDataFrame(rows, sizes.schema))
+    one_of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    v = v.join(sizes, "grp").withColumns({"side": F.lit(1), "vb": one_of("vec_id", "vbs"), "qb": all_of("qbs")})
+    q = q.join(sizes, "grp").withColumns({"side": F.lit(0), "qb": one_of("query_id", "qbs"), "vb": all_of("vbs")})
     # equal columns on both sides, so that one sorted stream brings a block of queries before its vectors
-    q_names, v_names = queries.columns, vectors.columns
-    names = sorted({*vectors.columns, *queries.columns, "side", "qb", "vb"})
-    v_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
-    v = vectors.withColumns({"side": F.lit(1), "vb": F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks)), "qb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
-    q = queries.withColumns({"side": F.lit(0), "qb": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "vb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long")))})
-    both = q.unionByName(v, allowMissingColumns=True).select(*names)
+    names = sorted({*v_names, *q_names, *keys_of})
+    tasks = max(1, min(sum(r.qbs * r.vbs for r in rows), 100_000))
+    both = q.select(*q_names, *keys_of).unionByName(v.select(*v_names, *keys_of), allowMissingColumns=True).select(*names)
 
     def stream(batches):
         held: Rows | None = None
         now, parts = None, []
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            keys = list(zip(table.column("qb").to_pylist(), table.column("vb").to_pylist(), table.column("side").to_pylist()))
+            keys = list(zip(*(table.column(k).to_pylist() for k in keys_of)))
             start = 0
             for i in range(1, len(keys) + 1):
                 if i < len(keys) and keys[i] == keys[start]:
                     continue
                 piece, key = table.slice(start, i - start), keys[start]
                 start = i
-                if key[2] == 0:
-                    if now != key[:2]:
-                        now, parts = key[:2], []
+                if key[3] == 0:
+                    if now != key[:3]:
+                        now, parts = key[:3], []
                     parts.append(piece.select(q_names))
                     held = None
-                elif now == key[:2]:
+                elif now == key[:3]:
                     held = held or Rows(pa.concat_tables(parts).combine_chunks(), "query_id", dims, attrs)
                     yield from kernel(held, Rows(piece.select(v_names).combine_chunks(), "vec_id", dims, attrs))
 
-    dealt = both.repartition(max(1, min(blocks * v_blocks, 100_000)), "qb", "vb").sortWithinPartitions("qb", "vb", "side")
+    dealt = both.repartition(tasks, "grp", "qb", "vb").sortWithinPartitions(*keys_of)
     return dealt.mapInArrow(stream, schema)
 
 
 def allowed(q: Rows, i: int, v: Rows) -> np.ndarray:
     """Which vectors query i may return."""
-    return P.passing(v.attrs, q.preds[i]) & P.labelled(v.labels, q.labels[i])
+    return P.passing(v.attrs, q.preds[i]) & v.labelled.having(q.labels[i])
 
 
 def ranked(df: DataFrame, by: list[str], order: list[str], limit, name: str = "rank") -> DataFrame:
@@ -114,6 +147,8 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int, dims: int, attr
 
     def kernel(q: Rows, v: Rows):
         out: list[list] = [[], [], []]
+        if not v.n:
+            return
         reach = 1e-9 * (1 + float((v.x * v.x).sum(1).max()))
         for lo in range(0, q.n, 64):
             near = K.squared(q.x[lo : lo + 64], v.x)  # by a matrix product; who may be among the k is then measured exactly
@@ -157,7 +192,16 @@ def matches(index: DataFrame, queries: DataFrame, dims: int, attrs: int, table:
             a, b, c = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64())], ["query_id", "part_id", "n"])
 
-    return met(index, queries, dims, attrs, kernel, "query_id long, part_id int, n long", table).groupBy("query_id", "part_id").agg(F.sum("n").alias("n"))
+    looked_at = index.select(*[c for c in ("vec_id", "part_id", "attrs", "labels") if c in index.columns])
+    found = met(looked_at, queries, dims, attrs, kernel, "query_id long, part_id int, n long", table)
+    return found.groupBy("query_id", "part_id").agg(F.sum("n").alias("n"))
+
+
+def populations(model: Model, distance: DataFrame) -> DataFrame:
+    """(query_id, part_id, n) for queries that every vector satisfies: no scan is needed."""
+    rows = [(int(p), int(one.population)) for p, one in sorted(model.parts.items())]
+    sizes = distance.sparkSession.createDataFrame(rows, "part_id int, n long")  # a row per partition
+    return distance.select("query_id", "part_id").join(F.broadcast(sizes), "part_id").select("query_id", "part_id", "n")
 
 
 def routes(distance: DataFrame, count: DataFrame, config: SearchConfig) -> DataFrame:
@@ -182,7 +226,15 @@ def routed(queries: DataFrame, chosen: DataFrame) -> DataFrame:
     return queries.join(lists, "query_id")
 
 
-def candidates(index: DataFrame, queries: DataFrame, model: Model, config: SearchConfig, attrs: int, everything: bool = False) -> DataFrame:
+def candidates(
+    index: DataFrame,
+    queries: DataFrame,
+    model: Model,
+    config: SearchConfig,
+    attrs: int,
+    everything: bool = False,
+    table: pa.Table | None = None,
+) -> DataFrame:
     """(query_id, part_id, vec_id, hamming, lower, upper) of the visited partitions' matching vectors.
 
     A block keeps the `cut` candidates of least Hamming distance; the window keeps them of the whole partition. In exact
@@ -192,29 +244,42 @@ def candidates(index: DataFrame, queries: DataFrame, model: Model, config: Searc
 
     def kernel(q: Rows, v: Rows):
         m, out = shared.value, [[] for _ in range(6)]
+        place = np.empty(v.n, np.int64)  # of a row among those of its partition
         for p in np.unique(v.part):
+            asking = [i for i in range(q.n) if q.routes[i] is None or int(p) in q.routes[i]]
+            if not asking:
+                continue
             one, own = m.parts[int(p)], np.flatnonzero(v.part == p)
-            for i in range(q.n):
-                if q.routes[i] is not None and int(p) not in q.routes[i]:
-                    continue
+            place[own] = np.arange(len(own))
+            codes = K.unpack_codes(K.bytes_matrix(v.packed.take(pa.array(own))), one.bits)
+            turned = q.turned.get(int(p))
+            if turned is None:  # the queries are turned once a task and partition
+                z = one.turn(q.x)
+                turned = q.turned[int(p)] = (z, one.signs(z))
+            for i in asking:
                 ok = own[allowed(q, i, v)[own]] if q.preds[i] or q.labels[i] else own
                 if not len(ok):
                     continue
-                z = one.turn(q.x[i][None, :])[0]
-                ham = np.bitwise_count(v.sign[ok] ^ one.signs(z[None, :])).sum(1).astype(np.int64)
+                z = turned[0][i]
+                ham = np.bitwise_count(v.sign[ok] ^ turned[1][i]).sum(1).astype(np.int64)
                 if not everything and q.routes[i] is not None:
                     keep = K.top(ham, v.ids[ok], q.routes[i][int(p)])
                     ok, ham = ok[keep], ham[keep]
-                low, high = K.bounds_of(v.codes[ok], tables_of(z, one.bounds))
+                low, high = K.bounds_of(codes[place[ok]], tables_of(z, one.bounds))
                 if not everything and config.mode == "exact" and len(ok) > config.shortlist:
-                    keep = (low <= np.partition(high, config.k - 1)[config.k - 1] * (1 + 1e-9)) | (low <= np.partition(low, config.shortlist - 1)[config.shortlist - 1])
+                    within = np.partition(high, config.k - 1)[config.k - 1] * (1 + 1e-9)
+                    keep = (low <= within) | (low <= np.partition(low, config.shortlist - 1)[config.shortlist - 1])
                     ok, ham, low, high = ok[keep], ham[keep], low[keep], high[keep]
-                for column, part in zip(out, (np.full(len(ok), q.ids[i]), np.full(len(ok), p, np.int32), v.ids[ok], ham, low, high)):
+                numbers = (np.full(len(ok), q.ids[i]), np.full(len(ok), p, np.int32))
+                for column, part in zip(out, (*numbers, v.ids[ok], ham, low, high)):
                     column.append(part)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "part_id", "vec_id", "hamming", "lower", "upper"])
+            names = ["query_id", "part_id", "vec_id", "hamming", "lower", "upper"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
-    found = met(index, queries, model.dims, attrs, kernel, "query_id long, part_id int, vec_id long, hamming long, lower double, upper double")
+    read = index.select(*[c for c in ("vec_id", "part_id", "attrs", "labels", "packed", "sign") if c in index.columns])
+    schema = "query_id long, part_id int, vec_id long, hamming long, lower double, upper double"
+    found = met(read, queries, model.dims, attrs, kernel, schema, table)
     if everything or "routes" not in queries.columns:
         return found
     cuts = queries.select("query_id", F.explode("routes").alias("r")).select("query_id", "r.part_id", "r.cut")
@@ -228,16 +293,18 @@ def shortlisted(found: DataFrame, n: int) -> DataFrame:
 
 
 def reranked(short: DataFrame, index: DataFrame, queries: DataFrame, dims: int) -> DataFrame:
-    """short with exact distances, by an equi-join on vec_id."""
+    """short with exact distances, by an equi-join on vec_id, and on part_id where both have it."""
 
     def run(batches):
         for batch in batches:
-            a, b = K.matrix(batch.column(batch.schema.get_field_index("qe")), dims), K.matrix(batch.column(batch.schema.get_field_index("embedding")), dims)
-            columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("qe", "embedding")]
+            a, b = (K.matrix(batch.column(name), dims) for name in ("qe", "embedding"))
             names = [n for n in batch.schema.names if n not in ("qe", "embedding")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.sqrt(((a - b) ** 2).sum(1)))], [*names, "dist"])
+            dist = pa.array(np.sqrt(((a - b) ** 2).sum(1)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), dist], [*names, "dist"])
 
-    both = short.join(index.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", F.col("embedding").alias("qe")), "query_id")
+    keys = [c for c in ("part_id", "vec_id") if c in short.columns and c in index.columns]
+    both = short.join(index.select(*keys, "embedding"), keys)
+    both = both.join(queries.select("query_id", F.col("embedding").alias("qe")), "query_id")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in short.schema)
     ordered = both.select(*short.columns, "qe", "embedding")
     return ordered.mapInArrow(run, f"{kept}, dist double")
@@ -253,30 +320,52 @@ def centroids(model: Model, spark) -> DataFrame:
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
 
 
-def search(index: DataFrame, model: Model, queries: DataFrame, config: SearchConfig = SearchConfig(), attrs: int = 0) -> DataFrame:
-    """(query_id, rank, vec_id, dist, hamming, part_id).
+def pruned(table: DataFrame, parts: list[int]) -> DataFrame:
+    """The rows of some partitions; a table that is stored by part_id is read in their directories only."""
+    return table.where(F.col("part_id").isin(parts)) if parts else table.limit(0)
+
+
+def search(
+    index: DataFrame,
+    model: Model,
+    queries: DataFrame,
+    config: SearchConfig = SearchConfig(),
+    attrs: int = 0,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
+    """(query_id, rank, vec_id, dist, hamming, part_id, fails).
+
+    index: a table of codes, with vectors, (vec_id, part_id, embedding), where it has no embeddings of its own.
 
     exact: every matching vector's lower bound; the k-th distance of the shortlist bounds the answer, and whatever may
     lie below it is ranked exactly. approx: sign cut, bounds, shortlist. approx_nocut: without the sign cut.
     strict=False fills up to k with the nearest rows that fail the query, after those that satisfy it."""
     dims = model.dims
     queries, table = fetched(queries)
+    vectors = index if vectors is None else vectors
     distance = all_distances(centroids(model, index.sparkSession), queries, dims, table)
-    count = matches(index, queries, dims, attrs, table)
-    chosen = routes(distance, count, config)
-    ask = routed(queries, chosen)
-    found = candidates(index, ask, model, config, attrs)
+    free = not {"preds", "labels"} & set(queries.columns)
+    count = populations(model, distance) if free else matches(index, queries, dims, attrs, table)
+    ask, asked = fetched(routed(queries, routes(distance, count, config)))
+    if asked is None:
+        ask = staged(ask, "search-routes")
+        parts = [r[0] for r in ask.select(F.explode("routes.part_id")).distinct().collect()]  # the partitions at most
+    else:
+        parts = sorted({x["part_id"] for r in asked.column("routes").to_pylist() for x in r})
+    own = pruned(vectors, parts)
+    found = candidates(pruned(index, parts), ask, model, config, attrs, table=asked)
     short = shortlisted(found, config.shortlist)
-    first = reranked(short, index, queries, dims)
+    first = reranked(short, own, queries, dims)
     if config.mode == "exact":
         limit = ranked(first, ["query_id"], ["dist", "vec_id"], config.k, "r").groupBy("query_id").agg(F.when(F.count("*") >= config.k, F.max("dist")).alias("limit"))
         more = found.join(limit, "query_id").where(F.col("limit").isNull() | (F.col("lower") <= F.col("limit") * (1 + 1e-9) + 1e-9)).drop("limit")
-        first = reranked(more, index, queries, dims)
+        first = reranked(more, own, queries, dims)
     out = merged(first, config.k).withColumn("fails", F.lit(0))
     if not config.strict:
         plain = queries.drop("preds", "labels")
-        near = exact_search(index, plain, config.k, dims).select("query_id", "vec_id", "dist")
-        rest = near.join(out.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti").join(index.select("vec_id", "part_id"), "vec_id")
+        near = exact_search(vectors, plain, config.k, dims).select("query_id", "vec_id", "dist")
+        rest = near.join(out.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
+        rest = rest.join(vectors.select("vec_id", "part_id"), "vec_id")
         rest = rest.select("query_id", "part_id", "vec_id", F.lit(None).cast("long").alias("hamming"), "dist", F.lit(1).alias("fails"))
         both = out.select(*rest.columns).unionByName(rest)
         out = ranked(both, ["query_id"], ["fails", "dist", "vec_id"], config.k)

@@ -27,6 +27,7 @@ def moments(vectors: DataFrame, dims: int, group: Column | None = None) -> DataF
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
+            batch = K.whole(batch, "embedding", dims)
             grp, x = batch.column(0).to_numpy(zero_copy_only=False), K.matrix(batch.column(1), dims)
             for g in np.unique(grp):
                 own = x[grp == g]
@@ -57,6 +58,7 @@ def covariance(vectors: DataFrame, dims: int, group: Column | None = None) -> Da
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
+            batch = K.whole(batch, "embedding", dims)
             grp, x = batch.column(0).to_numpy(zero_copy_only=False), K.matrix(batch.column(1), dims)
             x = np.hstack([x, np.ones((len(x), 1))])
             for g in np.unique(grp):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.functions import columns as X
@@ -79,3 +81,23 @@ def tile(queries: DataFrame, factor: int) -> DataFrame:
 
 def with_predicates(queries: DataFrame, predicates: list[Column]) -> DataFrame:
     return queries.withColumn("preds", F.array(*predicates).cast(P.PREDICATES))
+
+
+def save_workload(path: str, queries: DataFrame, truth: DataFrame, filtered_truth: DataFrame) -> None:
+    """A workload as Parquet tables: queries (query_id, embedding[, preds][, labels]) and both ground truths."""
+    for name, table in (("queries", queries), ("truth", truth), ("filtered_truth", filtered_truth)):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_workload(spark: SparkSession, path: str, filtered: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The queries, without predicates and labels if not filtered, and the ground truth that belongs to them."""
+    queries = spark.read.parquet(f"{path}/queries")
+    if not filtered:
+        queries = queries.drop("preds", "labels")
+    return queries, spark.read.parquet(f"{path}/{'filtered_truth' if filtered else 'truth'}")
+
+
+def concatenated(workloads: list[DataFrame]) -> DataFrame:
+    """The queries of several allocators' workloads, numbered by allocator; a missing column is null."""
+    numbered = [w.withColumn("allocator", F.lit(i)) for i, w in enumerate(workloads)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)

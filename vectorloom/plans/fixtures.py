@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from vectorloom.config import IndexConfig, SearchConfig
 from vectorloom.operators import index as I
 from vectorloom.operators import predicates as P
+from vectorloom.sources import index_store
+from vectorloom.sources.shared import exists, fingerprint, shared_dir
 
 DIMS, ATTRS, K, STEP = 64, 4, 10, 20
 NAMES = [f"a{i}" for i in range(ATTRS)]
@@ -18,9 +20,6 @@ PLAIN = IndexConfig(partitions=4, bits=2 * DIMS, uniform=True, rotate=False, llo
 LEARNED = IndexConfig(partitions=4, bits=4 * DIMS)
 APPROX = SearchConfig(k=K, centroid_factor=1.01, percent=2, refine=2)
 
-_models: dict = {}
-
-
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Attributed vectors: vec_id, embedding, label, a0-a3, attrs, labels."""
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
@@ -48,21 +47,38 @@ def queries(table: DataFrame, *predicates: Column, labels: Column | None = None)
 
 
 def plain_index(spark: SparkSession, sf: str, table: DataFrame | None = None) -> tuple[I.Model, DataFrame]:
-    """The plain profile's model, kept for the session, and its table of codes."""
+    """The plain profile's model and its table of codes, encoded anew from the given vectors."""
     table = table if table is not None else plain_vectors(spark, sf)
-    part = (F.col("vec_id") % PLAIN.partitions).cast("int")
-    key = (spark.sparkContext.applicationId, sf, "plain")
-    if key not in _models:
-        _models[key] = I.build(plain_vectors(spark, sf), PLAIN, part=part)[0]
-    return _models[key], I.encoded(table.withColumn("part_id", part), _models[key])
+    model = stored_index(spark, sf, "plain")[0]
+    return model, I.encoded(table.withColumn("part_id", given()), model)
 
 
 def learned_index(spark: SparkSession, sf: str, table: DataFrame | None = None) -> tuple[I.Model, DataFrame]:
     table = table if table is not None else plain_vectors(spark, sf)
-    key = (spark.sparkContext.applicationId, sf, "learned")
-    if key not in _models:
-        _models[key] = I.build(plain_vectors(spark, sf), LEARNED)[0]
-    return _models[key], I.encoded(I.partition(table, _models[key]), _models[key])
+    model = stored_index(spark, sf, "learned")[0]
+    return model, I.encoded(I.partition(table, model), model)
+
+
+def given() -> Column:
+    """The plain profile's partition of a vector."""
+    return (F.col("vec_id") % PLAIN.partitions).cast("int")
+
+
+def build_index(spark: SparkSession, sf: str, profile: str, path: str) -> None:
+    """Builds a profile's index of the attributed vectors and writes it."""
+    table = vectors(spark, sf).select("vec_id", "embedding", "attrs", "labels")
+    model, index = I.build(table, PLAIN, part=given()) if profile == "plain" else I.build(table, LEARNED)
+    index_store.save(index, model, path)
+
+
+def stored_index(spark: SparkSession, sf: str, profile: str) -> tuple[I.Model, DataFrame, DataFrame]:
+    """The profile's model, codes and vectors, read from the shared folder; built first where the index of these files
+    with these settings isn't there yet."""
+    tables = [f"{sf}/{name}.parquet" for name in ("embeddings", "orders", "events")]
+    path = f"{shared_dir(spark)}/index-{profile}-{fingerprint(spark, tables, PLAIN, LEARNED)}"
+    if not exists(spark, f"{path}/settings/_SUCCESS"):
+        build_index(spark, sf, profile, path)
+    return index_store.load(spark, path)
 
 
 def flat_bounds(model: I.Model, spark: SparkSession) -> DataFrame:

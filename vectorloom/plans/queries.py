@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,8 +17,11 @@ from vectorloom.operators import index as I
 from vectorloom.operators import predicates as P
 from vectorloom.operators import search as S
 from vectorloom.operators import workload as W
+from vectorloom.operators.cache import ResultCache
 from vectorloom.operators.quantiles import equi_depth_bounds
 from vectorloom.plans import fixtures as Z
+from vectorloom.sources import binary
+from vectorloom.sources.shared import shared_dir, write_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -455,8 +459,8 @@ def merge_partitions(spark, sf):
 
 def searched(spark, sf, config, *predicates, learned=False, labels=None):
     v = Z.vectors(spark, sf) if predicates or labels is not None else Z.plain_vectors(spark, sf)
-    model, index = (Z.learned_index if learned else Z.plain_index)(spark, sf, v)
-    return S.search(index, model, Z.queries(v, *predicates, labels=labels), config, Z.ATTRS)
+    model, codes, vectors = Z.stored_index(spark, sf, "learned" if learned else "plain")
+    return S.search(codes, model, Z.queries(v, *predicates, labels=labels), config, Z.ATTRS, vectors)
 
 
 @query(f"{FULL}, {CUT}, {SHORT.format('hc')}, {RERANK}, {MERGE} {RESULT}")
@@ -580,6 +584,95 @@ def recall_learned(spark, sf):
     return got.agg((F.avg("recall") >= 0.9).alias("recalled"))
 
 
+# ---- files, stored tables and the cache ---------------------------------------------------------------------------
+
+
+def fresh(spark, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {V}, {XD} SELECT vec_id, CAST(d AS BIGINT) AS dim, round(x, 6) AS x FROM x")
+def fvecs_source(spark, sf):
+    """The vectors as an fvecs file, read in ranges."""
+    path = fresh(spark, "vectors.fvecs")
+    binary.write_fvecs(Z.plain_vectors(spark, sf), path)
+    read = binary.read_fvecs(spark, path, record_bytes=8192)
+    return read.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+@query(f"WITH {AV} " + " UNION ALL ".join(f"SELECT vec_id, CAST({i} AS BIGINT) AS attr, round(CAST(CAST(a{i} AS FLOAT) AS DOUBLE), 6) AS value FROM v" for i in range(4)))
+def attribute_source(spark, sf):
+    """The attributes as a file of float32 columns, read in ranges."""
+    rows = Z.vectors(spark, sf).orderBy("vec_id").select("attrs").collect()
+    path = fresh(spark, "attributes.af")
+    write_bytes(spark, path, np.array([r.attrs for r in rows], "<f4").T.tobytes())
+    return binary.read_attributes(spark, path, len(rows))
+
+
+@query(f"WITH {AV} SELECT vec_id, CAST(i AS BIGINT) AS place, CAST(labels[i + 1] AS BIGINT) AS label FROM v, (SELECT unnest(range(2)) AS i)")
+def label_source(spark, sf):
+    """The labels as compressed sparse rows, read in ranges and checked."""
+    rows = [r.labels for r in Z.vectors(spark, sf).orderBy("vec_id").select("labels").collect()]
+    path = fresh(spark, "labels.csr")
+    write_bytes(spark, path, binary.label_bytes(rows, 17))
+    return binary.read_labels(spark, path, record_bytes=1024).select("vec_id", F.posexplode("labels").alias("place", "label"))
+
+
+@query(f"""WITH {V}, {XD}, s AS (SELECT part, d, avg(x) AS mean, stddev_pop(x) AS std FROM x GROUP BY part, d)
+SELECT vec_id, CAST(part AS BIGINT) AS part_id, CAST(d AS BIGINT) AS dim, round(x, 6) AS turned, round(CASE WHEN std > 0 THEN (x - mean) / std ELSE 0.0 END, 6) + 0.0 AS z FROM x JOIN s USING (part, d)""")
+def transformed_table(spark, sf):
+    """Rotated and standardised vectors as a stored table (without a rotation, the profile that SQL can state)."""
+    model, _, vectors = Z.stored_index(spark, sf, "plain")
+    path = fresh(spark, "transformed")
+    I.standardised(vectors, model).write.partitionBy("part_id").parquet(path)
+    read = spark.read.parquet(path).select("vec_id", "part_id", F.posexplode(F.arrays_zip("rotated", "standardised")).alias("dim", "x"))
+    return read.select("vec_id", "part_id", "dim", F.col("x.rotated").alias("turned"), F.col("x.standardised").alias("z"))
+
+
+@query("SELECT CAST(vec_id % 4 AS BIGINT) AS part_id, count(*) AS vectors, count(*) AS population, CAST(16 * count(*) AS BIGINT) AS packed_bytes, CAST(8 * count(*) AS BIGINT) AS sign_bytes FROM embeddings GROUP BY 1")
+def index_directory(spark, sf):
+    """The stored index by partition: rows of both tables, the model's population, and bytes of codes and signs."""
+    model, codes, vectors = Z.stored_index(spark, sf, "plain")
+    sizes = spark.createDataFrame([(int(p), int(x.population)) for p, x in model.parts.items()], "part_id int, population long")
+    size = codes.groupBy("part_id").agg(F.sum(F.octet_length("packed")).alias("packed_bytes"), F.sum(F.octet_length("sign")).alias("sign_bytes"))
+    return vectors.groupBy("part_id").agg(F.count("embedding").alias("vectors")).join(sizes, "part_id").join(size, "part_id")
+
+
+@query(knn_sql(NARROW))
+def workload_tables(spark, sf):
+    """A workload with both ground truths, written and loaded; the filtered truth of the loaded queries."""
+    v, path = Z.vectors(spark, sf), fresh(spark, "workload")
+    q = Z.queries(v, as_predicate(BETWEEN))
+    truth = W.ground_truth(v, q.drop("preds"), Z.K)
+    W.save_workload(path, q, truth, S.exact_search(v, q, Z.K, Z.DIMS, Z.ATTRS))
+    queries, filtered_truth = W.load_workload(spark, path)
+    return queries.where("size(preds) = 1").select("query_id").join(filtered_truth, "query_id")
+
+
+@query("SELECT vec_id AS query_id, CAST(vec_id // 20 % 3 AS BIGINT) AS allocator FROM embeddings WHERE vec_id % 20 = 0")
+def workload_concat(spark, sf):
+    q = Z.queries(Z.plain_vectors(spark, sf))
+    own = [q.where(F.floor(F.col("query_id") / 20) % 3 == i) for i in range(3)]
+    return W.concatenated(own).select("query_id", "allocator")
+
+
+@query(knn_sql(NARROW).replace("SELECT query_id, CAST(rank", "SELECT CAST(round AS BIGINT) AS round, query_id, CAST(rank").replace("FROM r WHERE", "FROM r, (SELECT unnest(range(2)) AS round) WHERE"))
+def search_cached(spark, sf):
+    """The exact filtered search twice through the cache; the second time nothing is searched."""
+    model, codes, vectors = Z.stored_index(spark, sf, "learned")
+    q = Z.queries(Z.vectors(spark, sf), as_predicate(BETWEEN))
+    config = SearchConfig(k=Z.K, mode="exact")
+    kept = ResultCache(fresh(spark, "results"), "learned")
+    first = kept.search(lambda ask: S.search(codes, model, ask, config, Z.ATTRS, vectors), q, config)
+
+    def never(ask):
+        raise RuntimeError("a query that is known was searched")
+
+    again = kept.search(never, q, config)
+    return first.withColumn("round", F.lit(0)).unionByName(again.withColumn("round", F.lit(1)))
+
+
 # ---- workloads, alternative indexes, inspection -------------------------------------------------------------------
 
 
@@ -604,6 +697,38 @@ def sq8_search(spark, sf):
     return altindex.AlternativeIndex(v, "sq8").search(Z.queries(v), Z.K)
 
 
+#: Eight inverted lists whose centres SQL can state: the vectors 0 to 7. A query meets the lists of its three nearest.
+LISTS = f"""WITH {V}, {Q}, ce AS (SELECT vec_id AS list, e AS c FROM v WHERE vec_id < 8),
+li AS (SELECT vec_id, arg_min(list, struct_pack(d := list_distance(e, c), l := list)) AS list FROM v, ce GROUP BY vec_id),
+pr AS (SELECT query_id, list FROM (SELECT query_id, list, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(qe, c), list) AS r FROM q, ce) WHERE r <= 3),
+ca AS (SELECT query_id, qe, vec_id, e FROM pr JOIN li USING (list) JOIN v USING (vec_id) JOIN q USING (query_id))"""
+NEAREST = "SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM t) WHERE rank <= 10"
+
+
+@query(f"""{LISTS}, {XD}, l AS (SELECT d, min(x) AS lo, (max(x) - min(x)) / 255 AS s FROM x GROUP BY d),
+y AS (SELECT vec_id, list(lo + greatest(0, least(255, floor((x - lo) / s + 0.5))) * s ORDER BY d) AS y FROM x JOIN l USING (d) GROUP BY vec_id),
+sh AS (SELECT query_id, vec_id, list_distance(qe, e) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(qe, y), vec_id) AS r FROM ca JOIN y USING (vec_id)) WHERE r <= 20),
+t AS (SELECT * FROM sh) {NEAREST}""")
+def ivf_given_lists(spark, sf):
+    """Inverted lists with given centres, of which a query meets three of eight, under the 8-bit coder."""
+    v = Z.plain_vectors(spark, sf)
+    first = np.array([r.embedding for r in v.where("vec_id < 8").orderBy("vec_id").collect()], float)
+    return altindex.AlternativeIndex(v, "sq8", centres=first).search(Z.queries(v), Z.K, probes=3)
+
+
+@query(f"""WITH {V}, {Q}, bk AS (SELECT vec_id AS c, e AS ce FROM v WHERE vec_id < 256),
+g AS (SELECT CAST(unnest(range(16)) AS INTEGER) AS g),
+cd AS (SELECT vec_id, g, arg_min(ce[4 * g + 1 : 4 * g + 4], struct_pack(d := list_distance(e[4 * g + 1 : 4 * g + 4], ce[4 * g + 1 : 4 * g + 4]), c := c)) AS code FROM v, bk, g GROUP BY vec_id, g),
+y AS (SELECT vec_id, flatten(list(code ORDER BY g)) AS y FROM cd GROUP BY vec_id),
+t AS (SELECT query_id, vec_id, list_distance(qe, e) AS dist FROM (SELECT query_id, qe, vec_id, e, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(qe, y), vec_id) AS r FROM q, y JOIN v USING (vec_id)) WHERE r <= 80) {NEAREST}""")
+def pq_given_books(spark, sf):
+    """Product quantisation with given code books: the parts of the vectors 0 to 255."""
+    v = Z.plain_vectors(spark, sf)
+    first = np.array([r.embedding for r in v.where("vec_id < 256").orderBy("vec_id").collect()], float)
+    books = [first[:, a : a + 4] for a in range(0, Z.DIMS, 4)]
+    return altindex.AlternativeIndex(v, "pq", books=books).search(Z.queries(v), Z.K, refine=8)
+
+
 def same_as(spark, sf, kind, **settings):
     """Rows that differ between an index of inverted lists that probes all of them and the flat index of its kind."""
     v = Z.plain_vectors(spark, sf)
