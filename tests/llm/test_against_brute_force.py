@@ -103,13 +103,14 @@ def test_lm_probabilities_sum_to_one(lm, docs):
 def test_filter_counts(lm):
     """Counts are read to six binary digits, with hardly any false hits; words that were not seen are not found."""
     part, value = lm._slice(0).value, lm_scoring.values()
-    want, got = value[lm_scoring.quantised(part.word_n)], value[part.codes(part.words)]
-    assert (np.abs(want / part.word_n - 1) <= 1 / 64).all() and (want[part.word_n < 64] == part.word_n[part.word_n < 64]).all()
+    n = part.exact(part.words)
+    want, got = value[lm_scoring.quantised(n)], value[part.codes(part.words)]
+    assert (np.abs(want / n - 1) <= 1 / 64).all() and (want[n < 64] == n[n < 64]).all() and n.sum() == lm.tokens
     assert (got >= want).all() and (got > want).mean() < 0.02
     import pickle
 
     again = pickle.loads(pickle.dumps(part))
-    assert all((a == b).all() for a, b in zip(again.flat(), part.flat())) and (again.codes(part.words) == part.codes(part.words)).all()
+    assert (again.codes(part.words) == part.codes(part.words)).all() and (again.exact(part.words) == n).all()
     unseen = np.arange(1, 200_001, dtype=np.uint64) << np.uint64(2)
     assert (part.codes(unseen) > 0).sum() <= 1
 
@@ -353,6 +354,30 @@ def test_minhash_small_blocks(docs):
     assert a == b
 
 
+def test_minhash_repeated_ids(spark):
+    """Rows of one doc_id with different texts are nodes of their own; equal rows are one."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (5, b), (6, a + " more"), (7, b + " more"), (3, b + " else"), (8, "c d e f g h")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(5, 5), (5, 3), (5, 3), (6, 5), (7, 3), (3, 3), (8, 8)]
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(want)
+
+
+def test_minhash_large_group(spark):
+    """A chain of texts, each close to its neighbours alone, over many blocks: one component, its rows copied few times."""
+    words_of = [f"w{i}" for i in range(1400)]
+    rows = [(i, " ".join(words_of[i * 3 : i * 3 + 60])) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"x{j}" if j != i else "y" for j in range(80))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, minhash.Settings(block=16, leaders=2)).collect()}
+    assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 for i in range(80))
+    sets = spark.range(50_000).select(F.col("id").alias("rep"), F.lit(1).alias("c"))
+    dealt = minhash.within_blocks(sets, "c", "rep", 512, 8)
+    assert dealt.count() <= 50_000 * 1.02 and dealt.groupBy("bi").count().agg(F.max("count")).first()[0] < 700
+    true = sets.withColumn("g", F.when(F.col("rep") < 49_900, 0).otherwise(F.col("rep")))
+    assert minhash.against_others(true, "c", "rep", "g", 512).count() <= 50_000 * 1.25
+
+
 def test_substring_repeats(docs, texts):
     seen: dict = {}
     for k in sorted(texts):

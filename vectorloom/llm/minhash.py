@@ -1,22 +1,26 @@
 """MinHash near-duplicate detection with bottom-k sketches from one hash function.
 
-1. Every document's set of word shingles is hashed once; its `k` smallest values are its sketch. Documents with equal
-   sets form a class, represented by the smallest doc_id.
+1. Every document's set of word shingles is hashed once; its `k` smallest values are its sketch. Rows with equal sets
+   form a class, whose number is a hash of the set.
 2. Sketch values held by two classes or more form inverted lists. Two sets of Jaccard similarity t share at least m
    retained values (m: `overlap` for full sketches, exact for sets below k), so each class needs only be listed under
    its rarest values: with s values it may leave out m - 1, and it leaves out the most frequent ones. Values that
    everybody holds thus have short lists.
 3. Every member of a list meets the list's smallest member; the pair's similarity is estimated from the union sketch
-   (the k smallest values of both) and pairs that may reach t are kept. Lists whose members don't come together in one
-   component are compared in full, in blocks, and give the edges that join components.
-4. The full sets of a loose component are compared exactly, again in blocks; only the edges of a spanning forest of the
-   true links are returned, so a group of n copies yields n - 1 edges. Their components are the result.
+   (the k smallest values of both) and pairs that may reach t are kept. In lists whose members don't come together in
+   one component, those outside its largest component meet all others, in blocks, and give the edges that join components.
+4. The full sets of a loose component are compared exactly. Its members are dealt to blocks, all pairs of a block are
+   compared, and `leaders` members that go to every block tie the blocks together: a group of n copies costs n rows and
+   a few for each block, not pairs of blocks. Where a component of several blocks has not become one, the members outside
+   its largest true component meet all others. Only the edges of a spanning forest of the true links are returned, so a
+   group of n copies yields n - 1 edges. Their components are the result.
 
 Set hashes have 64 bits. With t = 0.8, k = 32 and an overlap of 12 a pair at exactly t is missed by the sketches with a
 probability below 3e-8, and even then its documents are compared if both are in one loose component.
 
 Null, empty and blank texts have no shingles and are linked with nothing. A row without doc_id has no component. Rows
-that repeat a doc_id count as one document if their texts are equal. Ties don't arise: the smallest doc_id leads.
+that repeat a doc_id are one node for each different set of shingles: their component is that of their own text. Ties
+don't arise: the smallest doc_id leads. Very long texts are hashed whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.llm import _text as X
@@ -42,6 +46,7 @@ class Settings:
     overlap: int = 12
     least_estimate: float = 0.375
     block: int = 512
+    leaders: int = 8
     columns: int = 4096
 
 
@@ -55,18 +60,18 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = X.byte_column(batch.column(1))
-            n, d1, d2, sketch, ends = [], [], [], [], [0]
+            n, digests, sketch, ends = [], [], [], [0]
             for i, j in X.row_groups(offsets):
                 for values in X.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], s.words):
                     n.append(len(values))
-                    d1.append(int(values.sum(dtype=U64)))
-                    d2.append(int(np.bitwise_xor.reduce(values * U64(0x9FB21C651E98DF25) ^ values >> U64(32))) if len(values) else 0)
+                    digests.append(digest_of(values))
                     sketch.append(values[: s.k])
                     ends.append(ends[-1] + min(s.k, len(values)))
             flat = signed(np.concatenate(sketch)) if sketch else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            put = lambda x: pa.array(signed(np.array(x, U64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), put(d1), put(d2), lists], ["doc_id", "n", "d1", "d2", "sketch"])
+            d1, d2 = (pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1))
+            columns = [batch.column(0), pa.array(n, pa.int64()), d1, d2, lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
 
@@ -115,13 +120,36 @@ def overlaps(sets: list[np.ndarray], columns: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def blocked(members: DataFrame, group: str, member: str, size: int) -> DataFrame:
-    """members with block numbers (bi, bj): every pair of blocks of `size` members of a group meets in one (bi, bj).
-
-    A member is copied once for every block of its group, and every task holds two blocks at most."""
+def within_blocks(members: DataFrame, group: str, member: str, size: int, leaders: int) -> DataFrame:
+    """members with a block number bi: blocks of about `size` members of a group, and `leaders` of the group in each."""
     count = members.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("__n"))
-    dealt = salted_join(members, count, group, member).withColumn("__b", F.pmod(F.xxhash64(member), F.col("__n")).cast("int"))
-    return dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumns({"bi": F.least("__b", "__o"), "bj": F.greatest("__b", "__o")}).drop("__n", "__o")
+    dealt = salted_join(members, count, group, member).withColumn("bi", F.pmod(F.xxhash64(member), F.col("__n")).cast("int"))
+    # the leaders are found by a limited window, on the numbers of members of large groups alone
+    large = dealt.where("__n > 1")
+    first = Window.partitionBy(group).orderBy(F.xxhash64(member, F.lit(1)), member)
+    lead = large.select(group, member, "__n").withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= leaders)
+    lead = lead.select(group, member, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("bi"))
+    again = large.drop("bi", "__n").join(lead, [group, member])
+    return dealt.drop("__n").unionByName(again)
+
+
+def against_others(members: DataFrame, group: str, member: str, label: str, size: int) -> DataFrame:
+    """members with block numbers (bi, bj): the members of a group outside its most frequent label meet all of it.
+
+    Groups of one label are left out. A member is copied once for every block of those others, and one of these once for
+    every block of the group."""
+    per = members.groupBy(group, label).agg(F.count("*").alias("n"))
+    parts = per.groupBy(group).agg(F.max(F.struct("n", label)).alias("m"), F.sum("n").alias("all"))
+    others = F.col("all") - F.col("m.n")
+    blocks = lambda n: F.ceil(n / size).cast("int")
+    parts = parts.where(others > 0).select(group, F.col(f"m.{label}").alias("__main"), blocks(F.col("all")).alias("__a"), blocks(others).alias("__o"))
+    dealt = salted_join(members, parts, group, member)
+    one_of = lambda n: F.pmod(F.xxhash64(member), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = dealt.withColumn("bj", one_of("__a")).withColumn("bi", all_of("__o"))
+    few = dealt.where((F.col("__a") > 1) & (F.col(label) != F.col("__main")))  # a single block has them already
+    few = few.withColumn("bi", one_of("__o")).withColumn("bj", all_of("__a"))
+    return every.unionByName(few).drop("__main", "__a", "__o")
 
 
 def linked(table: pa.Table, value: str, member: str, test, known: str | None = None) -> pa.RecordBatch | None:
@@ -132,9 +160,6 @@ def linked(table: pa.Table, value: str, member: str, test, known: str | None = N
         return None
     table, ids = table.take(pa.array(first)), ids[first]
     good = np.triu(test([np.frombuffer(x, U64) for x in table.column(value).to_pylist()]), 1)
-    block = np.array(table.column("__b").to_pylist())
-    if table.column("bi")[0].as_py() != table.column("bj")[0].as_py():
-        good &= block[:, None] != block[None, :]
     forest, edges = Forest(len(ids)), []
     if known:  # members of one component needn't be joined again
         lead: dict = {}
@@ -145,7 +170,15 @@ def linked(table: pa.Table, value: str, member: str, test, known: str | None = N
             edges.append((int(ids[i]), int(ids[j])))
     if not edges:
         return None
-    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["a", "b"])
+
+
+def digest_of(values: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a set of hashes, as signed numbers."""
+    if not len(values):
+        return 0, 0
+    two = np.array([values.sum(dtype=U64), np.bitwise_xor.reduce(values * U64(0x9FB21C651E98DF25) ^ values >> U64(32))])
+    return tuple(signed(two).tolist())
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -154,23 +187,28 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stage(sketches(docs, s), "minhash-rows")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    reps = stage(classes, "minhash-classes")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2")
+    classes = classes.agg(F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch"))
+    reps = stage(classes.withColumn("rep", F.xxhash64("n", "d1", "d2")), "minhash-classes")
 
     # the rarest values of each class
     values = reps.select("rep", "n", F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    least = F.when(F.col("n") >= s.k, F.lit(s.overlap)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n") * s.percent / 100 - 1e-9) - F.greatest(F.lit(0), F.floor(F.col("n") * 100 / s.percent + 1e-9) - s.k)))
+    smallest, largest = F.ceil(F.col("n") * s.percent / 100 - 1e-9), F.floor(F.col("n") * 100 / s.percent + 1e-9)
+    exact = F.greatest(F.lit(1), smallest - F.greatest(F.lit(0), largest - s.k))
+    least = F.when(F.col("n") >= s.k, F.lit(s.overlap)).otherwise(exact)
     listed = values.join(common.hint("merge"), "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
     listed = listed.withColumn("take", (F.size("held") - least + 1).cast("int")).where("take > 0")
-    lists = stage(listed.select("rep", F.explode(F.slice("held", 1, F.col("take"))).alias("x")).select("rep", F.col("x.v").alias("v")), "minhash-lists")
+    lists = listed.select("rep", F.explode(F.slice("held", 1, F.col("take"))).alias("x"))
+    lists = stage(lists.select("rep", F.col("x.v").alias("v")), "minhash-lists")
 
     # members against the first of each list
     first = lists.groupBy("v").agg(F.min("rep").alias("first"))
     pairs = salted_join(lists, first, "v", "rep").where("rep <> first").select("rep", "first").distinct()
     sketch = reps.select("rep", "sketch")
     tried = pairs.join(sketch.withColumnRenamed("sketch", "a"), "rep").join(sketch.toDF("first", "b"), "first")
-    near = stage(tried.where(union_estimate(s.k) >= s.least_estimate).select(F.col("rep").alias("a"), F.col("first").alias("b")), "minhash-near")
+    tried = tried.where(union_estimate(s.k) >= s.least_estimate)
+    near = stage(tried.select(F.col("rep").alias("a"), F.col("first").alias("b")), "minhash-near")
     loose = components(near, "a", "b", "minhash-loose")
 
     # lists that more than one component shares
@@ -186,40 +224,70 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         return same >= s.least_estimate * union
 
     def compare_sketches(table):
-        table = table.set_column(table.schema.get_field_index("sketch"), "sketch", pa.array([np.array(x, np.int64).tobytes() for x in table.column("sketch").to_pylist()], pa.binary()))
+        packed = pa.array([np.array(x, np.int64).tobytes() for x in table.column("sketch").to_pylist()], pa.binary())
+        table = table.set_column(table.schema.get_field_index("sketch"), "sketch", packed)
         return linked(table, "sketch", "rep", may_reach, known="c")
 
-    more = per_group(blocked(members, "v", "rep", s.block), ["v", "bi", "bj"], compare_sketches, "a long, b long")
+    met = against_others(members, "v", "rep", "c", s.block)
+    more = per_group(met, ["v", "bi", "bj"], compare_sketches, "a long, b long")
     loose = stage(components(near.union(more), "a", "b", "minhash-groups"), "minhash-members")
 
     # exact comparison of full sets
-    texts = docs.join(loose.toDF("doc_id", "c").hint("merge"), "doc_id").select("doc_id", "c", "text")
+    wanted = loose.toDF("rep", "c").join(reps.select("rep", "first_doc", "d1", "d2"), "rep").withColumnRenamed("first_doc", "doc_id")
+    texts = docs.join(wanted.hint("merge"), "doc_id").select("rep", "c", "d1", "d2", "text")
 
     def full_sets(batches):
         for batch in batches:
-            data, offsets = X.byte_column(batch.column(2))
-            sets = [x.tobytes() for i, j in X.row_groups(offsets) for x in X.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], s.words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["doc_id", "c", "values"])
-
-    sets = texts.mapInArrow(full_sets, "doc_id long, c long, values binary")
+            data, offsets = X.byte_column(batch.column(4))
+            keep, sets = [], []
+            digests = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            found = (x for i, j in X.row_groups(offsets) for x in X.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], s.words))
+            for i, (values, want) in enumerate(zip(found, digests)):
+                if digest_of(values) == want:  # a repeated doc_id may have other texts too
+                    keep.append(i)
+                    sets.append(values.tobytes())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sets, pa.binary())], ["rep", "c", "values"])
+
+    sets = texts.mapInArrow(full_sets, "rep long, c long, values binary")
+    sets = stage(sets.groupBy("rep").agg(F.first("c").alias("c"), F.first("values").alias("values")), "minhash-sets")
 
     def same(sets):
         size = np.array([len(x) for x in sets])
-        inter = overlaps(sets, s.columns) if len(sets) > 4 else np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in sets] for a in sets])
+        if len(sets) > 4:
+            inter = overlaps(sets, s.columns)
+        else:
+            inter = np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in sets] for a in sets])
         return (100 * inter >= s.percent * (size[:, None] + size[None, :] - inter)) & (inter > 0)
 
-    links = per_group(blocked(sets, "c", "doc_id", s.block), ["c", "bi", "bj"], lambda t: linked(t, "values", "doc_id", same), "a long, b long")
-    found = components(links, "a", "b", "minhash-links").toDF("rep", "root")
-
-    member_of = reps.select("n", "d1", "d2", "rep").join(found, "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
-    out = rows.select("doc_id", "n", "d1", "d2").join(member_of.hint("merge"), ["n", "d1", "d2"], "left")
+    blocks = within_blocks(sets, "c", "rep", s.block, s.leaders)
+    links = per_group(blocks, ["c", "bi"], lambda t: linked(t, "values", "rep", same), "a long, b long")
+    links = stage(links, "minhash-links")
+    large = sets.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > s.block).drop("n")
+    if large.limit(1).count():
+        true = components(links, "a", "b", "minhash-true").toDF("rep", "g")
+        own = salted_join(sets, large, "c", "rep").join(true, "rep", "left").withColumn("g", F.coalesce("g", "rep"))
+        met = against_others(own, "c", "rep", "g", s.block)
+        rest = per_group(met, ["c", "bi", "bj"], lambda t: linked(t, "values", "rep", same, known="g"), "a long, b long")
+        links = stage(links.union(rest), "minhash-all-links")
+    found = components(links, "a", "b", "minhash-found").toDF("rep", "root")
+
+    # a component is named by its smallest doc_id
+    placed = stage(reps.select("n", "d1", "d2", "rep", "first_doc").join(found, "rep"), "minhash-placed")
+    named = placed.groupBy("root").agg(F.min("first_doc").alias("least"))
+    placed = salted_join(placed, named, "root", "rep").select("rep", "least")
+    classes = reps.select("n", "d1", "d2", "rep", "first_doc").join(placed, "rep", "left")
+    classes = classes.select("n", "d1", "d2", F.coalesce("least", "first_doc").alias("root"))
+    out = rows.select("doc_id", "n", "d1", "d2").join(classes.hint("merge"), ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings(words=5)) -> DataFrame:
     """docs without the documents that are near-duplicates of one with a smaller doc_id; columns as before."""
-    gone = near_duplicates(docs.select("doc_id", "text"), settings).where(~F.col("kept")).select(F.col("doc_id").alias("__vl_gone")).distinct()
+    gone = near_duplicates(docs.select("doc_id", "text"), settings).where(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("__vl_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__vl_gone"), "left_anti")
 
 
