@@ -55,27 +55,41 @@ def inverse_dct() -> np.ndarray:
 
 
 # Fixed values of the JPEG standard (its annex K.3), which motion-JPEG frames may rely on without carrying them: for each
-# table, how many codes have 1 to 16 bits, and the symbols in code order. The AC symbols that are not listed follow in
-# rising order.
+# table, how many codes have 1 to 16 bits, and the symbols in code order.
 DEFAULT_TABLES = {
-    0x00: ("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
-    0x01: ("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x00: (
+        "00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00",
+        "00 01 02 03 04 05 06 07 08 09 0a 0b",
+    ),
+    0x01: (
+        "00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00",
+        "00 01 02 03 04 05 06 07 08 09 0a 0b",
+    ),
     0x10: (
         "00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d",
-        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 "
+        "24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28 29 2a 34 35 36 37 38 39 3a 43 44 45 46 47 48 49 "
+        "4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 83 84 85 86 87 88 89 "
+        "8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 "
+        "c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e1 e2 e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 "
+        "f9 fa",
     ),
     0x11: (
         "00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77",
-        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 "
+        "15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26 27 28 29 2a 35 36 37 38 39 3a 43 44 45 46 47 48 "
+        "49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 82 83 84 85 86 87 "
+        "88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 "
+        "c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 "
+        "f9 fa",
     ),
 }
 
 
 def default_table(number: int) -> tuple[bytes, bytes]:
     """Code lengths and symbols of a default table."""
-    lengths, symbols = (bytes.fromhex(x) for x in DEFAULT_TABLES[number])
-    every = sorted({0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))}) if number & 0x10 else []
-    return lengths, symbols + bytes(x for x in every if x not in symbols)
+    lengths, symbols = DEFAULT_TABLES[number]
+    return bytes.fromhex(lengths), bytes.fromhex(symbols)
 
 
 def lookup(lengths: bytes, symbols: bytes) -> np.ndarray:
@@ -363,7 +377,10 @@ def decode(frames: list[bytes], bins: int = BINS) -> tuple[np.ndarray, list[byte
 
 
 def shots(histograms: np.ndarray) -> list[tuple[int, int, float]]:
-    """(first frame, frame after the last, difference at its start) of each shot."""
+    """(first frame, frame after the last, difference at its start) of each shot.
+
+    A difference is a cut if it stands out from its neighbours; with fewer than two of these, in files of two or three
+    frames, nothing can stand out, and the file is one shot."""
     n = len(histograms)
     if not n:
         return []
