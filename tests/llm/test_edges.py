@@ -48,7 +48,9 @@ def test_lm_slices_agree(spark, odd):
     first = tiny.blocks.agg(F.min("block"), F.max("block")).first()
     tiny.slices = [(b, b) for b in range(first[0], first[1] + 1)]
     tiny.shared.clear()
-    for r in tiny.score(odd).collect():
+    both = tiny.score(odd).collect()  # one pass that takes slice after slice
+    tiny.settings = lm_scoring.Settings(block_bytes=50_000, pass_mb=64)  # a pass for each slice
+    for r in [*both, *tiny.score(odd).collect()]:
         n_known, base, score = whole[(r.doc_id, r.n_tokens)]
         assert r.n_known == n_known and abs(r.base_score - base) < 1e-6 * abs(base)
         assert abs(r.score - score) <= 0.6 + 0.014 * r.n_tokens

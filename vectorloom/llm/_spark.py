@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectorloom.sources.shared import file_system, shared_dir
+
 #: Rows and bytes of one Arrow batch; texts and archives are long, so 10,000 of them can reach gigabytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -20,18 +23,36 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    return (base or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in tables:
+        fs, path = file_system(df.sparkSession, df._staged)
+        fs.delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files and broadcasts that nothing refers to any more; it only sees them go by
+    collecting garbage, which may come late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give freed memory back to the system at a task's end: Python workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if malloc_trim is not None:
+        malloc_trim(0)
 
 
 def remainder(key: str, modulus: int) -> Column:
@@ -70,7 +91,9 @@ def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]
         yield pa.concat_tables(held)
 
 
-def per_group(df: DataFrame, keys: list[str], function: Callable, schema: str, partitions: int | None = None) -> DataFrame:
+def per_group(
+    df: DataFrame, keys: list[str], function: Callable, schema: str, partitions: int | None = None
+) -> DataFrame:
     """Run `function(table) -> RecordBatch | None` on each group of `keys`, grouped by a sort within partitions.
 
     Groups must be of bounded size: callers split hot ones by a block number first."""
@@ -80,6 +103,7 @@ def per_group(df: DataFrame, keys: list[str], function: Callable, schema: str, p
             out = function(table)
             if out is not None and out.num_rows:
                 yield out
+        trim()
 
     parted = df.repartition(partitions or shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
     return parted.mapInArrow(run, schema)
@@ -111,11 +135,14 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     while last[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both.where("v > u"), low, "u", "v")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, f"{name}-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, low, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = stage(small, f"{name}-small")
+        to_least = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        small = salted_join(large, low, "u", "v").select(F.explode(to_least).alias("x")).select("x.u", "x.v")
+        before, e = e, stage(small.where("u <> v").distinct(), f"{name}-small")
+        discard(before, large)
         now = summary(e)
         if now == last:
             break

@@ -5,18 +5,21 @@ Counting, filter building and scoring are three distributed passes:
 1. Every task hashes its words and n-grams, sums equal ones and ships them as packed arrays, one row per hash block.
    Blocks are ranges of the hash, so no word, however common, makes a block larger than another.
 2. Each block's counts are summed and quantised to 2^e (1 + m/32), exact below 64. The block's own bit array gets the
-   entries (n-gram, 0..e), the logarithm in unary, and one entry for each bit of m that is set. Exact word counts, for
-   the add-one base score, are kept as sorted arrays.
-3. Blocks are broadcast in slices of at most `slice_mb`, and every slice is one pass over the documents. A document's
-   counts found so far travel with it as two bytes per word and order, so several slices need no more memory than one.
+   entries (n-gram, 0..e), the logarithm in unary, and one entry for each bit of m that is set. A probe is a word of 64
+   bits, of which four must be set. Exact word counts, for the add-one base score, are kept as sorted arrays.
+3. Blocks are broadcast in slices of at most `slice_mb`. A task looks the distinct n-grams of some megabytes of text up
+   in one slice after the other, and holds one at a time. A pass over the documents serves `pass_mb` of slices, which is
+   what an executor's disk has to hold; in a further pass the counts found so far travel with the documents as two bytes
+   per word and order.
 
 All counts are read from the filter by repeated membership probes: entries 0, 1, ... until one is missing, then the bits
 of m. A word's probability interpolates the orders: p(w|h) = l c(hw)/c(h) + (1 - l) p(w|h'), with l = c / (c + a c^b) for
 c = c(h). The words' own probabilities are (c(w) + 1) / (Q + V + 1), Q being the sum of the V words' counts as the filter
 gives them, so those of all words and of one unknown word sum to 1, and those after a context to 1 but for quantisation
-(below 1 % a count) and false hits. An n-gram's first entry has as many probes as training tokens have binary digits, and
-`spare` more: the false hits of a whole vocabulary then weigh less than 2^-spare of one count, at every corpus size. An
-n-gram counts no more often than its context and its shorter form do, which false hits can't have all raised.
+(below 1 % a count) and false hits. An n-gram's first entry has as many bits as the number of words has binary digits,
+and `spare` more: a whole vocabulary has about one false hit in 2^spare contexts, at every corpus size. (A block knows
+the number of words from its own, as its n-grams are an even share of all.) An n-gram counts no more often than its
+context and its shorter form do.
 
 Null and empty texts count as a text with no words: one end token. An empty training set gives every token the base
 probability 1 and the score 0. Repeated rows count as often as they occur. Rows with a null key are training rows. Texts
@@ -33,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import _text as X
-from vectorloom.llm._spark import arrow_batches, held_out, per_group, stage
+from vectorloom.llm._spark import arrow_batches, discard, held_out, per_group, release, stage, trim
 
 U64 = np.uint64
 END = int(X.mix(np.array([0xE0D], U64))[0])
-FLUSH = 2_000_000
+FLUSH = 1_500_000
+PIECE = 1 << 13  # bytes of a slice pickled at once
+BITS = 4  # bits of a word that a probe looks at
 FINE = 5  # bits of m
 FIRST_FINE = 64  # number of the entry for the highest bit of m
 
@@ -47,9 +52,11 @@ class Settings:
     order: int = 2
     a: float = 4.0
     b: float = 0.75
-    spare: int = 10
-    probes: int = 14
-    slice_mb: int = 192
+    spare: int = 6
+    probes: int = 3
+    slice_mb: int = 32
+    pass_mb: int = 1024
+    group_bytes: int = 4 << 20
     block_bytes: int = 4 << 20
 
 
@@ -113,6 +120,8 @@ def ngram_counts(texts: DataFrame, order: int, shift: int) -> DataFrame:
                     kept = []
         if kept and sum(map(len, kept)):
             yield block_rows(*summed(np.concatenate(kept)), shift)
+        kept = []
+        trim()
 
     return texts.mapInArrow(run, "block int, keys binary, n binary")
 
@@ -137,53 +146,67 @@ def probe_seeds(keys: np.ndarray, entry: int) -> tuple[np.ndarray, np.ndarray]:
     return x, x * U64(0xFF51AFD7ED558CCD) | U64(1)
 
 
-def probe_place(start: np.ndarray, stride: np.ndarray, probe: int, size: np.ndarray | int) -> np.ndarray:
-    """The sum of start and strides is mixed again: strides near a fraction of 2^64 would come back to few places."""
+def probed(start: np.ndarray, stride: np.ndarray, probe: int) -> np.ndarray:
+    """The hash of a probe: its upper half tells the word, its lowest digits the bits.
+
+    The sum of start and strides is mixed again: strides near a fraction of 2^64 would come back to few places."""
     x = start + U64(probe) * stride
     x ^= x >> U64(29)
     x *= U64(0xC4CEB9FE1A85EC53)
-    return ((x >> U64(32)) * size >> U64(32)).astype(np.int64)
+    x ^= x >> U64(32)
+    return x
 
 
-def probes_of(entry: int, first: int, s: Settings) -> int:
-    return first if entry == 0 else s.probes
+def word_of(x: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    return ((x >> U64(32)) * size >> U64(32)).astype(np.int64)
 
 
 def put_entries(keys: np.ndarray, n: np.ndarray, first: int, s: Settings) -> np.ndarray:
-    """The bit array of a block's n-grams with counts, half of it set; its length is a multiple of 64."""
+    """The bit array of a block's n-grams with counts, as words; half of the bits are set."""
     code = quantised(n)
     e, m = (code >> FINE).astype(np.int64) - 1, code.astype(np.int64) & (1 << FINE) - 1
-    set_bits = first * len(keys) + s.probes * int(e.sum() + np.bitwise_count(m.astype(np.uint8)).sum())
-    size = max(64, -(-int(set_bits / np.log(2)) // 64) * 64)
-    bits = np.zeros(size, bool)
+    probes = first * len(keys) + s.probes * int(e.sum() + np.bitwise_count(m.astype(np.uint8)).sum())
+    size = max(1, int(BITS * probes / np.log(2)) // 64 + 1)
+    bits = np.zeros(64 * size, bool)
 
     def put(own, entry):
         start, stride = probe_seeds(own, entry)
-        for probe in range(probes_of(entry, first, s)):
-            bits[probe_place(start, stride, probe, U64(size))] = True
+        for probe in range(s.probes if entry else first):
+            x = probed(start, stride, probe)
+            at = word_of(x, U64(size)) * 64
+            for i in range(BITS):
+                bits[at + (x >> U64(6 * i) & U64(63)).astype(np.int64)] = True
 
     for entry in range(int(e.max()) + 1 if len(e) else 0):
         put(keys[e >= entry], entry)
     for i in range(FINE):
         put(keys[m >> (FINE - 1 - i) & 1 == 1], FIRST_FINE + i)
-    return bits
+    return np.packbits(bits, bitorder="little").view("<u8")
 
 
 def read_codes(
-    keys: np.ndarray, size: np.ndarray, base: np.ndarray, bits: np.ndarray, first: int, s: Settings
+    keys: np.ndarray, size: np.ndarray, base: np.ndarray, first: np.ndarray, bits: np.ndarray, s: Settings
 ) -> np.ndarray:
-    """Codes of keys by membership probes; size and base: each key's block, in bits; bits: packed, lowest bit first."""
+    """Codes of keys by membership probes.
+
+    size, base, first: the words and place of the bit array of each key's block, and the probes of its first entries."""
     out = np.zeros(len(keys), np.uint16)
 
     def members(own, entry):
-        k, n, at, live = keys[own], size[own], base[own], np.arange(len(own))
-        start, stride = probe_seeds(k, entry)
-        for probe in range(probes_of(entry, first, s)):
-            p = probe_place(start, stride, probe, n) + at
-            hit = np.flatnonzero((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
-            if len(hit) < len(live):
-                live, start, stride, n, at = live[hit], start[hit], stride[hit], n[hit], at[hit]
-        return own[live]
+        n, at, left = size[own], base[own], first[own] if entry == 0 else np.full(len(own), s.probes)
+        start, stride = probe_seeds(keys[own], entry)
+        most, least = (int(left.max()), int(left.min())) if len(own) else (0, 0)
+        for probe in range(most):
+            x = probed(start, stride, probe)
+            mask = U64(1) << (x & U64(63))
+            for i in range(1, BITS):
+                mask |= U64(1) << (x >> U64(6 * i) & U64(63))
+            hit = bits[word_of(x, n) + at] & mask == mask
+            if probe >= least:
+                hit |= left <= probe
+            if not hit.all():
+                own, start, stride, n, at, left = (x[hit] for x in (own, start, stride, n, at, left))
+        return own
 
     own, entry = np.flatnonzero(size > 0), 0
     while len(own) and entry < FIRST_FINE - 1:
@@ -196,29 +219,37 @@ def read_codes(
     return out
 
 
-def build_filter(counts: DataFrame, first: int, s: Settings) -> DataFrame:
-    """One row per block: exact word counts, the bit array, and the words' number, occurrences and sum as read back."""
+def short_counts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts as a byte each; places and counts of those that don't fit, whose byte is 0."""
+    large = np.flatnonzero(n > 255)
+    return np.where(n > 255, 0, n).astype(np.uint8), large, n[large]
+
+
+def build_filter(counts: DataFrame, blocks: int, s: Settings) -> DataFrame:
+    """One row per block: exact word counts, the bit array, the probes of first entries, and the words' number,
+    occurrences and sum as read back."""
 
     def block(table):
         joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         keys, n = summed(joined("keys", U64), joined("n", np.int64))
-        bits = put_entries(keys, n, first, s)
-        size, packed = U64(len(bits)), np.packbits(bits, bitorder="little")
         own = keys & U64(3) == 0
         words, word_n = keys[own], n[own]
-        read = read_codes(words, np.full(len(words), size), np.zeros(len(words), np.int64), packed, first, s)
+        first = -(-((blocks * max(1, len(words))).bit_length() + s.spare) // BITS)
+        bits, same = put_entries(keys, n, first, s), np.ones(len(words), np.int64)
+        read = read_codes(words, same.astype(U64) * U64(len(bits)), same * 0, same * first, bits, s)
         row = {
             "block": table.column("block")[0].as_py(),
             "words": words.tobytes(),
             "word_n": word_n.tobytes(),
-            "bits": packed.tobytes(),
+            "bits": bits.tobytes(),
+            "first": first,
             "tokens": int(word_n.sum()),
             "types": len(words),
             "mass": float(values()[read].sum()),
         }
         return pa.RecordBatch.from_pylist([row], schema=FILTER)
 
-    spark_schema = "block int, words binary, word_n binary, bits binary, tokens long, types long, mass double"
+    spark_schema = "block int, words binary, word_n binary, bits binary, first int, tokens long, types long, mass double"
     return per_group(counts, ["block"], block, spark_schema)
 
 
@@ -228,6 +259,7 @@ FILTER = pa.schema(
         ("words", pa.binary()),
         ("word_n", pa.binary()),
         ("bits", pa.binary()),
+        ("first", pa.int32()),
         ("tokens", pa.int64()),
         ("types", pa.int64()),
         ("mass", pa.float64()),
@@ -236,25 +268,53 @@ FILTER = pa.schema(
 
 
 class Slice:
-    """Some consecutive blocks of the filter, as broadcast: filled row by row, so the driver holds one copy."""
-
-    def __init__(self, sizes: list, rows, shift: int, first: int, s: Settings):
-        """sizes: (block, bytes of words, bytes of bits) of each block; rows: (block, words, word_n, bits) in any order."""
-        sizes = sorted(tuple(x) for x in sizes)
-        self.shift, self.probes_first, self.settings = shift, first, s
-        self.first = sizes[0][0] if sizes else 0
-        span = sizes[-1][0] - self.first + 1 if sizes else 1
+    """Some consecutive blocks of the filter, as broadcast: filled piece by piece, on the driver and where it is read,
+    so that no process ever holds a second copy."""
+
+    def __init__(self, sizes: list, shift: int, s: Settings):
+        """sizes: (block, bytes of words, bytes of bits, probes of first entries) of each block."""
+        self.sizes, self.shift, self.settings = sorted(tuple(x) for x in sizes), shift, s
+        self.first = self.sizes[0][0] if self.sizes else 0
+        span = self.sizes[-1][0] - self.first + 1 if self.sizes else 1
         self.size, self.base = np.zeros(span, U64), np.zeros(span, np.int64)
-        word_at, place, total = {}, 0, 0
-        for block, n_words, n_bits in sizes:
-            self.size[block - self.first], self.base[block - self.first], word_at[block] = n_bits * 8, place * 8, total
-            place, total = place + n_bits, total + n_words // 8
-        self.bits, self.words, self.word_n = np.zeros(place, np.uint8), np.zeros(total, U64), np.zeros(total, np.int64)
-        for block, words, word_n, bits in rows:
-            at, n = int(self.base[block - self.first]) // 8, len(words) // 8
-            self.bits[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
-            self.words[word_at[block] : word_at[block] + n] = np.frombuffer(words, U64)
-            self.word_n[word_at[block] : word_at[block] + n] = np.frombuffer(word_n, np.int64)
+        self.probes, self.word_at = np.zeros(span, np.int64), np.zeros(span, np.int64)
+        place, total = 0, 0
+        for block, n_words, n_bits, first in self.sizes:
+            i = block - self.first
+            self.size[i], self.base[i], self.probes[i], self.word_at[i] = n_bits // 8, place, first, total
+            place, total = place + n_bits // 8, total + n_words // 8
+        self.bits, self.words, self.word_n = np.zeros(place, U64), np.zeros(total, U64), np.zeros(total, np.uint8)
+        self.large: dict[int, int] = {}  # counts over 255 by place
+        self.filled = 0
+
+    def put(self, block: int, words: bytes, word_n: bytes, bits: bytes) -> None:
+        i = block - self.first
+        at, word_at, n = int(self.base[i]), int(self.word_at[i]), len(words) // 8
+        self.bits[at : at + len(bits) // 8] = np.frombuffer(bits, U64)
+        self.words[word_at : word_at + n] = np.frombuffer(words, U64)
+        self.word_n[word_at : word_at + n], large, count = short_counts(np.frombuffer(word_n, np.int64))
+        self.large |= dict(zip((large + word_at).tolist(), count.tolist()))
+
+    def flat(self) -> list[np.ndarray]:
+        return [x.view(np.uint8) for x in (self.bits, self.words, self.word_n)]
+
+    def __reduce__(self):
+        pieces = (x[i : i + PIECE].tobytes() for x in self.flat() for i in range(0, len(x), PIECE))
+        return Slice, (self.sizes, self.shift, self.settings), {"large": self.large}, pieces
+
+    def append(self, piece: bytes) -> None:
+        """The next piece, as the pickle gives them."""
+        at = self.filled
+        for x in self.flat():
+            if at < len(x):
+                x[at : at + len(piece)] = np.frombuffer(piece, np.uint8)
+                break
+            at -= len(x)
+        self.filled += len(piece)
+
+    def extend(self, pieces) -> None:
+        for piece in pieces:
+            self.append(piece)
 
     def codes(self, keys: np.ndarray) -> np.ndarray:
         """Each key's code; 0 for the key 0, for keys of other slices and for those that are not in the filter."""
@@ -262,14 +322,18 @@ class Slice:
         block = (keys >> U64(self.shift)).astype(np.int64) - self.first
         own = np.flatnonzero((keys != 0) & (block >= 0) & (block < len(self.size)))
         b = block[own]
-        out[own] = read_codes(keys[own], self.size[b], self.base[b], self.bits, self.probes_first, self.settings)
+        out[own] = read_codes(keys[own], self.size[b], self.base[b], self.probes[b], self.bits, self.settings)
         return out
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.zeros(len(keys), np.int64)
         i = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[i] == keys, self.word_n[i], 0)
+        found = self.words[i] == keys
+        out = np.where(found, self.word_n[i], 0).astype(np.int64)
+        for j in np.flatnonzero(found & (out == 0)).tolist():  # keys are distinct, so these are few
+            out[j] = self.large[int(i[j])]
+        return out
 
 
 def probability(codes: np.ndarray, begun: np.ndarray, total: float, a: float, b: float) -> np.ndarray:
@@ -291,7 +355,6 @@ class NgramModel:
 
     settings: Settings
     shift: int
-    first: int
     blocks: DataFrame
     slices: list[tuple[int, int]]
     tokens: int
@@ -304,11 +367,12 @@ class NgramModel:
         """texts: a DataFrame whose first column is the text."""
         spark, s = texts.sparkSession, settings
         arrow_batches(spark)
+        release(spark)
         texts = texts.select(F.col(f"`{texts.columns[0]}`").cast("string").alias("text"))
-        size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shift = 64 - max(1, (int(size) // s.block_bytes).bit_length())
-        first = (int(size) // 4 + rows).bit_length() + s.spare
-        blocks = stage(build_filter(ngram_counts(texts, s.order, shift), first, s), "lm-filter")
+        blocks = stage(build_filter(ngram_counts(texts, s.order, shift), 1 << 64 - shift, s), "lm-filter")
+        release(spark)  # the counts' shuffle files go before slices are sent out
         slices, held, n, v, mass = [], 0, 0, 0, 0.0
         bytes_of = F.octet_length("words") + F.octet_length("word_n") + F.octet_length("bits")
         for r in blocks.select("block", bytes_of.alias("size"), "tokens", "types", "mass").orderBy("block").toLocalIterator():
@@ -317,16 +381,17 @@ class NgramModel:
                 slices.append((r.block, r.block))
                 held = 0
             slices[-1], held = (slices[-1][0], r.block), held + r.size
-        return cls(s, shift, first, blocks, slices or [(0, 0)], n, v, mass)
+        return cls(s, shift, blocks, slices or [(0, 0)], n, v, mass)
 
     def _slice(self, i: int):
         if i not in self.shared:
             own = self.blocks.where(F.col("block").between(*self.slices[i]))
-            sizes = own.select("block", F.octet_length("words"), F.octet_length("bits")).collect()
-            rows = own.select("block", "words", "word_n", "bits").toLocalIterator()
-            self.shared.clear()
-            one = Slice(sizes, rows, self.shift, self.first, self.settings)
+            sizes = own.select("block", F.octet_length("words"), F.octet_length("bits"), "first").collect()
+            one = Slice(sizes, self.shift, self.settings)
+            for r in own.select("block", "words", "word_n", "bits").toLocalIterator():
+                one.put(*r)
             self.shared[i] = self.blocks.sparkSession.sparkContext.broadcast(one)
+            del one
         return self.shared[i]
 
     def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -334,40 +399,54 @@ class NgramModel:
         arrow_batches(docs.sparkSession)
         df = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
         kept = f"`{key}` {df.schema[0].dataType.simpleString()}, "
-        for i in range(len(self.slices)):
-            last = i == len(self.slices) - 1
+        at_once = max(1, self.settings.pass_mb // self.settings.slice_mb)
+        passes = [range(i, min(i + at_once, len(self.slices))) for i in range(0, len(self.slices), at_once)]
+        for i, own in enumerate(passes):
+            last = i == len(passes) - 1
             out = "text string, codes binary, known long, base double"
             if last:
                 out = "n_tokens long, n_known long, base_score double, score double"
-            df = df.mapInArrow(self._pass(self._slice(i), i == 0, last), kept + out)
+            shared = [self._slice(k) for k in own]
+            before, df = df, df.mapInArrow(self._pass(shared, i == 0, last), kept + out)
             if not last:
                 df = stage(df, "lm-codes")
+                self.shared.clear()
+                if i:
+                    discard(before)
         return df
 
-    def _pass(self, shared, first: bool, last: bool):
-        """One slice over batches of (key, text), from the second slice on with what the slices before found."""
+    def _pass(self, shared: list, first: bool, last: bool):
+        """Some slices over batches of (key, text), from the second pass on with what the passes before found."""
         s, total, mass = self.settings, float(self.tokens + self.types + 1), self.mass + self.types + 1
-        order = s.order
+
+        def looked_up(tok, at):
+            """Codes (order x tokens) and exact word counts."""
+            keys = [np.unique(k, return_inverse=True) for k in ngram_keys(tok, at, s.order)]
+            found = [np.zeros(len(k), np.uint16) for k, _ in keys]
+            count = np.zeros(len(keys[0][0]), np.int64)
+            for one in shared:
+                part = one.value
+                for codes, (k, _) in zip(found, keys):
+                    codes |= part.codes(k)  # a key has a code in one slice only
+                count += part.exact(keys[0][0])
+                if len(shared) > 1:
+                    del part
+                    one.__dict__.pop("_value", None)  # the next slice takes its place
+            return np.stack([codes[back] for codes, (_, back) in zip(found, keys)]), count[keys[0][1]]
 
         def run(batches):
-            for batch in batches:
-                data, offsets = X.byte_column(batch.column(1))
+            for table in joined(batches, s.group_bytes):
+                data, offsets = X.byte_column(table.column(1))
                 known, base, score, n_tokens, packed = [], [], [], [], []
-                had = None if first else [batch.column(i).to_pylist() for i in (2, 3, 4)]
-                for i, j in X.row_groups(offsets):
+                had = None if first else [table.column(i).to_pylist() for i in (2, 3, 4)]
+                for i, j in X.row_groups(offsets, s.group_bytes):
                     tok, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    codes = np.zeros((order, len(tok)), np.uint16)
-                    count = None
-                    for n, keys in enumerate(ngram_keys(tok, at, order)):
-                        some, back = np.unique(keys, return_inverse=True)
-                        codes[n] = shared.value.codes(some)[back]
-                        if n == 0:
-                            count = shared.value.exact(some)[back]
+                    codes, count = looked_up(tok, at)
                     known += np.add.reduceat((count > 0).astype(np.int64), at[:-1]).tolist()
                     base += np.add.reduceat(np.log10(count + 1.0), at[:-1]).tolist()
                     n_tokens += np.diff(at).tolist()
-                    if had:  # a key has a code in one slice only
-                        old = [np.frombuffer(x, np.uint16).reshape(order, -1) for x in had[0][i:j]]
+                    if had:
+                        old = [np.frombuffer(x, np.uint16).reshape(s.order, -1) for x in had[0][i:j]]
                         codes |= np.concatenate(old, axis=1)
                     if last:
                         begun = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
@@ -384,14 +463,29 @@ class NgramModel:
                     columns += [pa.array(base, pa.float64()), pa.array(score, pa.float64())]
                     names = ["n_tokens", "n_known", "base_score", "score"]
                 else:
-                    columns = [batch.column(1), pa.array(packed, pa.binary())]
+                    columns = [table.column(1).combine_chunks(), pa.array(packed, pa.binary())]
                     columns += [pa.array(known, pa.int64()), pa.array(base, pa.float64())]
                     names = ["text", "codes", "known", "base"]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [batch.schema.names[0], *names])
+                key = table.column(0).combine_chunks()
+                yield pa.RecordBatch.from_arrays([key, *columns], [table.schema.names[0], *names])
+            trim()
 
         return run
 
 
+def joined(batches, size: int):
+    """Tables of some consecutive batches, `size` bytes or a little more each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def score_documents(docs: DataFrame, settings: Settings = Settings(), modulus: int = 7, rest: int = 2) -> DataFrame:
     """Score every row, learning from the rows whose crc32(doc_id) modulo `modulus` is not `rest`."""
     model = NgramModel.fit(docs.where(~held_out("doc_id", modulus, rest)).select("text"), settings)
