@@ -285,9 +285,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings(words=5)) -> DataFrame:
-    """docs without the documents that are near-duplicates of one with a smaller doc_id; columns as before."""
-    gone = near_duplicates(docs.select("doc_id", "text"), settings).where(~F.col("kept"))
-    gone = gone.select(F.col("doc_id").alias("__vl_gone")).distinct()
+    """docs without the documents that are near-duplicates of one with a smaller doc_id; columns as before.
+
+    A doc_id that several rows repeat goes if none of its texts is kept."""
+    found = near_duplicates(docs.select("doc_id", "text"), settings).where("doc_id is not null")
+    gone = found.groupBy(F.col("doc_id").alias("__vl_gone")).agg(F.max("kept").alias("kept")).where(~F.col("kept")).drop("kept")
     return docs.join(gone, F.col("doc_id") == F.col("__vl_gone"), "left_anti")
 
 
