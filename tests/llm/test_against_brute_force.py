@@ -130,7 +130,7 @@ def test_media_round_trip(docs, texts):
 
 
 def test_shots_and_decoding():
-    """Two scenes of flat frames, encoded by the general Huffman coder's rules, are two shots with the right samples."""
+    """Two scenes of flat frames are two shots, and their samples are read back as they were stored."""
     frames = avi.write_avi([bytes([200]) * 64 * 16 * 12 + bytes(range(256)) * 4 * 12])[0]
     opened, ms = avi.read_avi(frames)
     histograms, stored = avi.decode(opened)
@@ -140,6 +140,29 @@ def test_shots_and_decoding():
     assert np.allclose(basis @ basis.T, np.eye(64), atol=1e-3)
 
 
+def test_shots_by_hand():
+    """Cuts where the difference of neighbouring histograms stands out from those around it."""
+    import random
+
+    rng = random.Random(2)
+    for n in (1, 2, 3, 4, 9, 40):
+        rows, level = [], 0
+        for _ in range(n):
+            level = rng.choice([0, 2, 5]) if rng.random() < 0.2 else level
+            rows.append([10 * (i == level) + rng.randrange(3) for i in range(6)])
+        share = [[x / max(1, sum(r)) for x in r] for r in rows]
+        d = [sum(abs(x - y) for x, y in zip(a, b)) / 2 for a, b in zip(share, share[1:])]
+        cuts = [0]
+        for i, x in enumerate(d):
+            near = [d[j] for j in range(max(0, i - avi.WINDOW), min(len(d), i + avi.WINDOW + 1)) if j != i]
+            if len(near) >= 2:
+                mean = sum(near) / len(near)
+                spread = math.sqrt(sum((y - mean) ** 2 for y in near) / len(near))
+                if x > max(avi.LEAST, mean + avi.DEVIATIONS * spread):
+                    cuts.append(i + 1)
+        assert [(a, b) for a, b, _ in avi.shots(np.array(rows, float))] == list(zip(cuts, [*cuts[1:], n]))
+
+
 def test_default_tables():
     """A frame without tables: three components, four luma blocks a unit, no restarts, coded by the standard's tables."""
     codes = {}
@@ -328,24 +351,9 @@ def test_minhash_components(docs, texts):
     for k, t in texts.items():
         w = words(t)
         sets[k] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
-    holders = collections.defaultdict(list)
-    for k, s in sets.items():
-        for x in s:
-            holders[x].append(k)
-    shared = collections.Counter((a, b) for own in holders.values() if len(own) > 1 for i, a in enumerate(own) for b in own[i + 1 :])
-    up = {k: k for k in sets}
-
-    def find(k):
-        while up[k] != k:
-            k = up[k]
-        return k
-
-    for (a, b), n in shared.items():
-        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
-            a, b = find(a), find(b)
-            up[max(a, b)] = min(a, b)
+    first = plain_components(sets)
     for r in minhash.near_duplicates(docs).collect():
-        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), first[r.doc_id], first[r.doc_id] == r.doc_id)
 
 
 def test_minhash_small_blocks(docs):
@@ -495,10 +503,124 @@ def test_ann_recall(spark):
     assert hit / (10 * len(got)) >= 0.9
 
 
-def test_pipeline(spark, docs, texts):
+def plain_components(sets):
+    """Smallest id reachable over links of 80 % and more, from all pairs that share a shingle."""
+    holders = collections.defaultdict(list)
+    for k, own in sets.items():
+        for x in own:
+            holders[x].append(k)
+    shared = collections.Counter((a, b) for own in holders.values() if len(own) > 1 for i, a in enumerate(own) for b in own[i + 1 :])
+    up = {k: k for k in sets}
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    return {k: find(k) for k in sets}
+
+
+def test_pipeline(spark, docs):
+    """Every stage's rows against plain Python on what the stage before it kept, and run() against the last."""
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows_of_stage = [sorted(docs.collect(), key=lambda r: r.doc_id)]
+    df = docs
+    for name, function in corpus_pipeline.STAGES:
+        df = corpus_pipeline.stage(function(spark, df, SF), f"test-{name}")
+        rows_of_stage.append(df.collect())
+    start, language, unique, cut, mix, packed = rows_of_stage
+
+    # language: the same decisions from the model's numbers, a text at a time
+    model = language_id.LanguageModel.fit(docs.select("doc_id", "text", "lang"))
+    sure = lambda t: (p := model.predict([t])[0])[0] != "und" and p[1] >= 1.25 * p[2] and p[3] >= 0.7
+    assert sorted(r.doc_id for r in language) == [r.doc_id for r in start if sure(r.text)] and len(language) > 0.99 * len(start)
+
+    # near-duplicates: the smallest id of each component of five-word shingles
+    sets = {}
+    for r in language:
+        w = words(r.text)
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    first = plain_components(sets)
+    assert sorted(r.doc_id for r in unique) == sorted(k for k in first if first[k] == k)
+
+    # repeated passages: what is gone stood in an earlier document of the stage's input; what is left is in its order
+    seen: dict = {}
+    for r in sorted(unique, key=lambda r: r.doc_id):
+        w = r.text.split()
+        for g in {tuple(w[i : i + 20]) for i in range(len(w) - 19)}:
+            seen.setdefault(g, r.doc_id)
+    after = {r.doc_id: r for r in cut}
+    for r in unique:
+        w, left = r.text.split(), after[r.doc_id].text.split() if r.doc_id in after else []
+        earlier = [False] * len(w)
+        for i in range(len(w) - 19):
+            if seen[tuple(w[i : i + 20])] < r.doc_id:
+                earlier[i : i + 20] = [True] * 20
+        fresh = [x for x, e in zip(w, earlier) if not e]
+        rest = iter(left)
+        # words at the edges of a cut may be cut in two, so each cut may spoil a word on either side
+        missing = sum(all(x != y for y in rest) for x in fresh[:1])
+        assert len(left) <= len(w) and len(left) >= len(fresh) - 2 * (1 + sum(earlier) // 20) and missing <= 1
+        if not any(earlier):
+            assert after[r.doc_id].text == r.text
+        if r.doc_id in after and after[r.doc_id].text != r.text:
+            assert after[r.doc_id].n_chars == len(after[r.doc_id].text)
+
+    # mixing: floor(rate) copies and the hashed draw
+    import hashlib
+
+    size = collections.Counter()
+    for r in cut:
+        size[r.source] += len(words(r.text))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size))}
+    target, open_ones, rest = {}, set(size), sum(size.values())
+    while True:
+        share = {s: rest * weight[s] / sum(weight[x] for x in open_ones) for s in open_ones}
+        full = {s for s in open_ones if share[s] > 3 * size[s]}
+        if not full:
+            target |= share
+            break
+        target |= {s: 3 * size[s] for s in full}
+        rest, open_ones = rest - sum(3 * size[s] for s in full), open_ones - full
+    want = collections.Counter()
+    for r in cut:
+        rate = target[r.source] / size[r.source]
+        drawn = int(hashlib.md5(f"mix-1/{r.doc_id}".encode()).hexdigest()[:8], 16) / (1 << 32)
+        want[r.doc_id] = math.floor(rate) + (drawn < rate - math.floor(rate))
+    assert collections.Counter(r.doc_id for r in mix) == +want
+
+    # packing: the tokens of the mix, each once, in sequences without gaps
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    length = {r.doc_id: len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in mix}
+    total = collections.Counter()
+    bins = collections.defaultdict(list)
+    for r in packed:
+        total[r.doc_id] += r.length
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert total == collections.Counter({k: length[k] * want[k] for k in length})
+    for own in bins.values():
+        end = 0
+        for at, n in sorted(own):
+            assert at == end
+            end += n
+        assert end <= 1024
+    again = corpus_pipeline.run(spark, SF).collect()
+    key = lambda rows: collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert key(again) == key(packed)
+
+
+def test_op6_leaves_unrepeated_text(spark):
+    """Texts over few words, in which no window of eleven words occurs twice, lose nothing."""
+    import random
 
-    rows = corpus_pipeline.run(spark, SF).collect()
-    kept = {r.doc_id for r in rows}
-    unique = {r.doc_id for r in minhash.near_duplicates(docs, minhash.Settings(words=5)).collect() if r.kept}
-    assert kept <= unique and len(kept) > 0.2 * len(texts)
+    rng, vocabulary = random.Random(8), ["".join(random.Random(i).choice("abcdefghijkl") for _ in range(3 + i % 6)) for i in range(20)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(200))) for i in range(1500)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("removed_words")).first()[0]
+    assert got == 0
