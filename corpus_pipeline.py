@@ -13,27 +13,31 @@ from vectorloom.llm._spark import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is identified."""
+    """Keeps the documents whose language is identified; texts that are null, without a letter, or in no learned
+    language go."""
     return language_id.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (five-word shingles, similarity of 0.8 and more)."""
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity of 0.8 and more), that of
+    smallest doc_id. Rows without doc_id or words stay; equal rows that repeat a kept doc_id stay as rows."""
     return minhash.drop_near_duplicates(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document holds from the texts; n_chars follows the text."""
+    """Cuts passages that an earlier document holds from the texts; n_chars follows the text. Rows without doc_id and
+    null texts stay as they are; a text of which nothing is left goes."""
     return substring_dedup.clean_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that the sources come to their target shares."""
+    """Repeats and drops documents so that the sources come to their target shares. A null source is a source; rows
+    without doc_id draw alike, and so do equal rows."""
     return mixing.mix_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into sequences of 1024 tokens."""
+    """Packs the mix into sequences of 1024 tokens: a row for each piece of each row; null texts are the end id."""
     return packing.pack(docs)
 
 
@@ -45,7 +49,7 @@ STAGES = [
     ("pack", pack_sequences),
 ]
 
-#: Language models, sketches and genetic packing can't be written in SQL; tests hold run() against brute force.
+#: Language models, sketches and genetic packing can't be written in SQL; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
