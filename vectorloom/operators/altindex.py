@@ -89,20 +89,58 @@ class RotatedSigns:
         return np.sqrt(np.maximum(0, norm**2 + z @ z - 2 * dot))
 
 
+class Lists:
+    """Centres of inverted lists. With `tops` a vector is assigned in two steps, which many lists need: to the `BEAM`
+    nearest of the tops, then to the nearest centre below these."""
+
+    BEAM = 4
+
+    def __init__(self, centres: np.ndarray, tops: np.ndarray | None = None, top_of: np.ndarray | None = None):
+        self.centres, self.tops, self.top_of = centres, tops, top_of
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, lists: int, seed: int, two_level: bool = False) -> Lists:
+        if not two_level:
+            return cls(K.kmeans(sample, lists, seed, rounds=10))
+        tops = K.kmeans(sample, max(1, int(lists**0.5)), seed, rounds=10)
+        own = K.squared(sample, tops).argmin(1)
+        parts, top_of = [], []
+        for t in range(len(tops)):
+            some = sample[own == t] if (own == t).any() else tops[t : t + 1]
+            share = max(1, round(lists * len(some) / len(sample)))
+            parts.append(K.kmeans(some, share, seed + 1 + t, rounds=10))
+            top_of += [t] * len(parts[-1])
+        return cls(np.vstack(parts), tops, np.array(top_of))
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        if self.tops is None:
+            return K.squared(x, self.centres).argmin(1)
+        near = np.argsort(K.squared(x, self.tops), axis=1, kind="stable")[:, : self.BEAM]
+        best, out = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        for t in range(len(self.tops)):
+            rows, below = np.flatnonzero((near == t).any(1)), np.flatnonzero(self.top_of == t)
+            if len(rows):
+                far = K.squared(x[rows], self.centres[below])
+                first, least = below[far.argmin(1)], far.min(1)
+                better = least < best[rows]
+                best[rows[better]], out[rows[better]] = least[better], first[better]
+        return out
+
+
 CODERS = {"sq8": Scalar8, "pq": Product, "rabitq": RotatedSigns}
 
 
-def coded(vectors: DataFrame, dims: int, coder, centres: np.ndarray | None = None) -> DataFrame:
-    """vectors with code and, given centres, part_id, the nearest one."""
-    shared = vectors.sparkSession.sparkContext.broadcast((coder, centres))
+def coded(vectors: DataFrame, dims: int, coder, lists: Lists | None = None) -> DataFrame:
+    """vectors with code and, given lists, part_id, the one of the nearest centre."""
+    shared = vectors.sparkSession.sparkContext.broadcast((coder, lists))  # fitted on a bounded sample
 
     def run(batches):
-        coder, centres = shared.value
+        coder, lists = shared.value
         for batch in batches:
             batch = K.whole(batch, "embedding", dims)
             if batch.num_rows:
                 x = K.matrix(batch.column("embedding"), dims)
-                part = K.squared(x, centres).argmin(1) if centres is not None else np.zeros(len(x))
+                part = lists.assign(x) if lists is not None else np.zeros(len(x))
                 added = [pa.array([c.tobytes() for c in coder.encode(x)], pa.binary()), pa.array(part.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "code", "part_id"])
 
@@ -113,7 +151,8 @@ def coded(vectors: DataFrame, dims: int, coder, centres: np.ndarray | None = Non
 class AlternativeIndex:
     """kind: flat, graph, sq8, pq, rabitq; lists > 0 puts inverted lists before the coder.
 
-    Learned pieces can be given instead: centres, of the lists; books, of the product quantiser."""
+    two_level finds a vector's list in two steps, for many lists. Learned pieces can be given instead: centres, of the
+    lists; books, of the product quantiser."""
 
     def __init__(
         self,
@@ -124,6 +163,7 @@ class AlternativeIndex:
         seed: int = 0,
         centres: np.ndarray | None = None,
         books: list[np.ndarray] | None = None,
+        two_level: bool = False,
     ):
         if kind not in (*CODERS, "flat", "graph"):
             raise ValueError(f"unknown index kind {kind!r}")
@@ -131,10 +171,13 @@ class AlternativeIndex:
         self.table = vectors
         if kind in CODERS:
             self.coder = CODERS[kind](vectors, self.dims, sample_rows, **({"books": books} if books else {}))
-            self.centres = centres
-            if lists and centres is None:
-                self.centres = K.kmeans(sampled(vectors, sample_rows, self.dims), lists, seed, rounds=10)
-            self.table = coded(vectors, self.dims, self.coder, self.centres)
+            own = None
+            if centres is not None:
+                own = Lists(centres)
+            elif lists:
+                own = Lists.fit(sampled(vectors, sample_rows, self.dims), lists, seed, two_level)
+            self.centres = None if own is None else own.centres
+            self.table = coded(vectors, self.dims, self.coder, own)
 
     def search(self, queries: DataFrame, k: int, probes: int = 1, refine: float = 2, exact: bool = True, attrs: int = 0) -> DataFrame:
         """(query_id, rank, vec_id, dist). exact=False ranks by the estimate. Predicates and labels filter first."""

@@ -180,6 +180,17 @@ def all_distances(vectors: DataFrame, queries: DataFrame, dims: int, table: pa.T
     return met(vectors, queries, dims, 0, kernel, "query_id long, part_id int, dist double", table)
 
 
+def near_distances(model: Model, table: pa.Table, spark) -> DataFrame:
+    """(query_id, part_id, dist) to the model's centroids, for queries that have been fetched: QUERY_BLOCK x partitions
+    numbers, for which no job is needed."""
+    q = Rows(table, "query_id", model.dims, 0)
+    parts = sorted(model.parts)
+    far = np.array([K.distances(q.x, model.parts[p].centroid) for p in parts]).reshape(len(parts), q.n)
+    ids, part = np.tile(q.ids, len(parts)), np.repeat(np.array(parts, np.int32), q.n)
+    found = pa.table({"query_id": pa.array(ids, pa.int64()), "part_id": pa.array(part), "dist": pa.array(far.ravel())})
+    return spark.createDataFrame(found, "query_id long, part_id int, dist double")
+
+
 def matches(index: DataFrame, queries: DataFrame, dims: int, attrs: int, table: pa.Table | None = None) -> DataFrame:
     """(query_id, part_id, n): how many vectors of each partition satisfy each query."""
 
@@ -343,7 +354,11 @@ def search(
     dims = model.dims
     queries, table = fetched(queries)
     vectors = index if vectors is None else vectors
-    distance = all_distances(centroids(model, index.sparkSession), queries, dims, table)
+    spark = index.sparkSession
+    if table is None:
+        distance = all_distances(centroids(model, spark), queries, dims)
+    else:
+        distance = near_distances(model, table, spark)
     free = not {"preds", "labels"} & set(queries.columns)
     count = populations(model, distance) if free else matches(index, queries, dims, attrs, table)
     ask, asked = fetched(routed(queries, routes(distance, count, config)))

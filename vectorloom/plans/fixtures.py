@@ -20,17 +20,31 @@ PLAIN = IndexConfig(partitions=4, bits=2 * DIMS, uniform=True, rotate=False, llo
 LEARNED = IndexConfig(partitions=4, bits=4 * DIMS)
 APPROX = SearchConfig(k=K, centroid_factor=1.01, percent=2, refine=2)
 
+#: The columns that are used of each table: stated, so that no job has to look for them.
+SCHEMAS = {
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double",
+    "events": "event_id bigint, user_id bigint, value double",
+}
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Attributed vectors: vec_id, embedding, label, a0-a3, attrs, labels."""
-    v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("vec_id"), F.col("o_totalprice").alias("a0"), F.col("o_custkey").cast("double").alias("a1"))
-    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("vec_id"), F.col("value").alias("a2"), F.col("user_id").cast("double").alias("a3"), F.col("user_id").alias("u"))
-    out = v.join(o, "vec_id").join(e, "vec_id")
-    return out.select("vec_id", "embedding", "label", *NAMES, F.array(*NAMES).alias("attrs"), F.array(F.col("label"), (10 + F.col("u") % 7).cast("int")).alias("labels"))
+    v, o, e = (read(spark, sf, name) for name in ("embeddings", "orders", "events"))
+    as_double = lambda c: F.col(c).cast("double")
+    o = o.select(F.col("o_orderkey").alias("vec_id"), F.col("o_totalprice").alias("a0"), as_double("o_custkey").alias("a1"))
+    own = [F.col("value").alias("a2"), as_double("user_id").alias("a3"), F.col("user_id").alias("u")]
+    out = v.join(o, "vec_id").join(e.select(F.col("event_id").alias("vec_id"), *own), "vec_id")
+    labels = F.array(F.col("label"), (10 + F.col("u") % 7).cast("int")).alias("labels")
+    return out.select("vec_id", "embedding", "label", *NAMES, F.array(*NAMES).alias("attrs"), labels)
 
 
 def plain_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    return read(spark, sf, "embeddings").select("vec_id", "embedding")
 
 
 def queries(table: DataFrame, *predicates: Column, labels: Column | None = None) -> DataFrame:
@@ -75,7 +89,7 @@ def stored_index(spark: SparkSession, sf: str, profile: str) -> tuple[I.Model, D
     """The profile's model, codes and vectors, read from the shared folder; built first where the index of these files
     with these settings isn't there yet."""
     tables = [f"{sf}/{name}.parquet" for name in ("embeddings", "orders", "events")]
-    path = f"{shared_dir(spark)}/index-{profile}-{fingerprint(spark, tables, PLAIN, LEARNED)}"
+    path = f"{shared_dir(spark)}/index-{profile}-{fingerprint(spark, tables, PLAIN, LEARNED, index_store.FORMAT)}"
     if not exists(spark, f"{path}/settings/_SUCCESS"):
         build_index(spark, sf, profile, path)
     return index_store.load(spark, path)

@@ -765,6 +765,15 @@ def ivf_probed_recall(spark, sf):
     return probed_recall(spark, sf, "sq8")
 
 
+@query("SELECT true AS recalled")
+def ivf_two_level_recall(spark, sf):
+    """Many lists, found in two steps, of which a query meets the nearest five in eight."""
+    v = Z.plain_vectors(spark, sf)
+    q = Z.queries(v)
+    found = altindex.AlternativeIndex(v, "sq8", lists=64, two_level=True).search(q, Z.K, probes=40)
+    return W.recall_at(found, W.ground_truth(v, q, Z.K), Z.K).agg((F.avg("recall") >= 0.9).alias("recalled"))
+
+
 @query("SELECT true AS recalled")
 def pq_probed_recall(spark, sf):
     return probed_recall(spark, sf, "pq", refine=8)

@@ -12,12 +12,14 @@ from dataclasses import asdict
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vectorloom.config import IndexConfig
 from vectorloom.operators.index import Model, Part
 
 #: Tasks, and so files, over which a partition's rows are spread at most: a large partition is not one task.
 SPREAD = 32
+FORMAT = 2  # of the directory
 _MODEL = (
     "part_id int, population long, mean array<double>, rotation array<array<double>>, cut array<double>, "
     "cells array<int>, bounds array<array<double>>, centroid array<double>"
@@ -41,13 +43,14 @@ def save(index: DataFrame, model: Model, path: str) -> None:
     spark = index.sparkSession
     spark.createDataFrame(rows, _MODEL).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
     whole = [None if a is None else a.tolist() for a in (model.mean, model.rotation, model.centres, model.prices)]
-    text = json.dumps({"dims": model.dims, "config": asdict(model.config), "partitioner": whole})
+    schemas = {name: index.select(*columns).schema.json() for name, columns in tables.items()}
+    text = json.dumps({"dims": model.dims, "config": asdict(model.config), "partitioner": whole, "schemas": schemas})
     spark.createDataFrame([(text,)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
 
 
 def load(spark: SparkSession, path: str) -> tuple[Model, DataFrame, DataFrame]:
     """The model, the codes and the vectors."""
-    said = json.loads(spark.read.parquet(f"{path}/settings").first()[0])
+    said = json.loads(spark.read.schema("settings string").parquet(f"{path}/settings").first()[0])
     arrays = [None if a is None else np.array(a) for a in said["partitioner"]]
     model = Model(said["dims"], IndexConfig(**said["config"]), {}, *arrays)
     for r in spark.read.schema(_MODEL).parquet(f"{path}/model").collect():
@@ -56,4 +59,5 @@ def load(spark: SparkSession, path: str) -> tuple[Model, DataFrame, DataFrame]:
         model.parts[r.part_id] = Part(
             np.array(r.mean), rotation, np.array(r.cut), list(r.cells), bounds, np.array(r.centroid), r.population
         )
-    return model, spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/vectors")
+    schemas = {name: StructType.fromJson(json.loads(text)) for name, text in said["schemas"].items()}
+    return model, *(spark.read.schema(schemas[name]).parquet(f"{path}/{name}") for name in ("codes", "vectors"))
