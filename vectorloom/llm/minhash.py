@@ -234,23 +234,32 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     # exact comparison of full sets
     wanted = loose.toDF("rep", "c").join(reps.select("rep", "first_doc", "d1", "d2"), "rep").withColumnRenamed("first_doc", "doc_id")
-    texts = docs.join(wanted.hint("merge"), "doc_id").select("rep", "c", "d1", "d2", "text")
+    texts = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "rep", "c", "d1", "d2", "text")
 
     def full_sets(batches):
+        doc, had = None, set()  # rows of one doc_id follow each other; equal texts are read once
         for batch in batches:
-            data, offsets = X.byte_column(batch.column(4))
+            data, offsets = X.byte_column(batch.column(5))
             keep, sets = [], []
-            digests = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            found = (x for i, j in X.row_groups(offsets) for x in X.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], s.words))
-            for i, (values, want) in enumerate(zip(found, digests)):
-                if digest_of(values) == want:  # a repeated doc_id may have other texts too
+            names = zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)))
+            found = (
+                x
+                for i, j in X.row_groups(offsets)
+                for x in X.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], s.words)
+            )
+            for i, (values, (own, rep, *digest)) in enumerate(zip(found, names)):
+                if own != doc:
+                    doc, had = own, set()
+                # a repeated doc_id may have other texts too
+                if rep not in had and digest_of(values) == tuple(digest):
+                    had.add(rep)
                     keep.append(i)
                     sets.append(values.tobytes())
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sets, pa.binary())], ["rep", "c", "values"])
+            columns = [batch.column(1).take(at), batch.column(2).take(at), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "c", "values"])
 
-    sets = texts.mapInArrow(full_sets, "rep long, c long, values binary")
-    sets = stage(sets.groupBy("rep").agg(F.first("c").alias("c"), F.first("values").alias("values")), "minhash-sets")
+    sets = stage(texts.mapInArrow(full_sets, "rep long, c long, values binary"), "minhash-sets")
 
     def same(sets):
         size = np.array([len(x) for x in sets])
@@ -263,17 +272,19 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     blocks = within_blocks(sets, "c", "rep", s.block, s.leaders)
     links = per_group(blocks, ["c", "bi"], lambda t: linked(t, "values", "rep", same), "a long, b long")
     links = stage(links, "minhash-links")
+    found = components(links, "a", "b", "minhash-found").toDF("rep", "root")
+    # components of several blocks that have not become one
     large = sets.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > s.block).drop("n")
     if large.limit(1).count():
-        true = components(links, "a", "b", "minhash-true").toDF("rep", "g")
-        own = salted_join(sets, large, "c", "rep").join(true, "rep", "left").withColumn("g", F.coalesce("g", "rep"))
-        met = against_others(own, "c", "rep", "g", s.block)
+        own = salted_join(sets, large, "c", "rep").join(found.toDF("rep", "g"), "rep", "left")
+        met = against_others(own.withColumn("g", F.coalesce("g", "rep")), "c", "rep", "g", s.block)
         rest = per_group(met, ["c", "bi", "bj"], lambda t: linked(t, "values", "rep", same, known="g"), "a long, b long")
-        links = stage(links.union(rest), "minhash-all-links")
-    found = components(links, "a", "b", "minhash-found").toDF("rep", "root")
+        rest = stage(rest, "minhash-rest")
+        if rest.limit(1).count():
+            found = components(links.union(rest), "a", "b", "minhash-joined").toDF("rep", "root")
 
     # a component is named by its smallest doc_id
-    placed = stage(reps.select("n", "d1", "d2", "rep", "first_doc").join(found, "rep"), "minhash-placed")
+    placed = reps.select("rep", "first_doc").join(found, "rep")
     named = placed.groupBy("root").agg(F.min("first_doc").alias("least"))
     placed = salted_join(placed, named, "root", "rep").select("rep", "least")
     classes = reps.select("n", "d1", "d2", "rep", "first_doc").join(placed, "rep", "left")
