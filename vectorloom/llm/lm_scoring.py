@@ -40,7 +40,7 @@ from vectorloom.llm._spark import arrow_batches, discard, held_out, per_group, r
 
 U64 = np.uint64
 END = int(X.mix(np.array([0xE0D], U64))[0])
-FLUSH = 1_500_000
+FLUSH = 800_000
 PIECE = 1 << 13  # bytes of a slice pickled at once
 BITS = 4  # bits of a word that a probe looks at
 FINE = 5  # bits of m
@@ -56,7 +56,7 @@ class Settings:
     probes: int = 3
     slice_mb: int = 32
     pass_mb: int = 1024
-    group_bytes: int = 4 << 20
+    group_bytes: int = 2 << 20
     block_bytes: int = 4 << 20
 
 
