@@ -56,6 +56,20 @@ def test_lm_slices_agree(spark, odd):
         assert abs(r.score - score) <= 0.6 + 0.014 * r.n_tokens
 
 
+def test_lm_exchange_agrees(spark, odd):
+    """N-grams dealt to the slices of a large filter give the scores of a broadcast one, bit for bit."""
+    lm = lm_scoring.NgramModel.fit(odd.where("doc_id is null or doc_id <> 8").select("text"), lm_scoring.Settings(block_bytes=50_000))
+    row = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score)
+    broadcast = sorted(map(row, lm.score(odd).collect()))
+    first = lm.blocks.agg(F.min("block"), F.max("block")).first()
+    assert first[1] - first[0] >= 3
+    lm.slices, lm.settings = [(b, b) for b in range(first[0], first[1] + 1)], lm_scoring.Settings(block_bytes=50_000, pass_mb=0, bundle_bytes=100_000)
+    lm.shared.clear()
+    assert sorted(map(row, lm.score(odd).collect())) == broadcast and len(broadcast) == N
+    assert not lm.shared  # nothing was broadcast, so no task loads a whole filter for some megabytes of text
+    assert lm.score(odd.limit(0)).count() == 0
+
+
 def test_media(spark, odd):
     rows = {(r.doc_id, r.n_bytes): r for r in avi.media_digest(odd).collect()}
     assert rows[(1, 0)].payload_bytes == rows[(2, 0)].payload_bytes == 64 and rows[(9, 300_000)].payload_bytes == 300_032

@@ -7,10 +7,10 @@ Counting, filter building and scoring are three distributed passes:
 2. Each block's counts are summed and quantised to 2^e (1 + m/32), exact below 64. The block's own bit array gets the
    entries (n-gram, 0..e), the logarithm in unary, and one entry for each bit of m that is set. A probe is a word of 64
    bits, of which four must be set. Exact word counts, for the add-one base score, are kept as sorted arrays.
-3. Blocks are broadcast in slices of at most `slice_mb`. A task looks the distinct n-grams of some megabytes of text up
-   in one slice after the other, and holds one at a time. A pass over the documents serves `pass_mb` of slices, which is
-   what an executor's disk has to hold; in a further pass the counts found so far travel with the documents as two bytes
-   per word and order.
+3. A filter of `pass_mb` or less is broadcast, in slices of at most `slice_mb`, of which a task holds one at a time. Of a
+   larger one no task ever sees more than a slice either, but the n-grams come to the slices: documents are bundled in
+   groups of some megabytes of text, each group's distinct keys are dealt to the slices by their hash, looked up there,
+   and the counts go back to the group. A key is moved once whatever the filter's size, so the work grows with the text.
 
 All counts are read from the filter by repeated membership probes: entries 0, 1, ... until one is missing, then the bits
 of m. A word's probability interpolates the orders: p(w|h) = l c(hw)/c(h) + (1 - l) p(w|h'), with l = c / (c + a c^b) for
@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import _text as X
-from vectorloom.llm._spark import arrow_batches, discard, held_out, per_group, release, stage, trim
+from vectorloom.llm._spark import arrow_batches, grouped, held_out, per_group, release, shuffle_partitions, stage, trim
 
 U64 = np.uint64
 END = int(X.mix(np.array([0xE0D], U64))[0])
 FLUSH = 800_000
+LOOKED_UP = 400_000  # keys that are looked up at once
+BUNDLES = 16  # groups of documents in a task
 PIECE = 1 << 13  # bytes of a slice pickled at once
 BITS = 4  # bits of a word that a probe looks at
 FINE = 5  # bits of m
@@ -54,9 +56,10 @@ class Settings:
     b: float = 0.75
     spare: int = 6
     probes: int = 3
-    slice_mb: int = 32
-    pass_mb: int = 1024
+    slice_mb: int = 8
+    pass_mb: int = 8
     group_bytes: int = 2 << 20
+    bundle_bytes: int = 4 << 20
     block_bytes: int = 4 << 20
 
 
@@ -360,6 +363,7 @@ class NgramModel:
     tokens: int
     types: int
     mass: float
+    size: int = 0  # bytes of all blocks
     shared: dict = field(default_factory=dict)
 
     @classmethod
@@ -373,15 +377,15 @@ class NgramModel:
         shift = 64 - max(1, (int(size) // s.block_bytes).bit_length())
         blocks = stage(build_filter(ngram_counts(texts, s.order, shift), 1 << 64 - shift, s), "lm-filter")
         release(spark)  # the counts' shuffle files go before slices are sent out
-        slices, held, n, v, mass = [], 0, 0, 0, 0.0
+        slices, held, n, v, mass, total = [], 0, 0, 0, 0.0, 0
         bytes_of = F.octet_length("words") + F.octet_length("word_n") + F.octet_length("bits")
         for r in blocks.select("block", bytes_of.alias("size"), "tokens", "types", "mass").orderBy("block").toLocalIterator():
-            n, v, mass = n + r.tokens, v + r.types, mass + r.mass
+            n, v, mass, total = n + r.tokens, v + r.types, mass + r.mass, total + r.size
             if not slices or held + r.size > s.slice_mb << 20:
                 slices.append((r.block, r.block))
                 held = 0
             slices[-1], held = (slices[-1][0], r.block), held + r.size
-        return cls(s, shift, blocks, slices or [(0, 0)], n, v, mass)
+        return cls(s, shift, blocks, slices or [(0, 0)], n, v, mass, total)
 
     def _slice(self, i: int):
         if i not in self.shared:
@@ -398,26 +402,11 @@ class NgramModel:
         """(key, n_tokens, n_known, base_score, score) of each row of docs."""
         arrow_batches(docs.sparkSession)
         df = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
-        kept = f"`{key}` {df.schema[0].dataType.simpleString()}, "
-        at_once = max(1, self.settings.pass_mb // self.settings.slice_mb)
-        passes = [range(i, min(i + at_once, len(self.slices))) for i in range(0, len(self.slices), at_once)]
-        for i, own in enumerate(passes):
-            last = i == len(passes) - 1
-            out = "text string, codes binary, known long, base double"
-            if last:
-                out = "n_tokens long, n_known long, base_score double, score double"
-            shared = [self._slice(k) for k in own]
-            before, df = df, df.mapInArrow(self._pass(shared, i == 0, last), kept + out)
-            if not last:
-                df = stage(df, "lm-codes")
-                self.shared.clear()
-                if i:
-                    discard(before)
-        return df
-
-    def _pass(self, shared: list, first: bool, last: bool):
-        """Some slices over batches of (key, text), from the second pass on with what the passes before found."""
-        s, total, mass = self.settings, float(self.tokens + self.types + 1), self.mass + self.types + 1
+        out = f"`{key}` {df.schema[0].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
+        if self.size > self.settings.pass_mb << 20:
+            return self._exchanged(df, out)
+        shared = [self._slice(k) for k in range(len(self.slices))]
+        s, scored = self.settings, self._scorer()
 
         def looked_up(tok, at):
             """Codes (order x tokens) and exact word counts."""
@@ -435,42 +424,176 @@ class NgramModel:
             return np.stack([codes[back] for codes, (_, back) in zip(found, keys)]), count[keys[0][1]]
 
         def run(batches):
-            for table in joined(batches, s.group_bytes):
-                data, offsets = X.byte_column(table.column(1))
-                known, base, score, n_tokens, packed = [], [], [], [], []
-                had = None if first else [table.column(i).to_pylist() for i in (2, 3, 4)]
-                for i, j in X.row_groups(offsets, s.group_bytes):
-                    tok, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    codes, count = looked_up(tok, at)
-                    known += np.add.reduceat((count > 0).astype(np.int64), at[:-1]).tolist()
-                    base += np.add.reduceat(np.log10(count + 1.0), at[:-1]).tolist()
-                    n_tokens += np.diff(at).tolist()
-                    if had:
-                        old = [np.frombuffer(x, np.uint16).reshape(s.order, -1) for x in had[0][i:j]]
-                        codes |= np.concatenate(old, axis=1)
-                    if last:
-                        begun = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
-                        p = probability(codes, begun, mass, s.a, s.b)
-                        score += np.add.reduceat(np.log10(p), at[:-1]).tolist()
-                    else:
-                        packed += [codes[:, x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-                if had:
-                    known = [x + y for x, y in zip(known, had[1])]
-                    base = [x + y for x, y in zip(base, had[2])]
-                if last:
-                    base = [x - n * np.log10(total) for x, n in zip(base, n_tokens)]
-                    columns = [pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64())]
-                    columns += [pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-                    names = ["n_tokens", "n_known", "base_score", "score"]
-                else:
-                    columns = [table.column(1).combine_chunks(), pa.array(packed, pa.binary())]
-                    columns += [pa.array(known, pa.int64()), pa.array(base, pa.float64())]
-                    names = ["text", "codes", "known", "base"]
-                key = table.column(0).combine_chunks()
-                yield pa.RecordBatch.from_arrays([key, *columns], [table.schema.names[0], *names])
+            for piece in pieces(batches, s.group_bytes):
+                tok, at = piece_tokens(piece)
+                yield scored(piece, tok, at, *looked_up(tok, at))
+            trim()
+
+        return df.mapInArrow(run, out)
+
+    def _scorer(self):
+        s, total, mass = self.settings, float(self.tokens + self.types + 1), self.mass + self.types + 1
+
+        def scored(piece: pa.Table, tok: np.ndarray, at: np.ndarray, codes: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            """The result's rows of (key, text), from the codes (order x tokens) and exact counts of its tokens."""
+            begun = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
+            n = np.diff(at)
+            known = np.add.reduceat((count > 0).astype(np.int64), at[:-1])
+            base = np.add.reduceat(np.log10(count + 1.0), at[:-1]) - n * np.log10(total)
+            score = np.add.reduceat(np.log10(probability(codes, begun, mass, s.a, s.b)), at[:-1])
+            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)]
+            names = [piece.schema.names[0], "n_tokens", "n_known", "base_score", "score"]
+            return pa.RecordBatch.from_arrays([piece.column(0).combine_chunks(), *columns], names)
+
+        return scored
+
+    def _exchanged(self, df: DataFrame, out: str) -> DataFrame:
+        """As `score`, with the n-grams dealt to the slices."""
+        s, shift, slices, scored, spark = self.settings, self.shift, self.slices, self._scorer(), df.sparkSession
+        starts = np.array([a << shift for a, _ in slices[1:]], U64)
+
+        def bundle(batches):
+            from pyspark import TaskContext
+
+            for i, piece in enumerate(pieces(batches, s.bundle_bytes), TaskContext.get().partitionId() << 32):
+                yield pa.RecordBatch.from_pydict({"bundle": pa.array([i], pa.int64()), "docs": pa.array([to_bytes(piece)], pa.binary())})
+
+        def distinct(tok, at):
+            """The keys of all orders, one after the other, the places that sort them, and where a new one starts."""
+            keys = np.concatenate(ngram_keys(tok, at, s.order))
+            order = np.argsort(keys)
+            ranked = keys[order]
+            return order, ranked, np.concatenate([[True], ranked[1:] != ranked[:-1]]) & (ranked != 0)
+
+        def deal(batches):
+            for batch in batches:
+                for number, docs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    keys = np.sort(np.concatenate([k[k != 0] for k in ngram_keys(*piece_tokens(from_bytes(docs)), s.order)]))
+                    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+                    cuts = [0, *np.searchsorted(keys, starts).tolist(), len(keys)]
+                    own = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                    columns = [pa.array([i for i, _, _ in own], pa.int32()), pa.array([number] * len(own), pa.int64())]
+                    columns.append(pa.array([packed(keys[a:b]) for _, a, b in own], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, ["slice", "bundle", "keys"])
+            trim()
+
+        def look_up(batches):
+            now, held, part = None, [], None
+            for batch in batches:
+                at, blocks = batch.column("slice").to_pylist(), batch.column("block").to_pylist()
+                asked, had = [], 0
+                for i in range(batch.num_rows):
+                    if at[i] != now:
+                        if asked:
+                            yield answered(part, now, asked)
+                        now, held, part, asked, had = at[i], [], None, [], 0
+                    if blocks[i] is not None:
+                        held.append([batch.column(c)[i].as_py() for c in ("block", "words", "word_n", "bits", "first")])
+                        continue
+                    if part is None:
+                        part = Slice([(b, len(w), len(bits), first) for b, w, _, bits, first in held], shift, s)
+                        for row in held:
+                            part.put(*row[:4])
+                        held = []
+                    asked.append((batch.column("bundle")[i].as_py(), unpacked(batch.column("keys")[i].as_buffer())))
+                    had += len(asked[-1][1])
+                    if had >= LOOKED_UP:
+                        yield answered(part, now, asked)
+                        asked, had = [], 0
+                if asked:
+                    yield answered(part, now, asked)
+            trim()
+
+        def finish(batches):
+            for table in grouped(batches, "bundle"):
+                docs = from_bytes(table.column("docs")[0])  # its slice is -1, so it comes first
+                tok, at = piece_tokens(docs)
+                order, ranked, heads = distinct(tok, at)
+                back = np.cumsum(heads)  # 0: no n-gram
+                join = lambda name, kind: np.concatenate([spread(x, kind) for x in table.column(name)[1:].to_pylist()])
+                codes, count = join("codes", np.uint16), join("counts", np.int64)
+                if len(codes) != heads.sum():
+                    raise ValueError("a bundle's n-grams have not all been looked up")
+                flat = np.empty(len(order), np.uint16)
+                flat[order] = np.concatenate([[0], codes]).astype(np.uint16)[back]
+                whole = np.zeros(len(codes) + 1, np.int64)
+                whole[1:][(ranked[heads] & U64(3)) == 0] = count
+                words = order < len(tok)
+                exact = np.empty(len(tok), np.int64)
+                exact[order[words]] = whole[back[words]]
+                yield scored(docs, tok, at, flat.reshape(s.order, -1), exact)
             trim()
 
-        return run
+        bundles = stage(df.mapInArrow(bundle, "bundle long, docs binary"), "lm-bundles")
+        own = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(slices)], "slice int, a int, b int")
+        own = own.select("slice", F.explode(F.sequence("a", "b")).alias("block"))  # a row per block
+        filled = self.blocks.join(F.broadcast(own), "block").select("slice", "block", "words", "word_n", "bits", "first")
+        keys = bundles.mapInArrow(deal, "slice int, bundle long, keys binary")
+        both = filled.unionByName(keys, allowMissingColumns=True)
+        both = both.repartition(max(shuffle_partitions(spark), 2 * len(slices)), "slice")
+        both = both.sortWithinPartitions("slice", F.col("block").asc_nulls_last())  # a slice's blocks, then its keys
+        answers = both.mapInArrow(look_up, "bundle long, slice int, codes binary, counts binary")
+        answers = stage(answers, "lm-codes")
+        del both, keys, filled
+        release(spark)  # the keys' shuffle files go
+        parts = max(shuffle_partitions(spark), bundles.count() // BUNDLES)
+        rows = bundles.withColumn("slice", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+        return rows.repartition(parts, "bundle").sortWithinPartitions("bundle", "slice").mapInArrow(finish, out)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Rising keys as differences, a plane for each byte, of which the highest compress to nothing."""
+    return np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(planes) -> np.ndarray:
+    rows = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T)
+    return np.cumsum(rows.view(U64).ravel(), dtype=U64)
+
+
+def answered(part: Slice, number: int, asked: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """The codes of each bundle's keys in a slice, and the exact counts of those that are words."""
+    keys = np.concatenate([k for _, k in asked])
+    codes, at = part.codes(keys), np.cumsum([0, *(len(k) for _, k in asked)])
+    word = keys & U64(3) == 0
+    count, word_at = part.exact(keys[word]), np.concatenate([[0], np.cumsum(word)])[at]
+    put = lambda x, cuts: pa.array([squeezed(x[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
+    columns = [pa.array([b for b, _ in asked], pa.int64()), pa.array([number] * len(asked), pa.int32())]
+    columns += [put(codes, at), put(count, word_at)]
+    return pa.RecordBatch.from_arrays(columns, ["bundle", "slice", "codes", "counts"])
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Its length and compressed bytes."""
+    data = x.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def spread(value: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
+def to_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(value: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(value.as_buffer()).read_all()
+
+
+def piece_tokens(piece: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tokens(*X.byte_column(piece.column(1)))
+
+
+def pieces(batches, size: int):
+    """Tables of some consecutive rows of (key, text), about `size` bytes of text each."""
+    for table in joined(batches, size):
+        _, offsets = X.byte_column(table.column(1))
+        for i, j in X.row_groups(offsets, size):
+            yield table.slice(i, j - i)
 
 
 def joined(batches, size: int):
