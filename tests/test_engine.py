@@ -217,3 +217,54 @@ def test_metrics_files(spark, small, tmp_path):
     metrics.write_metrics(one, str(tmp_path))
     assert spark.read.json(str(tmp_path / "json")).first().queries == one.first().queries == 25
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
+
+
+def test_hamming_nearest_sends_few(spark, small, monkeypatch):
+    """A task sends on k candidates of a partition for each query and batch, not every pair."""
+    from vectorloom.plans import queries
+
+    seen, ranked = [], S.ranked
+    monkeypatch.setattr(S, "ranked", lambda df, *a, **b: seen.append(df) or ranked(df, *a, **b))
+    out = queries.QUERIES["hamming_topk"](spark, small).collect()
+    assert seen[0].count() == 25 * 4 * 10 == len(out)  # one batch of 500 vectors; before: 25 x 500 pairs
+
+
+def test_candidates_leave_in_pieces(spark, small, monkeypatch):
+    from vectorloom.plans import queries
+
+    rows = sorted(queries.QUERIES["adc_lower_bounds"](spark, small).collect())
+    monkeypatch.setattr(S, "CANDIDATE_ROWS", 300)
+    sizes, met = [], S.met
+
+    def watched(vectors, asked, dims, attrs, kernel, schema, table=None):
+        table = S.fetched(asked)[1]
+        q = S.Rows(table, "query_id", dims, attrs)
+        sizes.extend(b.num_rows for b in kernel(q, S.Rows(vectors.toArrow().combine_chunks(), "vec_id", dims, attrs)))
+        return met(vectors, asked, dims, attrs, kernel, schema, table)
+
+    monkeypatch.setattr(S, "met", watched)
+    assert sorted(queries.QUERIES["adc_lower_bounds"](spark, small).collect()) == rows
+    assert sum(sizes) == 25 * 500 and max(sizes) < 300 + 500
+
+
+def test_bounds_are_checked_where_blocks_meet(spark, small, monkeypatch):
+    """Pairs are counted without being shuffled or joined; those outside their bounds are found."""
+    from vectorloom.functions import kernels as K
+    from vectorloom.plans import fixtures as Z
+    from vectorloom.plans import queries
+
+    monkeypatch.setattr(S, "reranked", None)  # before: every pair was joined with both vectors
+    assert tuple(queries.QUERIES["bounds_bracket_distance"](spark, small).first()) == (25 * 500, 0)
+    model, index = Z.learned_index(spark, small)
+    for one in model.parts.values():  # cells that don't hold their vectors
+        one.bounds = [b * 0.7 for b in one.bounds]
+    pairs, bad, q = 0, 0, {r.vec_id: np.array(r.embedding, float) for r in index.where("vec_id % 20 = 0").collect()}
+    for r in index.select("part_id", "codes", "embedding").collect():
+        one, x = model.parts[r.part_id], np.array([r.embedding], float)
+        for v in q.values():
+            low, high = K.bounds_of(np.array([r.codes]), K.bound_tables(one.turn(v[None])[0], one.bounds))
+            d = K.distances(x, v)
+            pairs, bad = pairs + 1, bad + int(low[0] > d[0] + 1e-9 or high[0] < d[0] - 1e-9)
+    assert bad > 0
+    monkeypatch.setattr(S, "QUERY_BLOCK", 8)  # blocks that are shuffled, too
+    assert tuple(S.bracketed(index, Z.queries(Z.plain_vectors(spark, small)), model).first()) == (pairs, bad)

@@ -99,6 +99,19 @@ def bound_tables(q: np.ndarray, bounds: list[np.ndarray]) -> tuple[np.ndarray, n
     return low, high
 
 
+def all_bound_tables(q: np.ndarray, bounds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """bound_tables of every row of q (rows x cells x dims), a dimension at a time."""
+    most = max(len(b) for b in bounds) - 1
+    low, high = np.zeros((len(q), most, len(bounds))), np.zeros((len(q), most, len(bounds)))
+    for j, b in enumerate(bounds):
+        left, right = (b[:-1] - q[:, j, None]) ** 2, (b[1:] - q[:, j, None]) ** 2
+        low[:, : len(b) - 1, j], high[:, : len(b) - 1, j] = np.minimum(left, right), np.maximum(left, right)
+        own = np.searchsorted(b[1:], q[:, j], "left")
+        inside = np.flatnonzero(own < len(b) - 1)
+        low[inside, own[inside], j] = 0
+    return low, high
+
+
 def symmetric_tables(q: np.ndarray, bounds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """As bound_tables, from the query's cell alone: between two cells the gap, and the distance of the far sides."""
     most = max(len(b) for b in bounds) - 1

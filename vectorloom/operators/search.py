@@ -27,6 +27,8 @@ from vectorloom.sources.shared import staged
 
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 65_536
+#: Candidates that a task holds before it sends them on.
+CANDIDATE_ROWS = 200_000
 
 
 class Rows:
@@ -254,7 +256,9 @@ def candidates(
     tables_of = K.bound_tables if config.bound == "adc" else K.symmetric_tables
 
     def kernel(q: Rows, v: Rows):
-        m, out = shared.value, [[] for _ in range(6)]
+        m, out, held = shared.value, [[] for _ in range(6)], 0
+        names = ["query_id", "part_id", "vec_id", "hamming", "lower", "upper"]
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
         place = np.empty(v.n, np.int64)  # of a row among those of its partition
         for p in np.unique(v.part):
             asking = [i for i in range(q.n) if q.routes[i] is None or int(p) in q.routes[i]]
@@ -284,9 +288,12 @@ def candidates(
                 numbers = (np.full(len(ok), q.ids[i]), np.full(len(ok), p, np.int32))
                 for column, part in zip(out, (*numbers, v.ids[ok], ham, low, high)):
                     column.append(part)
+                held += len(ok)
+                if held >= CANDIDATE_ROWS:
+                    yield batch()
+                    out, held = [[] for _ in range(6)], 0
         if out[0]:
-            names = ["query_id", "part_id", "vec_id", "hamming", "lower", "upper"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
+            yield batch()
 
     read = index.select(*[c for c in ("vec_id", "part_id", "attrs", "labels", "packed", "sign") if c in index.columns])
     schema = "query_id long, part_id int, vec_id long, hamming long, lower double, upper double"
@@ -298,6 +305,64 @@ def candidates(
     return ranked(kept, ["query_id", "part_id"], ["hamming", "vec_id"], F.col("cut"), "place").drop("place", "cut")
 
 
+def hamming_nearest(index: DataFrame, queries: DataFrame, model: Model, k: int) -> DataFrame:
+    """(query_id, part_id, vec_id, hamming, rank): the k vectors of each partition of least Hamming distance to the query's
+    signs, ties to the smaller vec_id. A block sends on no more than k of a partition for each query."""
+    shared = index.sparkSession.sparkContext.broadcast(model)
+
+    def kernel(q: Rows, v: Rows):
+        for p in np.unique(v.part):
+            one, own = shared.value.parts[int(p)], np.flatnonzero(v.part == p)
+            own = own[np.argsort(v.ids[own], kind="stable")]
+            signs, ids = v.sign[own], v.ids[own]
+            if int(p) not in q.turned:  # the queries' signs are found once a task and partition
+                q.turned[int(p)] = one.signs(one.turn(q.x))
+            out = [[], [], []]
+            for i in range(q.n):
+                ham = np.bitwise_count(signs ^ q.turned[int(p)][i]).sum(1, dtype=np.int64)
+                best = K.top(ham, ids, k)
+                for column, part in zip(out, (np.full(len(best), q.ids[i]), ids[best], ham[best])):
+                    column.append(part)
+            if out[0]:
+                a, b, c = (np.concatenate(x) for x in out)
+                part = np.full(len(a), p, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, part, b, c)], ["query_id", "part_id", "vec_id", "hamming"])
+
+    read = index.select("vec_id", "part_id", "sign")
+    found = met(read, queries, model.dims, 0, kernel, "query_id long, part_id int, vec_id long, hamming long")
+    return ranked(found, ["query_id", "part_id"], ["hamming", "vec_id"], k)
+
+
+def bracketed(index: DataFrame, queries: DataFrame, model: Model, slack: float = 1e-9) -> DataFrame:
+    """(pairs, outside): the pairs of a query and a vector, and how many have a distance that is not between its bounds.
+    Every pair is measured where its blocks meet; what leaves a task is two numbers for two blocks."""
+    shared, dims = index.sparkSession.sparkContext.broadcast(model), model.dims
+
+    def kernel(q: Rows, v: Rows):
+        pairs = outside = 0
+        for p in np.unique(v.part):
+            one, own = shared.value.parts[int(p)], np.flatnonzero(v.part == p)
+            if int(p) not in q.turned:
+                q.turned[int(p)] = one.turn(q.x)
+            for at in range(0, len(own), 4096):
+                some = own[at : at + 4096]
+                codes = K.unpack_codes(K.bytes_matrix(v.packed.take(pa.array(some))), one.bits)
+                x, place = v.x[some], codes.astype(np.int64) * dims + np.arange(dims)
+                for lo in range(0, q.n, 32):
+                    tables = K.all_bound_tables(q.turned[int(p)][lo : lo + 32], one.bounds)
+                    for near, low, high in zip(q.x[lo : lo + 32], *tables):
+                        dist = K.distances(x, near)
+                        low, high = (np.sqrt(t.ravel().take(place).sum(1)) for t in (low, high))
+                        pairs += len(some)
+                        outside += int(((low > dist + slack) | (high < dist - slack)).sum())
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([outside])], ["pairs", "outside"])
+
+    read = index.select("vec_id", "part_id", "packed", "embedding")
+    found = met(read, queries, dims, 0, kernel, "pairs long, outside long")
+    return found.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.sum("outside").alias("outside"))
+
+
 def shortlisted(found: DataFrame, n: int) -> DataFrame:
     """The n candidates of least lower bound in each visited partition."""
     return ranked(found, ["query_id", "part_id"], ["lower", "vec_id"], n, "place")

@@ -391,8 +391,9 @@ SIGNS = f"WITH {V}, {Q}, {XD}, {MEANS}, {QX}, {HAM}"
 
 @query(f"{SIGNS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY hamming, vec_id) AS rank FROM hm) SELECT query_id, CAST(part AS BIGINT) AS part_id, vec_id, hamming, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 10")
 def hamming_topk(spark, sf):
-    found = every_candidate(spark, sf).select("query_id", "part_id", "vec_id", "hamming")
-    return S.ranked(found, ["query_id", "part_id"], ["hamming", "vec_id"], 10)
+    v = Z.plain_vectors(spark, sf)
+    model, index = Z.plain_index(spark, sf, v)
+    return S.hamming_nearest(index, Z.queries(v), model, 10)
 
 
 CUT = "hc AS (SELECT query_id, part, vec_id, hamming FROM (SELECT hm.*, cut, row_number() OVER (PARTITION BY query_id, part ORDER BY hamming, vec_id) AS place FROM hm JOIN ro USING (query_id, part)) WHERE place <= cut)"
@@ -506,10 +507,7 @@ def bounds_bracket_distance(spark, sf):
     """Pairs whose distance is not between its bounds, in the learned index."""
     v = Z.plain_vectors(spark, sf)
     model, index = Z.learned_index(spark, sf)
-    q = Z.queries(v)
-    found = S.reranked(S.candidates(index, q, model, SearchConfig(), 0, everything=True), index, q, Z.DIMS)
-    out = (F.col("lower") > F.col("dist") + 1e-9) | (F.col("upper") < F.col("dist") - 1e-9)
-    return found.agg(F.count("*").alias("pairs"), F.sum(out.cast("long")).alias("outside"))
+    return S.bracketed(index, Z.queries(v), model)
 
 
 @query("SELECT count(*) AS vectors, CAST(0 AS BIGINT) AS changed FROM embeddings")
