@@ -1,5 +1,6 @@
 """Every operator and stage on odd rows, on no rows, and on the table that pipelines hand on."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,17 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none, tmp_path):
             if k + 1 < len(corpus_pipeline.STAGES):
                 assert out.columns == docs.columns
             out.collect()
+
+
+def test_ann_fit_memory():
+    """The quantiser's fit holds no table of sample x lists distances, and finds what whole tables give."""
+    import tracemalloc
+
+    x = np.random.default_rng(1).standard_normal((12_000, 16))
+    b = x[:300].copy()
+    assert (ann.nearest(x, b) == ann.squared(x, b).argmin(1)).all()
+    tracemalloc.start()
+    model = ann.Quantiser.fit(x, 600_000, ann.Settings(rounds=1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.centres) == 774 and peak < 60e6  # 12,000 x 774 doubles are 74 MB, and three such tables were held
