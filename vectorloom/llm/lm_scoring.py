@@ -495,7 +495,7 @@ class NgramModel:
                         for row in held:
                             part.put(*row[:4])
                         held = []
-                    asked.append((batch.column("bundle")[i].as_py(), unpacked(batch.column("keys")[i].as_buffer())))
+                    asked.append((batch.column("bundle")[i].as_py(), unpacked(batch.column("keys")[i].as_py())))
                     had += len(asked[-1][1])
                     if had >= LOOKED_UP:
                         yield answered(part, now, asked)
@@ -525,6 +525,7 @@ class NgramModel:
             trim()
 
         bundles = stage(df.mapInArrow(bundle, "bundle long, docs binary"), "lm-bundles")
+        release(spark)  # shuffle files of the counts that were still referred to when the filter was built
         own = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(slices)], "slice int, a int, b int")
         own = own.select("slice", F.explode(F.sequence("a", "b")).alias("block"))  # a row per block
         filled = self.blocks.join(F.broadcast(own), "block").select("slice", "block", "words", "word_n", "bits", "first")
@@ -543,11 +544,11 @@ class NgramModel:
 
 def packed(keys: np.ndarray) -> bytes:
     """Rising keys as differences, a plane for each byte, of which the highest compress to nothing."""
-    return np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return squeezed(np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T)
 
 
-def unpacked(planes) -> np.ndarray:
-    rows = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T)
+def unpacked(planes: bytes) -> np.ndarray:
+    rows = np.ascontiguousarray(spread(planes, np.uint8).reshape(8, -1).T)
     return np.cumsum(rows.view(U64).ravel(), dtype=U64)
 
 
