@@ -538,6 +538,7 @@ class NgramModel:
         del both, keys, filled
         release(spark)  # the keys' shuffle files go
         parts = max(shuffle_partitions(spark), bundles.count() // BUNDLES)
+        release(spark)  # and those that the job before still held
         rows = bundles.withColumn("slice", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
         return rows.repartition(parts, "bundle").sortWithinPartitions("bundle", "slice").mapInArrow(finish, out)
 
