@@ -386,6 +386,29 @@ def test_minhash_large_group(spark):
     assert minhash.against_others(true, "c", "rep", "g", 512).count() <= 50_000 * 1.25
 
 
+def test_components(spark):
+    """Long chains, a star and random edges, of which some repeat: both ways find the same, and few edges need few jobs."""
+    rng = np.random.default_rng(5)
+    names = [int(x) for x in rng.choice(1 << 62, 900, replace=False) - (1 << 61)]
+    pairs = [(i, i + 1) for i in range(299)] + [(300, i) for i in range(301, 500)] + [(int(a), int(b)) for a, b in rng.integers(500, 900, (300, 2))]
+    pairs += [(b, a) for a, b in pairs[::3]]
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame([(names[a], names[b]) for a, b in pairs], "a long, b long").repartition(5)
+    first = {x: x for x in names}
+    for _ in names:
+        for a, b in pairs:
+            first[names[a]] = first[names[b]] = min(first[names[a]], first[names[b]])
+    held = {names[x] for a, b in pairs if a != b for x in (a, b)}
+    spark.sparkContext.setJobGroup("components", "")
+    few = minhash.components(edges, "a", "b", "test-few")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for found in (few, minhash.components(edges, "a", "b", "test-many", at_once=0)):
+        assert sorted((r.node, r.root) for r in found.collect()) == sorted((x, first[x]) for x in held)
+    assert jobs <= 6
+    assert not minhash.components(edges.where("a = b"), "a", "b", "test-none").count()
+
+
 def test_substring_repeats(docs, texts):
     seen: dict = {}
     for k in sorted(texts):

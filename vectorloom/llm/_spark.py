@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,19 +119,64 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, salts:
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
-def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Connected components of an edge list by alternating large-star and small-star rounds.
+def rooted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v), ascending, and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def forests(batches: Iterator[pa.RecordBatch], itself: bool, most: int) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the nodes of every `most` edges or a few more, roots included if `itself`."""
+
+    def found(held):
+        node, root = rooted(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1)))
+        keep = slice(None) if itself else node != root
+        out = pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, root)], ["node", "root"])
+        for i in range(0, out.num_rows, 1 << 16):
+            yield out.slice(i, 1 << 16)
+
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n > most:
+            yield from found(held)
+            held, n = [], 0
+    if n:
+        yield from found(held)
+    trim()
+
+
+def components(edges: DataFrame, a: str, b: str, name: str, at_once: int = 1 << 21) -> DataFrame:
+    """Connected components of an edge list.
 
     Returns (node, root) for every node that has an edge to another one; root is the smallest node reachable.
-    Each round is written to the shared folder; rounds stop when the edge set no longer changes. Nodes of high degree
-    are only aggregated by min and joined, spread over several tasks, never gathered."""
+    Each task first replaces its edges by those of a spanning forest. If at most `at_once` are left, a counted number
+    that bounds the memory taken, one task finds the components; more go through alternating large-star and small-star
+    rounds. Each round is written to the shared folder; rounds stop when the edge set no longer changes. Nodes of high
+    degree are only aggregated by min and joined, spread over several tasks, never gathered."""
     spark = edges.sparkSession
 
     def summary(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = stage(e, f"{name}-edges")
+    kind = "node long, root long"
+    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+    e = stage(e.mapInArrow(lambda batches: forests(batches, False, 1 << 20), kind).toDF("u", "v"), f"{name}-edges")
+    if e.count() <= at_once:
+        whole = e.coalesce(1).mapInArrow(lambda batches: forests(batches, True, at_once), kind)
+        out = stage(whole, f"{name}-roots")
+        discard(e)
+        return out
     last = summary(e)
     while last[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
