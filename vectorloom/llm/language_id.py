@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import _chars as C
-from vectorloom.llm._spark import arrow_batches, held_out
+from vectorloom.llm._spark import arrow_batches, held_out, trim
 
 CHUNK = 200_000  # characters handled at once
 
@@ -240,6 +240,7 @@ def keep_identified(docs: DataFrame, margin: float = 1.25, known: float = 0.7, s
     any number of languages. Rows with null lang or doc_id are judged as any other; if no row has a lang, none is
     identified."""
     model = LanguageModel.fit(docs.select("doc_id", "text", "lang"), settings)
+    trim()  # the driver goes on with other work
     out = model.transform(docs, prefix="__vl_")
     sure = (F.col("__vl_score") >= margin * F.col("__vl_next_score")) & (F.col("__vl_familiarity") >= known)
     return out.where((F.col("__vl_lang_pred") != "und") & sure).select(*[F.col(f"`{c}`") for c in docs.columns])
