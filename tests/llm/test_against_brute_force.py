@@ -409,6 +409,23 @@ def test_components(spark):
     assert not minhash.components(edges.where("a = b"), "a", "b", "test-none").count()
 
 
+def test_pipeline_near_dedup_jobs(spark):
+    """The driver keeps something of every job: a long chain of near copies needs no more of them than a short one."""
+    import corpus_pipeline
+
+    def jobs(n):
+        rows = [(i, " ".join(f"w{j}" for j in range(i * 3, i * 3 + 60))) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        spark.sparkContext.setJobGroup(f"chain {n}", "")
+        kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain {n}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert kept == [0]
+        return found
+
+    assert jobs(120) <= jobs(3) + 8
+
+
 def test_substring_repeats(docs, texts):
     seen: dict = {}
     for k in sorted(texts):
